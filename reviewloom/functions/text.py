@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from reviewloom import schema
 from reviewloom.functions import words as W
 
-# Unicode white space, spelt out because the short regex class is ASCII only.
-WHITESPACE = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-NOT_LETTERS = "[^a-zA-Z ]"
+# Unicode white space and the four separator controls.
+WHITESPACE = "(?U)[\\s\\x1c-\\x1f]+"
+# Everything but letters and blanks, as ranges: a negated class takes the regex
+# engine about twice as long.
+NOT_LETTERS = "[\\x00-\\x1f!-@\\[-`{-\\x{10ffff}]+"
 SENTENCE_END = "[.!?\\n]+"
 
 
@@ -53,29 +55,34 @@ def text_key(text: Column, ignore_case: bool = False) -> Column:
 
 
 def word_list(cleaned: Column) -> Column:
+    """Words of a cleaned text.
+
+    The functions below take this list as a column of its own: inside them it is
+    looked at many times, and an expression would be worked out anew each time.
+    """
     return F.split(cleaned, " +")
 
 
-def lexicon_score(cleaned: Column, lexicon=W.LEXICON, negators=W.NEGATORS) -> Column:
-    """Overall score 0..10 of a cleaned text, -1 when no term is in the lexicon.
+def lexicon_score(words: Column, lexicon=W.LEXICON, negators=W.NEGATORS) -> Column:
+    """Overall score 0..10 of a word list, -1 when no word is in the lexicon.
 
     Every term adds its weight to a neutral 5, turned round by a negator right
     before it.  One pass over the words, no join and no shuffle.
     """
-    words = word_list(cleaned)
     before = F.concat(F.array(F.lit("")), words)
+    terms = [term for group in lexicon.values() for term in group]
 
     def weigh(word: Column, previous: Column) -> Column:
         weight = F.lit(None).cast("int")
-        for value, terms in lexicon.items():
-            weight = F.when(word.isin(terms), F.lit(value)).otherwise(weight)
-        return F.when(previous.isin(negators), -weight).otherwise(weight)
+        for value, group in lexicon.items():
+            weight = F.when(word.isin(group), F.lit(value)).otherwise(weight)
+        sign = F.when(previous.isin(negators), -1).otherwise(1)
+        return F.when(word.isin(terms), weight * sign)
 
-    hits = F.filter(F.zip_with(words, before, weigh), lambda weight: weight.isNotNull())
     return F.aggregate(
-        hits,
+        F.zip_with(words, before, weigh),
         F.lit(None).cast("int"),
-        lambda total, weight: F.coalesce(total, F.lit(0)) + weight,
+        lambda total, weight: F.coalesce(total + weight, total, weight),
         lambda total: F.when(total.isNull(), F.lit(schema.UNCLEAR_SCORE)).otherwise(
             F.least(
                 F.lit(schema.HIGHEST_SCORE),
@@ -85,9 +92,9 @@ def lexicon_score(cleaned: Column, lexicon=W.LEXICON, negators=W.NEGATORS) -> Co
     )
 
 
-def phrase_flag(cleaned: Column, terms: list[str]) -> Column:
-    """1 when any word of the cleaned text is one of ``terms``, else 0."""
-    return F.exists(word_list(cleaned), lambda word: word.isin(terms)).cast("int")
+def phrase_flag(words: Column, terms: list[str]) -> Column:
+    """1 when any word is one of ``terms``, else 0."""
+    return F.exists(words, lambda word: word.isin(terms)).cast("int")
 
 
 def _lookup(word: Column, groups: dict[str, list[str]]) -> Column:
@@ -97,9 +104,9 @@ def _lookup(word: Column, groups: dict[str, list[str]]) -> Column:
     return found
 
 
-def aspects(cleaned: Column, nouns=W.ASPECT_NOUNS, praise=W.PRAISE, blame=W.BLAME,
+def aspects(words: Column, nouns=W.ASPECT_NOUNS, praise=W.PRAISE, blame=W.BLAME,
             negators=W.NEGATORS) -> Column:
-    """Distinct ``struct(good, aspect)`` hits of one cleaned text.
+    """Distinct ``struct(good, aspect)`` hits of a word list.
 
     An adjective belongs to the noun one or two words before it ("staff was
     great"), else to the noun right after it ("great staff").  A negator right
@@ -107,27 +114,34 @@ def aspects(cleaned: Column, nouns=W.ASPECT_NOUNS, praise=W.PRAISE, blame=W.BLAM
     """
     adjectives = {**praise, **blame}
     every_adjective = sorted({term for terms in adjectives.values() for term in terms})
-    words = word_list(cleaned)
     places = F.filter(
         F.transform(words, lambda word, i: F.when(word.isin(every_adjective), i)),
         lambda place: place.isNotNull(),
     )
 
     def hit(place: Column) -> Column:
-        name = _lookup(F.get(words, place), adjectives)
-        noun = F.coalesce(
-            _lookup(F.get(words, place - 1), nouns),
-            _lookup(F.get(words, place - 2), nouns),
-            _lookup(F.get(words, place + 1), nouns),
+        return F.struct(
+            _lookup(F.get(words, place), adjectives).alias("adjective"),
+            F.coalesce(
+                _lookup(F.get(words, place - 1), nouns),
+                _lookup(F.get(words, place - 2), nouns),
+                _lookup(F.get(words, place + 1), nouns),
+            ).alias("noun"),
+            F.coalesce(F.get(words, place - 1).isin(negators), F.lit(False)).alias("negated"),
         )
-        negated = F.coalesce(F.get(words, place - 1).isin(negators), F.lit(False))
-        good = name.isin(list(praise)) != negated
-        label = F.concat(F.when(negated, F.lit("not ")).otherwise(F.lit("")), name, F.lit(" "), noun)
-        return F.when(noun.isNotNull(), F.struct(good.alias("good"), label.alias("aspect")))
 
-    return F.array_distinct(
-        F.filter(F.transform(places, hit), lambda found: found.isNotNull())
-    )
+    def labelled(found: Column) -> Column:
+        negated = found["negated"]
+        return F.struct(
+            (found["adjective"].isin(list(praise)) != negated).alias("good"),
+            F.concat(
+                F.when(negated, F.lit("not ")).otherwise(F.lit("")),
+                found["adjective"], F.lit(" "), found["noun"],
+            ).alias("aspect"),
+        )
+
+    found = F.filter(F.transform(places, hit), lambda hit: hit["noun"].isNotNull())
+    return F.array_distinct(F.transform(found, labelled))
 
 
 def sentences(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from reviewloom import schema
 from reviewloom.functions import words as W
 from reviewloom.functions.scores import rescale_score
-from reviewloom.functions.text import clean_text, lexicon_score, phrase_flag, text_key
+from reviewloom.functions.text import clean_text, lexicon_score, phrase_flag, text_key, word_list
 from reviewloom.operators import batches as B
 from reviewloom.operators.duplicates import collapse_duplicates, fan_out
 from reviewloom.session import cut_lineage
@@ -29,7 +29,11 @@ def clean_reviews(candidates: DataFrame, stops: list[str] | None = None) -> Data
 
 def score_overall(texts: DataFrame, text: str = "CleanText", lexicon=W.LEXICON) -> DataFrame:
     """Add Sentiment, 0..10 or -1, to rows of cleaned text."""
-    return texts.withColumn("Sentiment", lexicon_score(F.col(text), lexicon))
+    return (
+        texts.withColumn("_words", word_list(F.col(text)))
+        .withColumn("Sentiment", lexicon_score(F.col("_words"), lexicon))
+        .drop("_words")
+    )
 
 
 def score_phrase(
@@ -37,12 +41,13 @@ def score_phrase(
     synonyms=W.PHRASE_SYNONYMS,
 ) -> DataFrame:
     """Add PhraseFlag and, where it is 1, the score; elsewhere the score is -1."""
-    flag = phrase_flag(F.col(text), W.phrase_terms(phrases, synonyms))
-    return texts.withColumn("PhraseFlag", flag).withColumn(
-        "Sentiment",
-        F.when(F.col("PhraseFlag") == 1, lexicon_score(F.col(text), lexicon)).otherwise(
-            F.lit(schema.UNCLEAR_SCORE)
-        ),
+    words = F.col("_words")
+    score = F.when(F.col("PhraseFlag") == 1, lexicon_score(words, lexicon))
+    return (
+        texts.withColumn("_words", word_list(F.col(text)))
+        .withColumn("PhraseFlag", phrase_flag(words, W.phrase_terms(phrases, synonyms)))
+        .withColumn("Sentiment", score.otherwise(F.lit(schema.UNCLEAR_SCORE)))
+        .drop("_words")
     )
 
 

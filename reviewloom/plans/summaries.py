@@ -13,7 +13,15 @@ from pyspark.sql import types as T
 
 from reviewloom import schema
 from reviewloom.functions.dates import window_ids
-from reviewloom.functions.text import alpha_only, aspects, clean_text, lexicon_score, sentences, word_count
+from reviewloom.functions.text import (
+    alpha_only,
+    aspects,
+    clean_text,
+    lexicon_score,
+    sentences,
+    word_count,
+    word_list,
+)
 from reviewloom.operators.relational import key_of, venue_operator, venue_region, without
 from reviewloom.operators.upserts import date_range_upsert, insert_if_absent
 from reviewloom.session import cut_lineage
@@ -114,8 +122,8 @@ def aspect_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     row has, carries the group's total through the same aggregation.
     """
     everything = F.array(F.struct(F.lit(None).cast("boolean").alias("good"), F.lit("").alias("aspect")))
-    hits = texts.select(
-        *keys, F.inline(F.concat(everything, aspects(clean_text(F.col(text)))))
+    hits = texts.select(*keys, word_list(clean_text(F.col(text))).alias("Words")).select(
+        *keys, F.inline(F.concat(everything, aspects(F.col("Words"))))
     )
     counts = hits.groupBy(*keys, "good", "aspect").agg(F.count("*").alias("Mentions"))
     total = F.max(F.when(F.col("aspect") == "", F.col("Mentions"))).over(Window.partitionBy(*keys))
@@ -163,17 +171,18 @@ def summary_text(texts: DataFrame, keys: list[str], text: str, limit: int = sche
     candidates = (
         texts.select(*keys, F.explode(sentences(F.col(text))).alias("Sentence"))
         .distinct()
-        .withColumn("Words", word_count(F.col("Sentence")))
-        .where(F.col("Words") <= limit)
-        .withColumn("Score", lexicon_score(clean_text(F.col("Sentence"))))
-        .withColumn("Strength", strength)
+        .withColumn("Length", word_count(F.col("Sentence")))
+        .where(F.col("Length") <= limit)
+        .withColumn("Words", word_list(clean_text(F.col("Sentence"))))
+        .withColumn("Score", lexicon_score(F.col("Words")))
+        .select(*keys, "Sentence", "Length", strength.alias("Strength"))
     )
     strongest = Window.partitionBy(*keys).orderBy(F.desc("Strength"), "Sentence")
     chosen = (
         candidates.withColumn("Place", F.row_number().over(strongest))
         .where(F.col("Place") <= limit)
-        .withColumn("Length", F.sum("Words").over(strongest.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("Length") <= limit)
+        .withColumn("Total", F.sum("Length").over(strongest.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("Total") <= limit)
     )
     ordered = F.sort_array(F.collect_list(F.struct("Place", "Sentence")))
     return chosen.groupBy(*keys).agg(
