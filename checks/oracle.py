@@ -455,6 +455,7 @@ ORACLE["score_reviews_batched"] = ORACLE["score_reviews"]
 ORACLE["score_reviews_phrase"] = sql(
     f"SELECT ReviewID, PhraseFlag, CAST({RESCALED} AS DOUBLE) AS Sentiment FROM PhraseScored", *RUN_PHRASE
 )
+ORACLE["score_phrase_batched"] = ORACLE["score_reviews_phrase"]
 ORACLE["score_documents_batched"] = sql(
     f"SELECT ReviewID, CAST({RESCALED} AS DOUBLE) AS Sentiment FROM Overall",
     DOCUMENTS,

@@ -197,7 +197,7 @@ def nth_group(star):
 
 @on_star
 def clean_text(star):
-    return scoring.clean_reviews(star.review)
+    return star.review.select("ReviewID", text.clean_text(F.col("ReviewText")).alias("CleanText"))
 
 
 @on_tables
@@ -226,7 +226,7 @@ def summary_length(table):
 
 @on_star
 def collapse_duplicates(star):
-    cleaned = scoring.clean_reviews(star.review.where(F.col("ReviewText").isNotNull()))
+    cleaned = scoring.clean_reviews(star.review)
     return duplicates.collapse_duplicates(cleaned, "CleanText")
 
 
@@ -237,7 +237,7 @@ def collapse_documents(table):
 
 @on_star
 def duplicate_id_lists(star):
-    cleaned = scoring.clean_reviews(star.review.where(F.col("ReviewText").isNotNull()))
+    cleaned = scoring.clean_reviews(star.review)
     lists = duplicates.duplicate_id_lists(cleaned, "CleanText", width=P.LIST_WIDTH)
     return lists.withColumn("MatchedTextIDs", F.array_join("MatchedTextIDs", ","))
 
@@ -304,7 +304,7 @@ def _documents(table) -> DataFrame:
 
 @on_star
 def score_overall(star):
-    cleaned = scoring.clean_reviews(star.review.where(F.col("ReviewText").isNotNull()))
+    cleaned = scoring.clean_reviews(star.review)
     return scoring.score_overall(cleaned).select("ReviewID", "Sentiment")
 
 
@@ -315,13 +315,13 @@ def score_documents(table):
 
 @on_star
 def score_phrase(star):
-    cleaned = scoring.clean_reviews(star.review.where(F.col("ReviewText").isNotNull()))
+    cleaned = scoring.clean_reviews(star.review)
     return scoring.score_phrase(cleaned, P.PHRASES).select("ReviewID", "PhraseFlag", "Sentiment")
 
 
 @on_star
 def rescale_score(star):
-    cleaned = scoring.clean_reviews(star.review.where(F.col("ReviewText").isNotNull()))
+    cleaned = scoring.clean_reviews(star.review)
     rescaled = scores.rescale_score(F.col("Sentiment"))
     return scoring.score_overall(cleaned).select(
         "ReviewID", rescaled.alias("Sentiment"), scores.raw_score(rescaled).alias("RawScore")
@@ -329,7 +329,7 @@ def rescale_score(star):
 
 
 def _unique_texts(star) -> DataFrame:
-    cleaned = scoring.clean_reviews(star.review.where(F.col("ReviewText").isNotNull()))
+    cleaned = scoring.clean_reviews(star.review)
     unique = duplicates.collapse_duplicates(cleaned, "CleanText")
     return unique.select("ReviewID", F.col("CleanText").alias("ReviewText"))
 
@@ -410,18 +410,13 @@ def _faulty(reply):
     return answer
 
 
-def _judged(star) -> tuple[DataFrame, DataFrame]:
-    written = star.review.where(F.col("ReviewText").isNotNull())
-    judged = scoring.judged_batches(
-        written, _faulty(scoring.lexicon_scorer()), size=2, queues=P.QUEUES
-    )
-    return written, judged
+def _faulty_run(star) -> scoring.ScoreRun:
+    return scoring.run_scorer(star.review, _faulty(scoring.lexicon_scorer()), size=2, queues=P.QUEUES)
 
 
 @on_star
 def quarantine(star):
-    rejects = B.quarantine(_judged(star)[1])
-    return rejects.select(
+    return _faulty_run(star).rejects.select(
         "Queue", "Batch", F.array_join("ReviewIDs", ",").alias("ReviewIDs"),
         F.array_join("InvalidScores", ",").alias("InvalidScores"), "SameIds", "Reason",
     )
@@ -429,8 +424,7 @@ def quarantine(star):
 
 @on_star
 def run_metrics(star):
-    written, judged = _judged(star)
-    return scoring.run_metrics(judged, scoring.clean_reviews(written).select("CleanText").distinct())
+    return _faulty_run(star).metrics
 
 
 @on_star
@@ -447,15 +441,19 @@ def score_reviews_phrase(star):
 @on_star
 def score_reviews_batched(star):
     found = candidates.candidates_overall(star, P.MIN_DATE)
-    judged = scoring.judged_batches(found, scoring.lexicon_scorer(), queues=P.QUEUES)
-    return scoring.accepted_copies(judged, found)
+    return scoring.run_scorer(found, scoring.lexicon_scorer(), queues=P.QUEUES).scores
+
+
+@on_star
+def score_phrase_batched(star):
+    found = candidates.candidates_phrase(star, P.PHRASES, P.MIN_DATE)
+    scorer = scoring.lexicon_scorer(phrases=P.PHRASES)
+    return scoring.run_scorer(found, scorer, P.PHRASES, queues=P.QUEUES).scores
 
 
 @on_tables
 def score_documents_batched(table):
-    found = _documents(table)
-    judged = scoring.judged_batches(found, scoring.lexicon_scorer(), queues=P.QUEUES)
-    return scoring.accepted_copies(judged, found)
+    return scoring.run_scorer(_documents(table), scoring.lexicon_scorer(), queues=P.QUEUES).scores
 
 
 # ---- write-back and upserts -----------------------------------------------

@@ -14,8 +14,12 @@ def rescale_score(score: Column) -> Column:
 
 
 def raw_score(rescaled: Column) -> Column:
-    """The stored text of a score: ``1``, ``0``, ``-0.8``, and ``-`` when unclear."""
-    plain = F.regexp_replace(rescaled.cast(schema.SCORE).cast("string"), "\\.0$", "")
+    """The stored text of a score: ``1``, ``0``, ``-0.8``, and ``-`` when unclear.
+
+    A missing score gives an empty text, which no stored score has.  Never being
+    null keeps Spark from repeating the scoring in a not-null test at the scan.
+    """
+    plain = F.coalesce(F.regexp_replace(rescaled.cast(schema.SCORE).cast("string"), "\\.0$", ""), F.lit(""))
     return F.when(
         rescaled == F.lit(schema.UNCLEAR_RESCALED).cast(schema.SCORE), F.lit(schema.UNKNOWN_RAW)
     ).otherwise(plain)

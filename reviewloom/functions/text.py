@@ -50,8 +50,12 @@ def phrase_label(phrases: list[str]) -> str:
 
 
 def text_key(text: Column, ignore_case: bool = False) -> Column:
-    """A narrow stand-in for a text as a grouping and join key."""
-    return F.sha2(F.lower(text) if ignore_case else text, 256)
+    """A narrow stand-in for a text, which must not be null, as a group and join key.
+
+    The key is never null.  If it could be, Spark would add a not-null test to each
+    join and push it, with the whole cleaning of the text, down to the scan.
+    """
+    return F.coalesce(F.sha2(F.lower(text) if ignore_case else text, 256), F.lit(""))
 
 
 def word_list(cleaned: Column) -> Column:
@@ -94,7 +98,7 @@ def lexicon_score(words: Column, lexicon=W.LEXICON, negators=W.NEGATORS) -> Colu
 
 def phrase_flag(words: Column, terms: list[str]) -> Column:
     """1 when any word is one of ``terms``, else 0."""
-    return F.exists(words, lambda word: word.isin(terms)).cast("int")
+    return F.coalesce(F.exists(words, lambda word: word.isin(terms)), F.lit(False)).cast("int")
 
 
 def _lookup(word: Column, groups: dict[str, list[str]]) -> Column:

@@ -49,7 +49,11 @@ def insert_if_absent(
     existing: DataFrame, new: DataFrame, keys: list[str], id_column: str | None = None,
     order: list[str] | None = None,
 ) -> DataFrame:
-    """Append the rows whose natural key is missing.  Doing it twice adds nothing."""
+    """Append the rows whose natural key is missing.  Doing it twice adds nothing.
+
+    With ``id_column`` the new rows are read twice, to count the blocks of ids and
+    to number the rows: keep them first where they are dear to make.
+    """
     fresh = absent_rows(existing, new, keys)
     if id_column:
         fresh = with_surrogate_keys(fresh, existing, id_column, order or keys)

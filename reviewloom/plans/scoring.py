@@ -1,4 +1,4 @@
-"""Scoring reviews: distinct cleaned texts are scored, every copy gets the result."""
+"""Scoring reviews: by the lexicon in place, or by any scorer in batches of distinct texts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,9 @@ Scorer = Callable[[str], str]
 
 
 def clean_reviews(candidates: DataFrame, stops: list[str] | None = None) -> DataFrame:
-    return candidates.select("ReviewID", clean_text(F.col("ReviewText"), stops).alias("CleanText"))
+    """Cleaned texts; a review without a text is not scored."""
+    written = candidates.where(F.col("ReviewText").isNotNull())
+    return written.select("ReviewID", clean_text(F.col("ReviewText"), stops).alias("CleanText"))
 
 
 def score_overall(texts: DataFrame, text: str = "CleanText", lexicon=W.LEXICON) -> DataFrame:
@@ -55,26 +57,24 @@ def _result_columns(phrases: list[str] | None) -> list[str]:
     return ["PhraseFlag", "Sentiment"] if phrases else ["Sentiment"]
 
 
-def _to_all_copies(scored: DataFrame, cleaned: DataFrame, phrases: list[str] | None) -> DataFrame:
-    """Scores of distinct texts, by text key, to every review, rescaled."""
-    keyed = cleaned.select("ReviewID", text_key(F.col("CleanText")).alias("TextKey"))
-    return fan_out(scored, keyed, "TextKey").select(
-        "ReviewID",
-        *(["PhraseFlag"] if phrases else []),
-        rescale_score(F.col("Sentiment")).alias("Sentiment"),
-    )
-
-
 def score_reviews(
     candidates: DataFrame, phrases: list[str] | None = None, stops: list[str] | None = None,
     lexicon=W.LEXICON,
 ) -> DataFrame:
-    """Scores from the lexicon for all candidates.  One lazy plan, all in the JVM."""
+    """Rescaled lexicon scores of all candidates.
+
+    The lexicon costs no more than the cleaning does, so each review is scored where
+    it is read: collapsing copies first would add two shuffles and save nothing.
+    Scorers that are dear to call go through :func:`run_scorer`.
+    """
     cleaned = clean_reviews(candidates, stops)
-    unique = collapse_duplicates(cleaned, "CleanText")
-    scored = score_phrase(unique, phrases, lexicon=lexicon) if phrases else score_overall(unique, lexicon=lexicon)
-    keyed = scored.select(text_key(F.col("CleanText")).alias("TextKey"), *_result_columns(phrases))
-    return _to_all_copies(keyed, cleaned, phrases)
+    scored = score_phrase(cleaned, phrases, lexicon=lexicon) if phrases else score_overall(cleaned, lexicon=lexicon)
+    return scored.select("ReviewID", *_rescaled(phrases))
+
+
+def _rescaled(phrases: list[str] | None) -> list[Column]:
+    score = rescale_score(F.col("Sentiment")).alias("Sentiment")
+    return [F.col("PhraseFlag"), score] if phrases else [score]
 
 
 @dataclass(frozen=True)
@@ -118,23 +118,23 @@ def scoring_batches(
 
 
 def judged_batches(
-    candidates: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
-    stops: list[str] | None = None, size: int = schema.BATCH_ROWS, queues: int = B.QUEUES,
+    cleaned: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
+    size: int = schema.BATCH_ROWS, queues: int = B.QUEUES,
 ) -> DataFrame:
-    """Scored batches with the verdict on each reply."""
-    asked = ask_scorer(scoring_batches(clean_reviews(candidates, stops), size, queues), scorer)
+    """Scored batches of the distinct cleaned texts, with the verdict on each reply."""
+    asked = ask_scorer(scoring_batches(cleaned, size, queues), scorer)
     return B.check_batches(asked, reply_item(phrases))
 
 
 def accepted_copies(
-    judged: DataFrame, candidates: DataFrame, phrases: list[str] | None = None,
-    stops: list[str] | None = None,
+    judged: DataFrame, cleaned: DataFrame, phrases: list[str] | None = None
 ) -> DataFrame:
-    """Accepted scores for every copy of the scored texts."""
+    """Accepted scores, rescaled, for every copy of the scored texts."""
     scored = B.accepted_scores(judged, reply_item(phrases)).select(
         text_key(F.col("ReviewText")).alias("TextKey"), *_result_columns(phrases)
     )
-    return _to_all_copies(scored, clean_reviews(candidates, stops), phrases)
+    keyed = cleaned.select("ReviewID", text_key(F.col("CleanText")).alias("TextKey"))
+    return fan_out(scored, keyed, "TextKey").select("ReviewID", *_rescaled(phrases))
 
 
 def run_metrics(judged: DataFrame, queued: DataFrame) -> DataFrame:
@@ -152,17 +152,18 @@ def run_scorer(
     candidates: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
     stops: list[str] | None = None, size: int = schema.BATCH_ROWS, queues: int = B.QUEUES,
 ) -> ScoreRun:
-    """Score with any scorer.
+    """Score with any scorer: distinct texts in batches, then every copy.
 
-    Replies are written to the checkpoint folder first: the scorer is called once
-    for a batch, however many of the three results are used.
+    The cleaned texts and the replies are written to the checkpoint folder: the
+    first are read three times, and the scorer must be called once for a batch,
+    however many of the results are used and whatever happens to an executor after.
     """
-    judged = cut_lineage(judged_batches(candidates, scorer, phrases, stops, size, queues))
-    queued = clean_reviews(candidates, stops).select("CleanText").distinct()
+    cleaned = cut_lineage(clean_reviews(candidates, stops))
+    judged = cut_lineage(judged_batches(cleaned, scorer, phrases, size, queues))
     return ScoreRun(
-        scores=accepted_copies(judged, candidates, phrases, stops),
+        scores=accepted_copies(judged, cleaned, phrases),
         rejects=B.quarantine(judged),
-        metrics=run_metrics(judged, queued),
+        metrics=run_metrics(judged, cleaned.select("CleanText").distinct()),
     )
 
 

@@ -31,6 +31,8 @@ from reviewloom.sources.star import ReviewStar
 # Region), and returns (Summary, Pros, Cons).
 Summariser = Callable[[list[str], str], tuple[str, str, str]]
 
+Keep = Callable[[DataFrame], DataFrame]
+
 
 # ---- inputs ---------------------------------------------------------------
 
@@ -262,27 +264,33 @@ def _renamed(summaries: DataFrame, category: str) -> DataFrame:
     )
 
 
-def stage_venues(star: ReviewStar, start: int, end: int, summarise=summarise_group) -> DataFrame:
-    """Venue summaries with those of the window added; the links stay 0 for now."""
-    inputs = venue_inputs(star, start, end)
-    rows = _renamed(summarise(inputs, ["VenueID"], "ReviewText", "Venue"), "Venue").select(
+def stage_venues(
+    star: ReviewStar, start: int, end: int, summarise=summarise_group, keep: Keep = cut_lineage
+) -> DataFrame:
+    """Venue summaries with those of the window added; the links stay 0 for now.
+
+    Here and below ``keep`` writes the new summaries, and only those, since
+    numbering, the next levels and the publishing all read them.
+    """
+    rows = keep(_renamed(summarise(venue_inputs(star, start, end), ["VenueID"], "ReviewText", "Venue"), "Venue"))
+    linked = rows.select(
         "*",
         range_id(star.date_range, start, end).alias("DateRangeID"),
         F.lit(0).alias("RegionSummaryID"),
         F.lit(0).alias("OperatorSummaryID"),
     )
     return insert_if_absent(
-        star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID"
+        star.summary_venue, linked, ["VenueID", "DateRangeID"], "VenueSummaryID"
     )
 
 
-def stage_operators(star: ReviewStar, summarise=summarise_group) -> DataFrame:
+def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
     keys = ["OperatorID", "DateRangeID"]
-    rows = _renamed(summarise(operator_inputs(star), keys, "VenueSummary", "Operator"), "Operator")
+    rows = keep(_renamed(summarise(operator_inputs(star), keys, "VenueSummary", "Operator"), "Operator"))
     return insert_if_absent(star.summary_operator, rows, keys, "OperatorSummaryID")
 
 
-def stage_regions(star: ReviewStar, summarise=summarise_group) -> DataFrame:
+def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
     """Region summaries; the unknown region gets dashes without being summarised."""
     keys = ["OperatorID", "RegionID", "DateRangeID"]
     inputs = region_inputs(star)
@@ -292,7 +300,7 @@ def stage_regions(star: ReviewStar, summarise=summarise_group) -> DataFrame:
     dashes = inputs.where(F.col("RegionID") == unknown).select(*keys).distinct().select(
         *keys, dash.alias("Summary"), dash.alias("Pros"), dash.alias("Cons")
     )
-    rows = _renamed(known.unionByName(dashes), "Region")
+    rows = keep(_renamed(known.unionByName(dashes), "Region"))
     return insert_if_absent(star.summary_region, rows, keys, "RegionSummaryID")
 
 
@@ -344,17 +352,15 @@ class SummaryRun:
 
 
 def summarise_all(
-    star: ReviewStar, label: str, months: int, summarise=summarise_group,
-    keep: Callable[[DataFrame], DataFrame] = cut_lineage,
+    star: ReviewStar, label: str, months: int, summarise=summarise_group, keep: Keep = cut_lineage
 ) -> SummaryRun:
     """Summarise every unsummarised venue, operator and region of a window.
 
-    Three jobs in a row, each over all its groups at once.  ``keep`` writes each
-    staged table, since the next levels and the publishing read it again.
+    Three jobs in a row, each over all its groups at once.
     """
     start, end = window_ids(label, months)
-    staged = replace(star, date_range=keep(date_range_upsert(star.date_range, start, end, months)))
-    staged = replace(staged, summary_venue=keep(stage_venues(staged, start, end, summarise)))
-    staged = replace(staged, summary_operator=keep(stage_operators(staged, summarise)))
-    staged = replace(staged, summary_region=keep(stage_regions(staged, summarise)))
+    staged = replace(star, date_range=date_range_upsert(star.date_range, start, end, months))
+    staged = replace(staged, summary_venue=stage_venues(staged, start, end, summarise, keep))
+    staged = replace(staged, summary_operator=stage_operators(staged, summarise, keep))
+    staged = replace(staged, summary_region=stage_regions(staged, summarise, keep))
     return SummaryRun(staged, publish_summaries(star, staged))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from reviewloom.functions.scores import raw_phrase_score, raw_score
 from reviewloom.functions.text import phrase_label
 from reviewloom.operators.relational import sentiments
 from reviewloom.operators.upserts import insert_if_absent, update_column
+from reviewloom.session import cut_lineage
 from reviewloom.sources.star import ReviewStar
 
 
@@ -78,7 +80,11 @@ def upsert_phrase_reviews(bridge: DataFrame, flags: DataFrame, rows: DataFrame)
     return insert_if_absent(bridge, pairs, ["ReviewID", "PhraseSentimentFlagID"])
 
 
-def writeback_phrase(star: ReviewStar, scores: DataFrame, phrases: list[str]) -> PhraseTables:
-    rows = phrase_rows(star, scores, phrases)
+def writeback_phrase(
+    star: ReviewStar, scores: DataFrame, phrases: list[str],
+    keep: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> PhraseTables:
+    """Both new tables.  The scored rows are read by both, so they are kept first."""
+    rows = keep(phrase_rows(star, scores, phrases))
     flags = upsert_phrase_flags(star.phrase_flag, rows)
     return PhraseTables(flags, upsert_phrase_reviews(star.phrase_review, flags, rows))
