@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -492,7 +491,7 @@ def writeback_overall(star):
 
 def _few_flags(star) -> ReviewStar:
     """The star before most flags were made: only the "not discussed" ones exist."""
-    return replace(star, phrase_flag=star.phrase_flag.where(F.col("PhraseFlag") == 0))
+    return star.replace(phrase_flag=star.phrase_flag.where(F.col("PhraseFlag") == 0))
 
 
 @on_star
@@ -534,8 +533,7 @@ def date_range_upsert(star):
     windows = months.select(
         dates.reporting_window(F.col("Label"), P.MONTHS).alias("w"), F.lit(P.MONTHS).alias("Months")
     ).select("w.StartDateID", "w.EndDateID", "Months")
-    keys = ["StartDateID", "EndDateID", "Months"]
-    return upserts.insert_if_absent(star.date_range, windows, keys, "DateRangeID")
+    return upserts.insert_date_ranges(star.date_range, windows)
 
 
 @on_star
@@ -644,8 +642,7 @@ def summarise_all_regions(star):
 @on_star
 def publish_summaries(star):
     """Publish onto tables that were empty before."""
-    empty = replace(
-        star,
+    empty = star.replace(
         summary_venue=star.summary_venue.where(F.lit(False)),
         summary_region=star.summary_region.where(F.lit(False)),
         summary_operator=star.summary_operator.where(F.lit(False)),

@@ -41,12 +41,15 @@ def word_count(text: Column) -> Column:
 
 
 def phrase_title(phrase: Column) -> Column:
+    """Title case, in which phrases are compared."""
     return F.trim(F.initcap(phrase))
 
 
 def phrase_label(phrases: list[str]) -> str:
-    """Several phrases are looked for, and stored, as one."""
-    return " or ".join(phrases)
+    """Several phrases are looked for, and stored, as one, each in title case."""
+    return " or ".join(
+        " ".join(word.capitalize() for word in phrase.strip().split(" ")) for phrase in phrases
+    )
 
 
 def text_key(text: Column, ignore_case: bool = False) -> Column:

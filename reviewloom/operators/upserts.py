@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 KEY_BLOCK = 1 << 20
 
 
 def with_surrogate_keys(
-    fresh: DataFrame, existing: DataFrame, id_column: str, order: list[str], width: int = KEY_BLOCK
+    fresh: DataFrame, existing: DataFrame, id_column: str, order: list[str],
+    few: bool = False, width: int = KEY_BLOCK,
 ) -> DataFrame:
     """Number new rows on from the largest key there is, in the order of ``order``.
 
-    Numbering all rows in one go would take one task.  Rows are numbered inside
-    blocks of the first ordering column, and every block starts where the blocks
-    before it end: only the blocks' sizes meet in one place.
+    Numbering all rows in one go would take one task, which suits a handful only
+    (``few``).  Otherwise rows are numbered inside blocks of the first ordering
+    column, an integer, and every block starts where the blocks before it end: only
+    the blocks' sizes meet in one place.
     """
-    first = fresh.schema[order[0]].dataType
-    block = F.col(order[0])
-    if isinstance(first, T.IntegralType):
-        block = F.floor(block / width)
-    blocked = fresh.withColumn("_block", block)
+    last = F.coalesce(existing.agg(F.max(id_column)).scalar(), F.lit(0))
+    kind = existing.schema[id_column].dataType
+    if few:
+        place = F.row_number().over(Window.orderBy(*order))
+        return fresh.withColumn(id_column, (last + place).cast(kind))
+    blocked = fresh.withColumn("_block", F.floor(F.col(order[0]) / width))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         blocked.groupBy("_block")
@@ -30,8 +32,6 @@ def with_surrogate_keys(
         .select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
     place = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    last = F.coalesce(existing.agg(F.max(id_column)).scalar(), F.lit(0))
-    kind = existing.schema[id_column].dataType
     return (
         blocked.withColumn("_place", place)
         .join(starts, "_block")
@@ -40,33 +40,43 @@ def with_surrogate_keys(
     )
 
 
-def absent_rows(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows whose natural key the table does not hold."""
-    return new.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
-
-
-def insert_if_absent(
+def absent_rows(
     existing: DataFrame, new: DataFrame, keys: list[str], id_column: str | None = None,
-    order: list[str] | None = None,
+    order: list[str] | None = None, few: bool = False,
 ) -> DataFrame:
-    """Append the rows whose natural key is missing.  Doing it twice adds nothing.
+    """New rows whose natural key the table does not hold, numbered if it has an id.
 
     With ``id_column`` the new rows are read twice, to count the blocks of ids and
     to number the rows: keep them first where they are dear to make.
     """
-    fresh = absent_rows(existing, new, keys)
+    fresh = new.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
     if id_column:
-        fresh = with_surrogate_keys(fresh, existing, id_column, order or keys)
-    return existing.unionByName(fresh.select(*existing.columns))
+        fresh = with_surrogate_keys(fresh, existing, id_column, order or keys, few)
+    return fresh.select(*existing.columns)
+
+
+def insert_if_absent(
+    existing: DataFrame, new: DataFrame, keys: list[str], id_column: str | None = None,
+    order: list[str] | None = None, few: bool = False,
+) -> DataFrame:
+    """Append the rows whose natural key is missing.  Doing it twice adds nothing."""
+    return existing.unionByName(absent_rows(existing, new, keys, id_column, order, few))
+
+
+RANGE_KEYS = ["StartDateID", "EndDateID", "Months"]
+
+
+def insert_date_ranges(date_range: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Add windows the table lacks; there are never more than a few."""
+    return insert_if_absent(date_range, ranges, RANGE_KEYS, "DateRangeID", few=True)
 
 
 def date_range_upsert(date_range: DataFrame, start: int, end: int, months: int) -> DataFrame:
-    row = date_range.sparkSession.createDataFrame(
-        [(start, end, months)], "StartDateID int, EndDateID int, Months int"
-    )
-    return insert_if_absent(
-        date_range, row, ["StartDateID", "EndDateID", "Months"], "DateRangeID"
+    row = date_range.sparkSession.sql(
+        "SELECT :start AS StartDateID, :end AS EndDateID, :months AS Months",
+        args={"start": start, "end": end, "months": months},
     )
+    return insert_date_ranges(date_range, row)
 
 
 def update_column(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

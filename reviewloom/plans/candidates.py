@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom import schema
-from reviewloom.functions.text import phrase_label, text_key
+from reviewloom.functions.text import phrase_label, phrase_title, text_key
 from reviewloom.operators.relational import named_venues, sentiments
+from reviewloom.session import keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
 
 
@@ -18,7 +19,9 @@ def _select_texts(
 
     ``wanted`` has (ReviewID, TextKey, Wanted).  A running maximum of dates in id
     order reaches ``min_date`` from the first id on whose own date does, so one
-    small aggregate for each text takes the place of a window over its copies.
+    small aggregate for each text takes the place of a window over its copies.  Only
+    key, id and date of a review take part in that; the texts themselves are read
+    once, and shuffled only when the wanted keys are too many to broadcast.
     """
     dated = F.lit(True) if min_date is None else F.col("Review_DateID") >= min_date
     texts = (
@@ -30,6 +33,7 @@ def _select_texts(
         .where("Wanted AND FirstID IS NOT NULL")
         .select("TextKey", "FirstID")
     )
+    texts, _ = keep_for_broadcast(texts)
     copies = (
         reviews.where(F.col("ReviewText").isNotNull())
         .select("ReviewID", "ReviewText")
@@ -91,7 +95,8 @@ def candidates_phrase(
     ignore_case: bool = False,
 ) -> DataFrame:
     """Reviews whose text also occurs on a review without a flag for the phrase."""
-    flags = star.phrase_flag.where(F.col("Phrase") == phrase_label(phrases))
+    label = phrase_title(F.lit(phrase_label(phrases)))
+    flags = star.phrase_flag.where(phrase_title(F.col("Phrase")) == label)
     flagged = (
         star.phrase_review.join(flags, "PhraseSentimentFlagID", "left_semi")
         .select("ReviewID")

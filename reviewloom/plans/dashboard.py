@@ -218,15 +218,17 @@ def rating_by_sentiment(star: ReviewStar, operator_ids=None, phrases=None, date_
 def rating_mix_by_year(star: ReviewStar, operator_ids=None, phrases=None, date_range=None) -> DataFrame:
     """Share of each rating in its year.
 
-    Years are added up from the counts, so the window sees a handful of rows.
+    The date dimension has a row for a day, 36,525 in a century, so it is broadcast
+    and reviews are counted by venue, year and rating before any shuffle.  Years are
+    added up from the counts, so the window sees a handful of rows.
     """
     dates = star.dates.select(F.col("DateID").alias("Review_DateID"), F.year("ActualDate").alias("ReviewYear"))
     counts = (
         _picked_reviews(star, phrases, date_range)
         .where(F.col("ReviewRating").isNotNull())
-        .groupBy("VenueID", "Review_DateID", "ReviewRating")
+        .join(F.broadcast(dates), "Review_DateID")
+        .groupBy("VenueID", "ReviewYear", "ReviewRating")
         .agg(F.count("*").alias("Reviews"))
-        .join(dates, "Review_DateID")
         .join(venue_operator(star, operator_ids), "VenueID")
         .groupBy("ReviewYear", "ReviewRating")
         .agg(F.sum("Reviews").alias("Reviews"))

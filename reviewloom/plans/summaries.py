@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +23,14 @@ from reviewloom.functions.text import (
     word_list,
 )
 from reviewloom.operators.relational import key_of, venue_operator, venue_region, without
-from reviewloom.operators.upserts import date_range_upsert, insert_if_absent
-from reviewloom.session import cut_lineage
+from reviewloom.operators.upserts import (
+    RANGE_KEYS,
+    absent_rows,
+    date_range_upsert,
+    insert_date_ranges,
+    insert_if_absent,
+)
+from reviewloom.session import cut_lineage, keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
 
 # A summariser takes some texts of one group and the category (Venue, Operator or
@@ -67,17 +73,22 @@ def remaining_venues(star: ReviewStar, start: int, end: int) -> DataFrame:
 
 
 def venue_inputs(star: ReviewStar, start: int, end: int) -> DataFrame:
-    """Distinct texts of unsummarised venues in the window, with their latest date."""
-    texts = venue_texts(_window_reviews(star, start, end))
-    return texts.join(_open_venues(star, start, end), "VenueID", "left_semi")
+    """Distinct texts of unsummarised venues in the window, with their latest date.
 
+    Where the open venues can be broadcast, reviews of the others go before the
+    texts are shuffled.  Otherwise the texts are grouped first: that spreads a busy
+    venue over its texts before the venues are joined on their id alone.
+    """
+    reviews = _window_reviews(star, start, end)
+    open_venues, small = keep_for_broadcast(_open_venues(star, start, end))
+    if small:
+        return venue_texts(reviews.join(open_venues, "VenueID", "left_semi"))
+    return venue_texts(reviews).join(open_venues, "VenueID", "left_semi")
 
-def venue_texts(reviews: DataFrame) -> DataFrame:
-    """Distinct texts of each venue with their latest date.
 
-    Grouping by venue and text comes before any join on the venue alone, so a busy
-    venue is spread over its texts and copies are merged on the map side.
-    """
+def venue_texts(reviews: DataFrame) -> DataFrame:
+    """Distinct texts of each venue with their latest date; copies are merged on the
+    map side."""
     return reviews.groupBy("VenueID", "ReviewText").agg(F.max("Review_DateID").alias("Review_DateID"))
 
 
@@ -120,16 +131,17 @@ def remaining_regions(star: ReviewStar) -> DataFrame:
 def aspect_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Rows of each group that mention an aspect, and rows in all.
 
-    An aspect counts once for a row.  The extra hit without an aspect, which every
-    row has, carries the group's total through the same aggregation.
+    An aspect counts once for a row.  Every row also has one hit that is neither
+    good nor bad: it carries the group's total through the same aggregation, and
+    keeps groups without any aspect.
     """
-    everything = F.array(F.struct(F.lit(None).cast("boolean").alias("good"), F.lit("").alias("aspect")))
+    every_row = F.array(F.struct(F.lit(None).cast("boolean").alias("good"), F.lit("").alias("aspect")))
     hits = texts.select(*keys, word_list(clean_text(F.col(text))).alias("Words")).select(
-        *keys, F.inline(F.concat(everything, aspects(F.col("Words"))))
+        *keys, F.inline(F.concat(every_row, F.coalesce(aspects(F.col("Words")), F.array())))
     )
     counts = hits.groupBy(*keys, "good", "aspect").agg(F.count("*").alias("Mentions"))
-    total = F.max(F.when(F.col("aspect") == "", F.col("Mentions"))).over(Window.partitionBy(*keys))
-    return counts.withColumn("Total", total).where(F.col("aspect") != "")
+    total = F.max(F.when(F.col("good").isNull(), F.col("Mentions"))).over(Window.partitionBy(*keys))
+    return counts.withColumn("Total", total)
 
 
 def top_aspects(
@@ -148,19 +160,10 @@ def top_aspects(
 
     def listed(good: bool) -> Column:
         labels = F.sort_array(F.collect_list(F.when(F.col("good") == good, F.struct("Place", "Label"))))
-        return F.coalesce(
-            F.nullif(F.array_join(F.transform(labels, lambda row: row["Label"]), ", "), F.lit("")),
-            F.lit(schema.UNKNOWN_RAW),
-        )
+        joined = F.array_join(F.transform(labels, lambda row: row["Label"]), ", ")
+        return F.coalesce(F.nullif(joined, F.lit("")), F.lit(schema.UNKNOWN_RAW))
 
-    named = ranked.groupBy(*keys).agg(listed(True).alias("Pros"), listed(False).alias("Cons"))
-    nothing = F.lit(schema.UNKNOWN_RAW)
-    return (
-        texts.select(*keys)
-        .distinct()
-        .join(named, keys, "left")
-        .select(*keys, F.coalesce("Pros", nothing).alias("Pros"), F.coalesce("Cons", nothing).alias("Cons"))
-    )
+    return ranked.groupBy(*keys).agg(listed(True).alias("Pros"), listed(False).alias("Cons"))
 
 
 def summary_text(texts: DataFrame, keys: list[str], text: str, limit: int = schema.SUMMARY_WORDS) -> DataFrame:
@@ -272,22 +275,25 @@ def stage_venues(
     Here and below ``keep`` writes the new summaries, and only those, since
     numbering, the next levels and the publishing all read them.
     """
-    rows = keep(_renamed(summarise(venue_inputs(star, start, end), ["VenueID"], "ReviewText", "Venue"), "Venue"))
-    linked = rows.select(
+    summaries = summarise(venue_inputs(star, start, end), ["VenueID"], "ReviewText", "Venue")
+    rows = keep(_renamed(summaries, "Venue")).select(
         "*",
         range_id(star.date_range, start, end).alias("DateRangeID"),
         F.lit(0).alias("RegionSummaryID"),
         F.lit(0).alias("OperatorSummaryID"),
     )
-    return insert_if_absent(
-        star.summary_venue, linked, ["VenueID", "DateRangeID"], "VenueSummaryID"
-    )
+    return _staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID", keep)
+
+
+def _staged(table: DataFrame, rows: DataFrame, keys: list[str], id_column: str, keep: Keep) -> DataFrame:
+    """The table with new rows; the rows are kept with their ids."""
+    return table.unionByName(keep(absent_rows(table, rows, keys, id_column)))
 
 
 def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
     keys = ["OperatorID", "DateRangeID"]
     rows = keep(_renamed(summarise(operator_inputs(star), keys, "VenueSummary", "Operator"), "Operator"))
-    return insert_if_absent(star.summary_operator, rows, keys, "OperatorSummaryID")
+    return _staged(star.summary_operator, rows, keys, "OperatorSummaryID", keep)
 
 
 def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
@@ -301,7 +307,7 @@ def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_
         *keys, dash.alias("Summary"), dash.alias("Pros"), dash.alias("Cons")
     )
     rows = keep(_renamed(known.unionByName(dashes), "Region"))
-    return insert_if_absent(star.summary_region, rows, keys, "RegionSummaryID")
+    return _staged(star.summary_region, rows, keys, "RegionSummaryID", keep)
 
 
 def publish_summaries(star: ReviewStar, staged: ReviewStar) -> ReviewStar:
@@ -310,9 +316,7 @@ def publish_summaries(star: ReviewStar, staged: ReviewStar) -> ReviewStar:
     New venue summaries link to the published region and operator summaries of
     their venue, whose ids are the ones readers see.
     """
-    date_range = insert_if_absent(
-        star.date_range, staged.date_range, ["StartDateID", "EndDateID", "Months"], "DateRangeID"
-    )
+    date_range = insert_date_ranges(star.date_range, staged.date_range.select(*RANGE_KEYS))
     operators = insert_if_absent(
         star.summary_operator, staged.summary_operator, ["OperatorID", "DateRangeID"], "OperatorSummaryID"
     )
@@ -336,8 +340,7 @@ def publish_summaries(star: ReviewStar, staged: ReviewStar) -> ReviewStar:
     venues = insert_if_absent(
         star.summary_venue, linked, ["VenueID", "DateRangeID"], "VenueSummaryID"
     )
-    return replace(
-        star,
+    return star.replace(
         date_range=date_range,
         summary_operator=operators,
         summary_region=regions,
@@ -359,8 +362,8 @@ def summarise_all(
     Three jobs in a row, each over all its groups at once.
     """
     start, end = window_ids(label, months)
-    staged = replace(star, date_range=date_range_upsert(star.date_range, start, end, months))
-    staged = replace(staged, summary_venue=stage_venues(staged, start, end, summarise, keep))
-    staged = replace(staged, summary_operator=stage_operators(staged, summarise, keep))
-    staged = replace(staged, summary_region=stage_regions(staged, summarise, keep))
+    staged = star.replace(date_range=date_range_upsert(star.date_range, start, end, months))
+    staged = staged.replace(summary_venue=stage_venues(staged, start, end, summarise, keep))
+    staged = staged.replace(summary_operator=stage_operators(staged, summarise, keep))
+    staged = staged.replace(summary_region=stage_regions(staged, summarise, keep))
     return SummaryRun(staged, publish_summaries(star, staged))

@@ -13,7 +13,7 @@ from reviewloom.functions.scores import raw_phrase_score, raw_score
 from reviewloom.functions.text import phrase_label
 from reviewloom.operators.relational import sentiments
 from reviewloom.operators.upserts import insert_if_absent, update_column
-from reviewloom.session import cut_lineage
+from reviewloom.session import cut_lineage, keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
 
 
@@ -40,7 +40,8 @@ def scored_ids(star: ReviewStar, scores: DataFrame) -> DataFrame:
 
 def writeback_overall(star: ReviewStar, scores: DataFrame) -> DataFrame:
     """The review table with the new sentiment ids."""
-    return update_column(star.review, scored_ids(star, scores), "ReviewID", "ReviewSentimentID")
+    changes, _ = keep_for_broadcast(scored_ids(star, scores))
+    return update_column(star.review, changes, "ReviewID", "ReviewSentimentID")
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,9 @@ FLAG_KEYS = ["Phrase", "PhraseFlag", "PhraseSentimentID"]
 
 
 def upsert_phrase_flags(flags: DataFrame, rows: DataFrame) -> DataFrame:
-    """The flag table with the combinations it lacked."""
+    """The flag table with the combinations it lacked; a phrase has thirteen at most."""
     return insert_if_absent(
-        flags, rows.select(*FLAG_KEYS).distinct(), FLAG_KEYS, "PhraseSentimentFlagID"
+        flags, rows.select(*FLAG_KEYS).distinct(), FLAG_KEYS, "PhraseSentimentFlagID", few=True
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A hot text or venue is split by adaptive execution while it is joined.  The
 # "force" switch lets it split even where the next step would have reused the
@@ -55,3 +56,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A broadcast row here is a key and an id, so this is well under 100 MB.
+BROADCAST_ROWS = 500_000
+
+
+def keep_for_broadcast(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Write a narrow ``df`` once, count it, and hint it for broadcast if it is small.
+
+    The other side of the join is wide and large.  Adaptive execution finds out how
+    small this side is only after it has shuffled both; knowing it beforehand spares
+    the large side that shuffle.  The flag tells whether it is small.
+    """
+    kept = cut_lineage(df)
+    small = kept.count() <= BROADCAST_ROWS
+    return (F.broadcast(kept) if small else kept), small

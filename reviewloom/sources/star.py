@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.sources.tables import Reader
 
-
-@dataclass(frozen=True)
-class ReviewStar:
-    review: DataFrame
-    venue: DataFrame
-    brand: DataFrame
-    operator: DataFrame
-    postcode: DataFrame
-    region: DataFrame
-    dates: DataFrame
-    sentiment: DataFrame
-    phrase_flag: DataFrame
-    phrase_review: DataFrame
-    date_range: DataFrame
-    summary_venue: DataFrame
-    summary_operator: DataFrame
-    summary_region: DataFrame
-    venue_export: DataFrame
-
-
 # Table names in a stored star, by field.
 TABLES = {
     "review": "Review",
@@ -49,9 +30,31 @@ TABLES = {
 }
 
 
+class ReviewStar:
+    """The tables as attributes, each opened when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        unknown = set(makers) - set(TABLES)
+        if unknown:
+            raise ValueError(f"not tables of the star: {sorted(unknown)}")
+        self._makers = dict(makers)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._makers:
+            raise AttributeError(name)
+        table = self._makers[name]()
+        setattr(self, name, table)
+        return table
+
+    def replace(self, **tables: DataFrame) -> ReviewStar:
+        """The same star with other contents in some tables."""
+        made = {name: (lambda table=table: table) for name, table in tables.items()}
+        return ReviewStar({**{name: (lambda name=name: getattr(self, name)) for name in self._makers}, **made})
+
+
 def read_star(read: Reader) -> ReviewStar:
     """A star whose tables are kept under their own names."""
-    return ReviewStar(**{field: read(name) for field, name in TABLES.items()})
+    return ReviewStar({field: (lambda name=name: read(name)) for field, name in TABLES.items()})
 
 
 def star_from_orders(spark, folder: str) -> ReviewStar:
@@ -60,82 +63,59 @@ def star_from_orders(spark, folder: str) -> ReviewStar:
     Orders become reviews, customers venues, nations both brands and operators.
     """
 
+    @cache
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    nation, customer, orders = table("nation"), table("customer"), table("orders")
-
-    operator = nation.select(
-        F.col("n_nationkey").alias("OperatorID"),
-        F.concat(F.lit("OPERATOR "), F.col("n_nationkey")).alias("OperatorName"),
-    )
-    # Brands belong to the first twelve operators only; the others have none.
-    brand = nation.selectExpr("n_nationkey AS BrandID", "n_nationkey % 12 AS OperatorID")
-    region = table("region").selectExpr("r_regionkey AS RegionID", "r_name AS Region").unionByName(
-        spark.createDataFrame([(99, "-")], "RegionID int, Region string")
-    )
-    postcode = nation.selectExpr(
-        "n_nationkey AS PostcodeID",
-        "CASE WHEN n_nationkey >= 23 THEN 99 ELSE n_regionkey END AS RegionID",
-    )
-    venue = customer.selectExpr(
-        "c_custkey AS VenueID",
-        "CAST(c_custkey % 25 AS int) AS BrandID",
-        "c_nationkey AS PostcodeID",
-        "concat('OV', c_custkey) AS OperatorVenueCode",
-    )
-    venue_export = (
-        venue.join(brand, "BrandID")
-        .join(operator, "OperatorID")
-        .select("OperatorVenueCode", "OperatorName")
-    )
-    return ReviewStar(
-        review=orders.selectExpr(*_REVIEW),
-        venue=venue,
-        brand=brand,
-        operator=operator,
-        postcode=postcode,
-        region=region,
-        dates=orders.selectExpr(f"{_DATE_ID} AS DateID", "to_date(o_orderdate) AS ActualDate").distinct(),
-        sentiment=_sentiments(spark),
-        phrase_flag=table("part").selectExpr("CAST(p_partkey % 78 AS int) AS k").distinct().selectExpr(*_FLAG),
-        phrase_review=table("lineitem")
-        .where("l_linenumber = 1 AND l_returnflag = 'A'")
-        .selectExpr("l_orderkey AS ReviewID", f"{_FLAG_OF_REVIEW} AS PhraseSentimentFlagID")
-        .distinct(),
-        date_range=spark.createDataFrame(
-            [(1, 19980228, 19990228, 12)],
-            "DateRangeID int, StartDateID int, EndDateID int, Months int",
-        ),
-        summary_venue=customer.where("c_mktsegment = 'BUILDING'").selectExpr(
-            "CAST(c_custkey + 1 AS int) AS VenueSummaryID",
-            "concat('The staff was great. Seed ', c_mktsegment) AS VenueSummary",
-            "'-' AS VenuePros",
-            "'-' AS VenueCons",
-            "1 AS DateRangeID",
-            "c_custkey AS VenueID",
-            "0 AS RegionSummaryID",
-            "0 AS OperatorSummaryID",
-        ),
-        summary_operator=nation.where("n_regionkey = 0").selectExpr(
-            "n_nationkey + 1 AS OperatorSummaryID",
-            "'seed' AS OperatorSummary",
-            "'-' AS OperatorPros",
-            "'-' AS OperatorCons",
-            "1 AS DateRangeID",
-            "n_nationkey AS OperatorID",
-        ),
-        summary_region=nation.where("n_regionkey = 0").selectExpr(
-            "n_nationkey + 1 AS RegionSummaryID",
-            "'seed' AS RegionSummary",
-            "'-' AS RegionPros",
-            "'-' AS RegionCons",
-            "1 AS DateRangeID",
-            "n_regionkey AS RegionID",
-            "n_nationkey AS OperatorID",
-        ),
-        venue_export=venue_export,
+    def derived(name: str, *columns: str, where: str | None = None) -> Callable[[], DataFrame]:
+        def make() -> DataFrame:
+            rows = table(name) if where is None else table(name).where(where)
+            return rows.selectExpr(*columns)
+
+        return make
+
+    star = ReviewStar(
+        {
+            "review": derived("orders", *_REVIEW),
+            "venue": derived("customer", *_VENUE),
+            # Brands belong to the first twelve operators only; the others have none.
+            "brand": derived("nation", "n_nationkey AS BrandID", "n_nationkey % 12 AS OperatorID"),
+            "operator": derived(
+                "nation", "n_nationkey AS OperatorID", "concat('OPERATOR ', n_nationkey) AS OperatorName"
+            ),
+            "postcode": derived(
+                "nation",
+                "n_nationkey AS PostcodeID",
+                "CASE WHEN n_nationkey >= 23 THEN 99 ELSE n_regionkey END AS RegionID",
+            ),
+            "region": lambda: table("region")
+            .selectExpr("r_regionkey AS RegionID", "r_name AS Region")
+            .unionByName(spark.sql("SELECT 99 AS RegionID, '-' AS Region")),
+            "dates": lambda: derived(
+                "orders", f"{_DATE_ID} AS DateID", "to_date(o_orderdate) AS ActualDate"
+            )().distinct(),
+            "sentiment": lambda: _sentiments(spark),
+            "phrase_flag": lambda: derived("part", "CAST(p_partkey % 78 AS int) AS k")()
+            .distinct()
+            .selectExpr(*_FLAG),
+            "phrase_review": lambda: derived(
+                "lineitem",
+                "l_orderkey AS ReviewID",
+                f"{_FLAG_OF_REVIEW} AS PhraseSentimentFlagID",
+                where="l_linenumber = 1 AND l_returnflag = 'A'",
+            )().distinct(),
+            "date_range": lambda: spark.sql(
+                "SELECT 1 AS DateRangeID, 19980228 AS StartDateID, 19990228 AS EndDateID, 12 AS Months"
+            ),
+            "summary_venue": derived("customer", *_SUMMARY_VENUE, where="c_mktsegment = 'BUILDING'"),
+            "summary_operator": derived("nation", *_SUMMARY_OPERATOR, where="n_regionkey = 0"),
+            "summary_region": derived("nation", *_SUMMARY_REGION, where="n_regionkey = 0"),
+            "venue_export": lambda: star.venue.join(star.brand, "BrandID")
+            .join(star.operator, "OperatorID")
+            .select("OperatorVenueCode", "OperatorName"),
+        }
     )
+    return star
 
 
 def _sentiments(spark) -> DataFrame:
@@ -176,6 +156,43 @@ _REVIEW = [
                  ELSE 3 + (o_custkey + o_orderkey) % 11 END AS int) AS ReviewSentimentID""",
 ]
 
+_VENUE = [
+    "c_custkey AS VenueID",
+    "CAST(c_custkey % 25 AS int) AS BrandID",
+    "c_nationkey AS PostcodeID",
+    "concat('OV', c_custkey) AS OperatorVenueCode",
+]
+
+_SUMMARY_VENUE = [
+    "CAST(c_custkey + 1 AS int) AS VenueSummaryID",
+    "concat('The staff was great. Seed ', c_mktsegment) AS VenueSummary",
+    "'-' AS VenuePros",
+    "'-' AS VenueCons",
+    "1 AS DateRangeID",
+    "c_custkey AS VenueID",
+    "0 AS RegionSummaryID",
+    "0 AS OperatorSummaryID",
+]
+
+_SUMMARY_OPERATOR = [
+    "n_nationkey + 1 AS OperatorSummaryID",
+    "'seed' AS OperatorSummary",
+    "'-' AS OperatorPros",
+    "'-' AS OperatorCons",
+    "1 AS DateRangeID",
+    "n_nationkey AS OperatorID",
+]
+
+_SUMMARY_REGION = [
+    "n_nationkey + 1 AS RegionSummaryID",
+    "'seed' AS RegionSummary",
+    "'-' AS RegionPros",
+    "'-' AS RegionCons",
+    "1 AS DateRangeID",
+    "n_regionkey AS RegionID",
+    "n_nationkey AS OperatorID",
+]
+
 # Thirteen flags for each of six phrases: not discussed, unclear, and 11 scores.
 _FLAG = [
     "k AS PhraseSentimentFlagID",
