@@ -407,10 +407,10 @@ ORACLE["batch_json"] = sql(
     UNIQUE,
 )
 ORACLE["group_json"] = sql(
-    f"""SELECT VenueID, Part, Chunk, count(*) AS "Values", CAST(to_json(list(Letters ORDER BY Letters)) AS VARCHAR) AS ValuesJson FROM (
-    SELECT *, CAST((row_number() OVER (PARTITION BY VenueID, Part ORDER BY Letters) - 1) // 3 AS INT) AS Chunk FROM (
-    SELECT VenueID, CAST(min(ReviewID) % 3 AS INT) AS Part, {letters('ReviewText')} AS Letters FROM Written GROUP BY VenueID, ReviewText))
-    GROUP BY VenueID, Part, Chunk"""
+    f"""SELECT VenueID, Block, Chunk, count(*) AS "Values", CAST(to_json(list(Letters ORDER BY Letters)) AS VARCHAR) AS ValuesJson FROM (
+    SELECT *, CAST((row_number() OVER (PARTITION BY VenueID, Block ORDER BY Letters, ReviewID) - 1) // 3 AS INT) AS Chunk FROM (
+    SELECT VenueID, min(ReviewID) AS ReviewID, min(ReviewID) // {P.LIST_WIDTH} AS Block, {letters('ReviewText')} AS Letters
+    FROM Written GROUP BY VenueID, ReviewText)) GROUP BY VenueID, Block, Chunk"""
 )
 ORACLE["parse_scores"] = sql(
     f"""SELECT Queue, Batch, CAST(ReviewID AS DOUBLE) AS ReviewID,

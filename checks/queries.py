@@ -351,7 +351,7 @@ def group_json(star):
         F.min("ReviewID").alias("ReviewID")
     )
     letters = texts.select("VenueID", "ReviewID", text.alpha_only(F.col("ReviewText")).alias("Letters"))
-    return B.group_json(letters, ["VenueID"], "Letters", F.col("ReviewID"), size=3, spread=3)
+    return B.group_json(letters, ["VenueID"], "Letters", "ReviewID", size=3, width=P.LIST_WIDTH)
 
 
 def _replies(star) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from reviewloom import schema
 from reviewloom.functions.scores import is_valid_score
+from reviewloom.operators.duplicates import ID_BLOCK, id_block
 
 QUEUES = 1021
 
@@ -43,19 +44,19 @@ def batch_json(batched: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def group_json(
-    rows: DataFrame, keys: list[str], column: str, spread_by: Column, size: int,
-    spread: int = 61,
+    rows: DataFrame, keys: list[str], column: str, id_column: str, size: int,
+    width: int = ID_BLOCK,
 ) -> DataFrame:
     """One column of every group as JSON arrays of at most ``size`` values.
 
-    A group may be of any size, so its values are dealt to ``spread`` parts and
-    each part is cut into arrays.
+    A group may be of any size, so it is cut by blocks of its unique ids, ``width``
+    rows at most, before its values are put in order.
     """
-    place = F.row_number().over(Window.partitionBy(*keys, "Part").orderBy(column)) - 1
+    place = F.row_number().over(Window.partitionBy(*keys, "Block").orderBy(column, id_column)) - 1
     return (
-        rows.withColumn("Part", F.pmod(spread_by, F.lit(spread)).cast("int"))
+        rows.withColumn("Block", id_block(id_column, width))
         .withColumn("Chunk", F.floor(place / size).cast("int"))
-        .groupBy(*keys, "Part", "Chunk")
+        .groupBy(*keys, "Block", "Chunk")
         .agg(
             F.count("*").alias("Values"),
             F.to_json(F.sort_array(F.collect_list(column))).alias("ValuesJson"),

@@ -40,8 +40,12 @@ def duplicate_id_lists(
 
 
 def fan_out(scored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Give every copy the result of its text.  ``scored`` has one row a key, and
-    adaptive execution splits the copies of a hot one."""
+    """Give every copy the result of its text; ``scored`` has one row a key.
+
+    Adaptive execution splits the copies of a hot text.  For that ``scored`` has to
+    come from storage or a checkpoint: the result of a grouping by the same key
+    already lies where the join wants it, and is not shuffled with the copies.
+    """
     return rows.join(scored, key)
 
 

@@ -44,15 +44,18 @@ def operator_left_reviews(star: ReviewStar) -> DataFrame:
     """Every operator with its reviews that have a text, and operators without any.
 
     The text test belongs to the join, so it narrows the reviews and never drops
-    an operator.
+    an operator.  The last left join is written as its matching rows and the rest:
+    the reviews of a busy venue can be split in an inner join, but not as the
+    optional side of an outer one.
     """
     written = star.review.where(F.col("ReviewText").isNotNull()).select("ReviewID", "VenueID")
-    return (
+    venues = (
         star.operator.join(star.brand, "OperatorID", "left")
         .join(star.venue.select("VenueID", "BrandID"), "BrandID", "left")
-        .join(written, "VenueID", "left")
-        .select("OperatorID", "OperatorName", "VenueID", "ReviewID")
+        .select("OperatorID", "OperatorName", "VenueID")
     )
+    unreviewed = venues.join(thinned(written, ["VenueID"]), "VenueID", "left_anti")
+    return written.join(venues, "VenueID").unionByName(unreviewed, allowMissingColumns=True)
 
 
 def sentiments(star: ReviewStar) -> DataFrame:
@@ -70,12 +73,24 @@ def named_venues(star: ReviewStar, operator_names: list[str]) -> DataFrame:
 
 def without(rows: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not among ``taken``."""
-    return rows.join(taken.select(*keys), keys, "left_anti")
+    return rows.join(taken.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def having(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is among ``wanted``."""
-    return rows.join(wanted.select(*keys), keys, "left_semi")
+    return rows.join(thinned(wanted, keys), keys, "left_semi").select(*rows.columns)
+
+
+def thinned(rows: DataFrame, keys: list[str], copies: int = 16) -> DataFrame:
+    """The keys of ``rows``, each left ``copies`` times at most.
+
+    For the listed side of a semi or anti join whose keys repeat a lot.  Leaving each
+    key just once would place the keys as the join wants them, and adaptive execution
+    splits a hot key of the other side only where both sides are shuffled for the
+    join itself.
+    """
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(copies)).alias("_part")
+    return rows.select(*keys, part).distinct().drop("_part")
 
 
 def not_in(rows: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.relational import thinned
+
 KEY_BLOCK = 1 << 20
 
 
@@ -94,4 +96,4 @@ def update_column(table: DataFrame, changes: DataFrame, key: str, column: str) -
 
 def delete_by_text(table: DataFrame, texts: DataFrame, text: str = "ReviewText") -> DataFrame:
     """Drop the rows whose text is listed; rows without a text stay."""
-    return table.join(texts.select(text), text, "left_anti")
+    return table.join(thinned(texts, [text]), text, "left_anti").select(*table.columns)

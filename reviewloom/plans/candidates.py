@@ -61,7 +61,7 @@ def _of_operators(star: ReviewStar, keyed: DataFrame, operator_names: list[str]
     """Unset Wanted on reviews of other operators; the rows stay, since their dates count."""
     if not operator_names:
         return keyed
-    venues = named_venues(star, operator_names).distinct().withColumn("_named", F.lit(True))
+    venues = named_venues(star, operator_names).withColumn("_named", F.lit(True))
     return keyed.join(venues, "VenueID", "left").withColumn(
         "Wanted", F.col("Wanted") & F.coalesce("_named", F.lit(False))
     )

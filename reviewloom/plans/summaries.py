@@ -236,7 +236,7 @@ def _summarise_parts(
 ) -> DataFrame:
     """One call for each part.  Parts are as many as the group's own size asks for;
     its texts are distinct, so hashing them fills the parts evenly."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).alias("Parts"))
+    sizes, _ = keep_for_broadcast(rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).alias("Parts")))
     lists = (
         rows.join(sizes, keys)
         .groupBy(*keys, "Parts", F.pmod(F.xxhash64("Text"), "Parts").alias("Part"))
