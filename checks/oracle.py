@@ -172,24 +172,20 @@ ORACLE["rank_phrases"] = sql("SELECT * FROM Ranked", RANKED)
 
 STATS = f"""{RANKED},
 Ends AS (SELECT OperatorID,
-    max(CASE WHEN PositiveRank = 1 THEN Phrase END) AS MostPositivePhraseName,
-    max(CASE WHEN PositiveRank = 1 THEN AvgSentimentScore END) AS MostPositivePhraseSentiment,
-    max(CASE WHEN NegativeRank = 1 THEN Phrase END) AS MostNegativePhraseName,
-    max(CASE WHEN NegativeRank = 1 THEN AvgSentimentScore END) AS MostNegativePhraseSentiment FROM Ranked GROUP BY OperatorID),
-Counts AS (SELECT OperatorID, OperatorName, count(ReviewID) AS n,
-    count(CASE WHEN SentimentText != 'Unknown - Unprocessed' THEN 1 END) AS processed,
-    count(CASE WHEN SentimentScore > 0 THEN 1 END) AS positive,
-    count(CASE WHEN SentimentText != 'Unknown - Unprocessed' THEN SentimentScore END) AS scored,
-    sum(CASE WHEN SentimentText != 'Unknown - Unprocessed' THEN CAST(SentimentScore * 10 AS INT) END) AS tenths
-    FROM Operator LEFT JOIN Brand USING (OperatorID) LEFT JOIN Venue USING (BrandID)
-    LEFT JOIN Review r ON r.VenueID = Venue.VenueID AND r.ReviewText IS NOT NULL
-    LEFT JOIN Sentiment ON SentimentID = ReviewSentimentID GROUP BY OperatorID, OperatorName),
+    first(Phrase ORDER BY PositiveRank) AS MostPositivePhraseName,
+    max(AvgSentimentScore) AS MostPositivePhraseSentiment,
+    first(Phrase ORDER BY NegativeRank) AS MostNegativePhraseName,
+    min(AvgSentimentScore) AS MostNegativePhraseSentiment FROM Ranked GROUP BY OperatorID),
+Known AS (SELECT OperatorID, SentimentID <> 1 AS processed, CAST(SentimentScore * 10 AS INT) AS tenth
+    FROM Written JOIN VenueOperator USING (VenueID) LEFT JOIN Sentiment ON SentimentID = ReviewSentimentID),
+Counts AS (SELECT OperatorID, count(*) AS n, count(*) FILTER (WHERE processed) AS done, count(*) FILTER (WHERE tenth > 0) AS good,
+    count(tenth) FILTER (WHERE processed) AS scored, sum(tenth) FILTER (WHERE processed) AS tenths FROM Known GROUP BY OperatorID),
 Stats AS (SELECT OperatorID, OperatorName,
-    coalesce({half_up('processed * 100', 'n', 1)}, 0) AS ProcessedReviewRatio,
+    coalesce({half_up('done * 100', 'n', 1)}, 0) AS ProcessedReviewRatio,
     {half_up('tenths', '(10 * scored)', 2)} AS AvgSentimentScore,
-    {half_up('positive * 100', 'processed', 1)} AS PositiveReviewPercentage,
-    n AS CountReviews, MostPositivePhraseName, MostPositivePhraseSentiment, MostNegativePhraseName, MostNegativePhraseSentiment
-    FROM Counts LEFT JOIN Ends USING (OperatorID))"""
+    {half_up('good * 100', 'done', 1)} AS PositiveReviewPercentage,
+    coalesce(n, 0) AS CountReviews, Ends.* EXCLUDE (OperatorID)
+    FROM Operator LEFT JOIN Counts USING (OperatorID) LEFT JOIN Ends USING (OperatorID))"""
 
 ORACLE["operator_stats"] = sql("SELECT * EXCLUDE (OperatorID) FROM Stats", STATS)
 ORACLE["operator_stats_selected"] = sql(
@@ -254,10 +250,10 @@ ORACLE["rating_by_sentiment"] = sql(
     {half_up('sum(ReviewRating)', 'count(ReviewRating)', 6)} AS AvgReviewRating FROM Scored GROUP BY 1""",
     SCORED,
 )
-MIX = f"""Mix AS (SELECT ReviewYear, ReviewRating, {half_up('count(*)', 'TotalReviews', 6)} AS RatingProportion FROM (
-    SELECT CAST(year(ActualDate) AS INT) AS ReviewYear, ReviewRating, count(*) OVER (PARTITION BY year(ActualDate)) AS TotalReviews
-    FROM Review JOIN VenueOperator USING (VenueID) JOIN Dates ON DateID = Review_DateID WHERE ReviewRating IS NOT NULL)
-    GROUP BY ReviewYear, ReviewRating, TotalReviews)"""
+MIX = f"""Rated AS (SELECT CAST(year(ActualDate) AS INT) AS ReviewYear, ReviewRating, count(*) AS n
+    FROM Review SEMI JOIN VenueOperator USING (VenueID) JOIN Dates ON DateID = Review_DateID WHERE ReviewRating IS NOT NULL GROUP BY ALL),
+Years AS (SELECT ReviewYear, sum(n) AS total FROM Rated GROUP BY ReviewYear),
+Mix AS (SELECT ReviewYear, ReviewRating, {half_up('n', 'total', 6)} AS RatingProportion FROM Rated JOIN Years USING (ReviewYear))"""
 ORACLE["rating_mix_by_year"] = sql("SELECT * FROM Mix ORDER BY 1, 2", MIX)
 ORACLE["rating_mix_pivot"] = sql(
     "SELECT ReviewYear, "
@@ -286,8 +282,7 @@ ORACLE["operator_left_reviews"] = sql(
     LEFT JOIN Venue USING (BrandID) LEFT JOIN Review r ON r.VenueID = Venue.VenueID AND r.ReviewText IS NOT NULL"""
 )
 ORACLE["anti_leftnull"] = sql(
-    """SELECT v.VenueID, v.BrandID FROM Venue v LEFT JOIN Summary_Venue s ON s.VenueID = v.VenueID
-    WHERE s.VenueSummaryID IS NULL"""
+    """SELECT VenueID, BrandID FROM Venue LEFT JOIN Summary_Venue USING (VenueID) WHERE VenueSummaryID IS NULL"""
 )
 ORACLE["anti_not_exists"] = sql(
     """SELECT ReviewID, 0 AS PhraseSentimentFlagID FROM Bridge b WHERE NOT EXISTS (
@@ -298,14 +293,12 @@ ORACLE["semi_text"] = sql(
     """SELECT ReviewID, ReviewText FROM Review WHERE ReviewText IN (
     SELECT DISTINCT ReviewText FROM Review WHERE ReviewSentimentID = 1 AND ReviewText IS NOT NULL)"""
 )
-REGION_INPUTS = """RegionInputs AS (SELECT sv.VenueID, VenueSummary, o.OperatorID, sv.DateRangeID, r.RegionID
-    FROM Summary_Venue sv JOIN VenueOperator o ON o.VenueID = sv.VenueID JOIN VenueRegion r ON r.VenueID = sv.VenueID
-    LEFT JOIN Summary_Region sr ON sr.RegionID = r.RegionID AND sr.OperatorID = o.OperatorID AND sr.DateRangeID = sv.DateRangeID
-    WHERE sr.RegionSummaryID IS NULL)"""
+REGION_INPUTS = """RegionInputs AS (SELECT VenueID, VenueSummary, OperatorID, DateRangeID, RegionID
+    FROM Summary_Venue JOIN VenueOperator USING (VenueID) JOIN VenueRegion USING (VenueID)
+    ANTI JOIN Summary_Region USING (RegionID, OperatorID, DateRangeID))"""
 ORACLE["region_inputs"] = sql("SELECT * FROM RegionInputs", REGION_INPUTS)
 ORACLE["nth_group"] = sql(
-    """SELECT i.* FROM RegionInputs i JOIN (SELECT DISTINCT OperatorID, RegionID FROM RegionInputs
-    ORDER BY OperatorID, RegionID LIMIT 1 OFFSET 2) x ON i.OperatorID = x.OperatorID AND i.RegionID = x.RegionID""",
+    "SELECT * FROM RegionInputs QUALIFY dense_rank() OVER (ORDER BY OperatorID, RegionID) = 3",
     REGION_INPUTS,
 )
 
@@ -334,13 +327,11 @@ RUNNING = """Running AS (SELECT ReviewID, ReviewText, max(Review_DateID) OVER (P
     max(Review_DateID) OVER (PARTITION BY ReviewText) AS FullMax FROM Written)"""
 ORACLE["running_max_date"] = sql("SELECT ReviewID, RunningMax FROM Running", RUNNING)
 ORACLE["propagate_labels"] = sql(
-    """SELECT DISTINCT r.ReviewID, k.PhraseSentimentFlagID FROM Written r JOIN (
-        SELECT DISTINCT ReviewText, PhraseSentimentFlagID FROM Bridge JOIN Review USING (ReviewID)) k ON k.ReviewText = r.ReviewText
-    WHERE NOT EXISTS (SELECT * FROM Bridge b WHERE b.ReviewID = r.ReviewID AND b.PhraseSentimentFlagID = k.PhraseSentimentFlagID)"""
+    """SELECT copy.ReviewID, PhraseSentimentFlagID FROM Bridge JOIN Written AS known USING (ReviewID)
+    JOIN Written AS copy ON copy.ReviewText = known.ReviewText EXCEPT SELECT ReviewID, PhraseSentimentFlagID FROM Bridge"""
 )
-ORACLE["propagate_document_labels"] = """SELECT DISTINCT d.doc_id, k.quality, k.toxic FROM documents d JOIN (
-        SELECT DISTINCT text, quality, toxic FROM labels JOIN documents USING (doc_id)) k ON k.text = d.text
-    WHERE NOT EXISTS (SELECT * FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = k.quality AND l.toxic = k.toxic)"""
+ORACLE["propagate_document_labels"] = """SELECT copy.doc_id, quality, toxic FROM labels JOIN documents AS known USING (doc_id)
+    JOIN documents AS copy ON copy.text = known.text EXCEPT SELECT doc_id, quality, toxic FROM labels"""
 
 # ---- candidates -----------------------------------------------------------
 
@@ -464,8 +455,7 @@ ORACLE["score_documents_batched"] = sql(
 
 # ---- write-back and upserts -----------------------------------------------
 
-DIM_JOIN = """JOIN Sentiment d ON (x.Raw = d.SentimentRawScore AND d.SentimentText = 'Unknown - Processed')
-    OR (x.Raw = d.SentimentRawScore AND x.Raw <> '-')"""
+DIM_JOIN = "JOIN (SELECT * FROM Sentiment WHERE SentimentID <> 1) d ON d.SentimentRawScore = x.Raw"
 ORACLE["score_dim_or_join"] = sql(
     f"""SELECT ReviewID, d.SentimentID, d.SentimentText FROM (
     SELECT ReviewID, SentimentRawScore AS Raw FROM Review JOIN Sentiment ON SentimentID = ReviewSentimentID) x {DIM_JOIN}"""
@@ -488,15 +478,12 @@ NEW_FLAGS = """EarlyFlags AS (SELECT * FROM Flags WHERE PhraseFlag = 0),
 AllFlags AS (SELECT * FROM EarlyFlags UNION ALL
     SELECT CAST((SELECT max(PhraseSentimentFlagID) FROM EarlyFlags) + row_number() OVER (ORDER BY Phrase, PhraseFlag, PhraseSentimentID) AS INT),
         Phrase, PhraseFlag, PhraseSentimentID FROM (
-        SELECT DISTINCT Phrase, PhraseFlag, PhraseSentimentID FROM PhraseRows p WHERE NOT EXISTS (
-            SELECT * FROM EarlyFlags f WHERE f.Phrase = p.Phrase AND f.PhraseFlag = p.PhraseFlag AND f.PhraseSentimentID = p.PhraseSentimentID)))"""
+        SELECT Phrase, PhraseFlag, PhraseSentimentID FROM PhraseRows EXCEPT SELECT Phrase, PhraseFlag, PhraseSentimentID FROM EarlyFlags))"""
 
 
 def bridged(flags: str) -> str:
-    return f"""SELECT * FROM Bridge UNION ALL
-    SELECT p.ReviewID, f.PhraseSentimentFlagID FROM PhraseRows p JOIN {flags} f ON f.Phrase = p.Phrase
-        AND f.PhraseFlag = p.PhraseFlag AND f.PhraseSentimentID = p.PhraseSentimentID
-    WHERE NOT EXISTS (SELECT * FROM Bridge b WHERE b.ReviewID = p.ReviewID AND b.PhraseSentimentFlagID = f.PhraseSentimentFlagID)"""
+    return f"""SELECT * FROM Bridge UNION SELECT ReviewID, PhraseSentimentFlagID
+    FROM PhraseRows JOIN {flags} USING (Phrase, PhraseFlag, PhraseSentimentID)"""
 
 
 ORACLE["upsert_phrase_flags"] = sql("SELECT * FROM AllFlags", *PHRASE_ROWS, NEW_FLAGS)
@@ -510,7 +497,7 @@ ORACLE["writeback_phrase"] = sql(
 ORACLE["insert_if_absent"] = sql(
     """SELECT * FROM Summary_Venue UNION ALL
     SELECT CAST((SELECT max(VenueSummaryID) FROM Summary_Venue) + row_number() OVER (ORDER BY VenueID) AS INT), 'new', '-', '-', 1, VenueID, 0, 0
-    FROM Venue v WHERE NOT EXISTS (SELECT * FROM Summary_Venue s WHERE s.VenueID = v.VenueID AND s.DateRangeID = 1)"""
+    FROM Venue ANTI JOIN Summary_Venue USING (VenueID)"""
 )
 WINDOWS = """Windows AS (SELECT DISTINCT strftime(ActualDate, '%b-%y') AS Label,
     CAST(strftime(last_day(date_trunc('month', ActualDate) - INTERVAL 12 MONTH), '%Y%m%d') AS INT) AS StartDateID,
@@ -518,8 +505,8 @@ WINDOWS = """Windows AS (SELECT DISTINCT strftime(ActualDate, '%b-%y') AS Label,
 ORACLE["reporting_window"] = sql("SELECT * FROM Windows", WINDOWS)
 ORACLE["date_range_upsert"] = sql(
     """SELECT * FROM DateRange UNION ALL
-    SELECT CAST(1 + row_number() OVER (ORDER BY StartDateID, EndDateID) AS INT), StartDateID, EndDateID, 12 FROM Windows w
-    WHERE NOT EXISTS (SELECT * FROM DateRange d WHERE d.StartDateID = w.StartDateID AND d.EndDateID = w.EndDateID AND d.Months = 12)""",
+    SELECT CAST(1 + row_number() OVER (ORDER BY StartDateID, EndDateID) AS INT), StartDateID, EndDateID, 12 FROM Windows
+    ANTI JOIN DateRange USING (StartDateID, EndDateID)""",
     WINDOWS,
 )
 ORACLE["delete_by_text"] = sql(
@@ -531,9 +518,10 @@ ORACLE["delete_by_text"] = sql(
 
 
 def open_reviews(start: int, end: int, summaries: str, ranges: str) -> str:
-    return f"""(SELECT r.* FROM Written r JOIN {ranges} dr ON dr.StartDateID = {start} AND dr.EndDateID = {end}
-    LEFT JOIN {summaries} sv ON sv.VenueID = r.VenueID AND sv.DateRangeID = dr.DateRangeID
-    WHERE sv.VenueSummaryID IS NULL AND r.Review_DateID BETWEEN {start} AND {end}) x"""
+    wanted = f"SELECT DateRangeID FROM {ranges} WHERE StartDateID = {start} AND EndDateID = {end}"
+    return f"""(SELECT * FROM Written SEMI JOIN Venue USING (VenueID)
+    ANTI JOIN (SELECT VenueID FROM {summaries} WHERE DateRangeID IN ({wanted})) USING (VenueID)
+    WHERE Review_DateID BETWEEN {start} AND {end} AND EXISTS ({wanted})) x"""
 
 
 OPEN_REVIEWS = open_reviews(P.START, P.END, "Summary_Venue", "DateRange")
@@ -541,9 +529,8 @@ VENUE_TEXTS = "SELECT VenueID, ReviewText, max(Review_DateID) AS Review_DateID"
 ORACLE["remaining_venues"] = sql(f"SELECT count(DISTINCT VenueID) AS Remaining FROM {OPEN_REVIEWS}")
 ORACLE["venue_inputs"] = sql(f"{VENUE_TEXTS} FROM {OPEN_REVIEWS} GROUP BY VenueID, ReviewText")
 ORACLE["venue_texts"] = sql(f"{VENUE_TEXTS} FROM Written GROUP BY VenueID, ReviewText")
-OPERATOR_INPUTS = """OperatorInputs AS (SELECT DISTINCT VenueSummary, o.OperatorID, sv.DateRangeID FROM Summary_Venue sv
-    JOIN VenueOperator o ON o.VenueID = sv.VenueID
-    LEFT JOIN Summary_Operator so ON so.OperatorID = o.OperatorID AND so.DateRangeID = sv.DateRangeID WHERE so.OperatorID IS NULL)"""
+OPERATOR_INPUTS = """OperatorInputs AS (SELECT DISTINCT VenueSummary, OperatorID, DateRangeID FROM Summary_Venue
+    JOIN VenueOperator USING (VenueID) ANTI JOIN Summary_Operator USING (OperatorID, DateRangeID))"""
 ORACLE["operator_inputs"] = sql("SELECT * FROM OperatorInputs", OPERATOR_INPUTS)
 ORACLE["remaining_operators"] = sql(
     "SELECT count(DISTINCT OperatorID) AS Remaining FROM OperatorInputs", OPERATOR_INPUTS
@@ -591,9 +578,8 @@ def staged_operators(venues: str) -> list[str]:
     return [
         numbered(
             "OperatorSrc",
-            f"""SELECT DISTINCT VenueSummary, o.OperatorID, sv.DateRangeID FROM {venues} sv
-            JOIN VenueOperator o ON o.VenueID = sv.VenueID WHERE NOT EXISTS (SELECT * FROM Summary_Operator so
-                WHERE so.OperatorID = o.OperatorID AND so.DateRangeID = sv.DateRangeID)""",
+            f"""SELECT DISTINCT VenueSummary, OperatorID, DateRangeID FROM {venues} JOIN VenueOperator USING (VenueID)
+            ANTI JOIN Summary_Operator USING (OperatorID, DateRangeID)""",
         ),
         summary_ctes("O", "OperatorSrc", "OperatorID, DateRangeID", "VenueSummary"),
         """StagedOperator AS (SELECT * FROM Summary_Operator UNION ALL
@@ -606,10 +592,8 @@ def staged_regions(venues: str) -> list[str]:
     return [
         numbered(
             "RegionAll",
-            f"""SELECT VenueSummary, o.OperatorID, r.RegionID, sv.DateRangeID FROM {venues} sv
-            JOIN VenueOperator o ON o.VenueID = sv.VenueID JOIN VenueRegion r ON r.VenueID = sv.VenueID
-            WHERE NOT EXISTS (SELECT * FROM Summary_Region sr WHERE sr.OperatorID = o.OperatorID
-                AND sr.RegionID = r.RegionID AND sr.DateRangeID = sv.DateRangeID)""",
+            f"""SELECT VenueSummary, OperatorID, RegionID, DateRangeID FROM {venues} JOIN VenueOperator USING (VenueID)
+            JOIN VenueRegion USING (VenueID) ANTI JOIN Summary_Region USING (OperatorID, RegionID, DateRangeID)""",
         ),
         "RegionSrc AS (SELECT * FROM RegionAll WHERE RegionID <> 99)",
         summary_ctes("R", "RegionSrc", "OperatorID, RegionID, DateRangeID", "VenueSummary"),
@@ -635,12 +619,11 @@ ALL_LEVELS = [
 
 def published_venues(venues: str, regions: str, operators: str, existing: str) -> str:
     return f"""SELECT CAST(coalesce((SELECT max(VenueSummaryID) FROM {existing}), 0)
-        + row_number() OVER (ORDER BY sv.VenueID, sv.DateRangeID) AS INT) AS VenueSummaryID,
-        VenueSummary, VenuePros, VenueCons, sv.DateRangeID, sv.VenueID, sr.RegionSummaryID, so.OperatorSummaryID
-    FROM {venues} sv JOIN VenueOperator o ON o.VenueID = sv.VenueID JOIN VenueRegion r ON r.VenueID = sv.VenueID
-    JOIN {regions} sr ON sr.RegionID = r.RegionID AND sr.OperatorID = o.OperatorID AND sr.DateRangeID = sv.DateRangeID
-    JOIN {operators} so ON so.OperatorID = o.OperatorID AND so.DateRangeID = sv.DateRangeID
-    WHERE NOT EXISTS (SELECT * FROM {existing} e WHERE e.VenueID = sv.VenueID AND e.DateRangeID = sv.DateRangeID)"""
+        + row_number() OVER (ORDER BY VenueID, DateRangeID) AS INT) AS VenueSummaryID,
+        VenueSummary, VenuePros, VenueCons, DateRangeID, VenueID, r.RegionSummaryID, o.OperatorSummaryID
+    FROM {venues} JOIN VenueOperator USING (VenueID) JOIN VenueRegion USING (VenueID)
+    JOIN {regions} r USING (RegionID, OperatorID, DateRangeID) JOIN {operators} o USING (OperatorID, DateRangeID)
+    ANTI JOIN {existing} USING (VenueID, DateRangeID)"""
 
 
 ORACLE["summarise_all"] = sql(

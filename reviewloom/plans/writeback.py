@@ -18,16 +18,11 @@ from reviewloom.sources.star import ReviewStar
 
 
 def with_sentiment_id(scored: DataFrame, star: ReviewStar, raw: str) -> DataFrame:
-    """Find the sentiment of a raw score.  Two sentiments share the unknown score;
-    the processed one is meant.  Both branches share one equality, which is what
-    the join runs on."""
-    score = F.col(raw) == F.col("SentimentRawScore")
+    """Find the sentiment of a raw score.  Two sentiments share the unknown score; the
+    processed one is meant."""
     dimension = sentiments(star).select("SentimentID", "SentimentText", "SentimentRawScore")
-    return scored.join(
-        dimension,
-        (score & (F.col("SentimentText") == schema.PROCESSED_UNKNOWN))
-        | (score & (F.col(raw) != schema.UNKNOWN_RAW)),
-    )
+    known = (F.col("SentimentText") == schema.PROCESSED_UNKNOWN) | (F.col(raw) != schema.UNKNOWN_RAW)
+    return scored.join(dimension, (F.col(raw) == F.col("SentimentRawScore")) & known)
 
 
 def scored_ids(star: ReviewStar, scores: DataFrame) -> DataFrame:
