@@ -110,7 +110,7 @@ def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
     Reason says why not.
     """
     received = F.col("Received")
-    sent_ids = F.transform("Items", lambda sent: sent["ReviewID"].cast("double"))
+    sent_ids = F.transform("Items", lambda sent: sent["ReviewID"].cast(schema.REPLY_ID))
     received_ids = F.transform(received, lambda got: got["ReviewID"])
     flag_ok = lambda got: F.lit(True)
     if "PhraseFlag" in item.fieldNames():

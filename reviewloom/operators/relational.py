@@ -55,7 +55,8 @@ def operator_left_reviews(star: ReviewStar) -> DataFrame:
         .select("OperatorID", "OperatorName", "VenueID")
     )
     unreviewed = venues.join(thinned(written, ["VenueID"]), "VenueID", "left_anti")
-    return written.join(venues, "VenueID").unionByName(unreviewed, allowMissingColumns=True)
+    rows = written.join(venues, "VenueID").unionByName(unreviewed, allowMissingColumns=True)
+    return rows.select("OperatorID", "OperatorName", "VenueID", "ReviewID")
 
 
 def sentiments(star: ReviewStar) -> DataFrame:

@@ -89,11 +89,21 @@ def reply_item(phrases: list[str] | None) -> T.StructType:
 
 
 def ask_scorer(batches: DataFrame, scorer: Scorer) -> DataFrame:
-    """Call the scorer once for each batch row; only JSON crosses to Python and back."""
+    """Call the scorer once for each batch row; only JSON crosses to Python and back.
+
+    A call that fails leaves the batch without a reply, and it is set aside later:
+    one bad batch does not end the run.
+    """
+
+    def attempt(batch: str) -> str | None:
+        try:
+            return scorer(batch)
+        except Exception:
+            return None
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(Reply=frame["ItemsJson"].map(scorer))
+            yield frame.assign(Reply=frame["ItemsJson"].map(attempt))
 
     narrow = batches.select("Queue", "Batch", "ItemsJson")
     output = T.StructType([*narrow.schema.fields, T.StructField("Reply", T.StringType())])

@@ -35,17 +35,19 @@ REVIEW = T.StructType(
     ]
 )
 
-# Scorer replies arrive as JSON numbers, so every number is read as a double and
-# narrowed only after it has been checked to be whole.
+# Scorer replies arrive as JSON numbers and are narrowed only after they have been
+# checked to be whole.  Ids are read as decimals: a double would blur those above 2^53.
+REPLY_ID = T.DecimalType(38, 6)
+
 OVERALL_ITEM = T.StructType(
     [
-        T.StructField("ReviewID", T.DoubleType()),
+        T.StructField("ReviewID", REPLY_ID),
         T.StructField("Sentiment", T.DoubleType()),
     ]
 )
 PHRASE_ITEM = T.StructType(
     [
-        T.StructField("ReviewID", T.DoubleType()),
+        T.StructField("ReviewID", REPLY_ID),
         T.StructField("PhraseFlag", T.DoubleType()),
         T.StructField("Sentiment", T.DoubleType()),
     ]

@@ -56,6 +56,11 @@ def save_table(
     writer.saveAsTable(name)
 
 
+def save_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str]) -> None:
+    """Replace the rows of a database table; its definition stays."""
+    df.write.option("truncate", True).jdbc(url, name, mode="overwrite", properties=properties)
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
 

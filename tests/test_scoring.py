@@ -52,6 +52,31 @@ def test_verdicts(spark, text, reason):
     assert checked.count() == B.accepted_scores(checked, schema.OVERALL_ITEM).count() // 2 + B.quarantine(checked).count()
 
 
+def test_large_ids_are_told_apart(spark):
+    ids = (2**60 + 1, 2**60 + 2)
+    assert judged(spark, reply(item(ids[0], 5), item(ids[1], 5)), ids).first().Reason is None
+    assert judged(spark, reply(item(2**60, 5), item(ids[1], 5)), ids).first().Reason == "ids differ"
+
+
+def test_summary_replies_parse(spark):
+    text = json.dumps({"review_summary": [{"Summary": "Good.", "Pros": "great staff (20%)", "Cons": "-"}]})
+    df = spark.createDataFrame([(1, text)], "VenueID int, Reply string")
+    assert tuple(B.parse_scores(df, "Reply", schema.SUMMARY_ITEM).first()) == (1, "Good.", "great staff (20%)", "-")
+
+
+def test_failing_scorer_fails_its_batches_only(star):
+    inner = scoring.lexicon_scorer()
+
+    def shaky(batch):
+        if "portion" in batch:
+            raise ValueError("no answer")
+        return inner(batch)
+
+    run = scoring.run_scorer(star.review, shaky, size=1, queues=3)
+    reasons = {row.Reason for row in run.rejects.select("Reason").collect()}
+    assert reasons == {"empty reply"} and not run.scores.isEmpty()
+
+
 def test_phrase_flags_are_checked(spark):
     good = reply(item(1, 5, PhraseFlag=1), item(2, -1, PhraseFlag=0))
     bad = reply(item(1, 5, PhraseFlag=2), item(2, -1, PhraseFlag=0))

@@ -174,5 +174,12 @@ def test_rows_as_json(spark):
     assert tables.row_json(spark.sql("SELECT 1 AS a, 'x' AS b")).first().json == '{"a":1,"b":"x"}'
 
 
+def test_kept_results_are_read_back(spark, rows):
+    df = spark.sql("SELECT 1 AS a, array(named_struct('b', CAST(1.5 AS decimal(3,1)))) AS s UNION ALL SELECT 2, NULL")
+    assert rows(session.cut_lineage(df)) == rows(df)
+    kept, small = session.keep_for_broadcast(df.where("a > 5"))
+    assert small and kept.isEmpty()
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert session.checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
