@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import bpe, exact_dedup
+from reviewloom.llm import bpe, exact_dedup, langid, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +64,41 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op9_extendible_hash(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))[0]
+
+
+@query()
+def op2_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select(
+        F.col("row.doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+    )
+
+
+@query()
+def op4_ftrl_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs)
+    found = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), langid.identify(model, spark, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query("""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    f AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM f)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM g
+""")
+def op5_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, folder, "pages"))
+    # What is returned comes from the records that were read back.
+    own = F.col("payload").isNotNull()
+    return records.select(
+        F.col("page").cast("long").alias("page_id"),
+        F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
