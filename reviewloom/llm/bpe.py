@@ -31,8 +31,8 @@ FIRST = 0x100
 MAPPED = "".join(chr(FIRST + byte) for byte in range(256))
 
 # Chunks of text whose ids a Python worker remembers; beyond that it starts anew.
-CACHE = 1_000_000
-PORTION = 4 << 20
+CACHE = 400_000
+PORTION = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
