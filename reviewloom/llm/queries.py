@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import bpe, exact_dedup, langid, mixing, warc
+from reviewloom.llm import bpe, embedding_join, exact_dedup, langid, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,8 @@ def op5_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query()
+def op8_epsilon_grid_order(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_join.embedding_links(table(spark, folder, "embeddings"))
