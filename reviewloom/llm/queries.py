@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import bpe, embedding_join, exact_dedup, langid, mixing, warc
+from reviewloom.llm import bpe, embedding_join, exact_dedup, langid, minhash, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +107,9 @@ def op5_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_epsilon_grid_order(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_join.embedding_links(table(spark, folder, "embeddings"))
+
+
+@query()
+def op6_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    classes = minhash.near_dedup(table(spark, folder, "documents"))
+    return classes.select("doc_id", "class_id", "kept")
