@@ -25,7 +25,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     numbers or local groups that depend on how the input was split are fixed.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
