@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import bpe, embedding_join, exact_dedup, langid, minhash, mixing, warc
+from reviewloom.llm import bpe, chunk_dedup, embedding_join, exact_dedup, langid, minhash, mixing, repeats, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,15 @@ def op8_epsilon_grid_order(spark: SparkSession, folder: str) -> DataFrame:
 def op6_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = minhash.near_dedup(table(spark, folder, "documents"))
     return classes.select("doc_id", "class_id", "kept")
+
+
+@query()
+def op3_gear_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    cut = chunk_dedup.chunk_dedup(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
