@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import bpe, chunk_dedup, embedding_join, exact_dedup, langid, minhash, mixing, repeats, warc
+from reviewloom.llm import bpe, chunk_dedup, embedding_join, exact_dedup, langid, minhash, mixing, repeats, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,3 +125,14 @@ def op3_gear_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def op10_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op7_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secrets.find_candidates(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    judged = secrets.judge(found, secrets.rule_labels(found))
+    return judged.select(
+        F.col("id").alias("doc_id"), "lo", "hi", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret"
+    )
