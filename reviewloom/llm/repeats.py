@@ -81,7 +81,9 @@ def cut_parts(body: bytes, length: int) -> dict[str, np.ndarray]:
         out["start"].append(first + begin)
         out["n"].append(last - first)
         out["distance"].append(at - first)
-    return {name: np.concatenate(values) if values else np.zeros(0, np.int64) for name, values in out.items()}
+    # Texts without parts have arrays of the same kinds: hashes mixed with signed numbers would become floats.
+    kinds = {"name": np.uint64, "content": np.uint64}
+    return {name: np.concatenate([np.zeros(0, kinds.get(name, np.int64)), *values]) for name, values in out.items()}
 
 
 def parts(texts: DataFrame, length: int) -> DataFrame:
@@ -104,7 +106,7 @@ def parts(texts: DataFrame, length: int) -> DataFrame:
     def lines(held: list, rows: list) -> pa.RecordBatch:
         column = {name: np.concatenate([found[name] for found in held]) for name in held[0]}
         return pa.RecordBatch.from_pydict({
-            "name": column["name"].astype(np.uint64).view(np.int64), "content": column["content"].astype(np.uint64).view(np.int64), "rk": np.concatenate(rows),
+            "name": column["name"].view(np.int64), "content": column["content"].view(np.int64), "rk": np.concatenate(rows),
             "start": column["start"].astype(np.int32), "n_starts": column["n"].astype(np.int16), "distance": column["distance"].astype(np.int16),
         })
 
@@ -269,8 +271,8 @@ def resolve(rows: DataFrame, length: int, splits: tuple[int, ...] = SPLITS, hot:
 
     ``rows`` are kept: name, content, n_starts, distance, times (occurrences) and body of each part.
     """
-    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("parts"), F.sum("times").alias("total"))
-    sized = rows.join(sizes, "name").where("total > 1")
+    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("parts"), F.sum("times").alias("total")).where("total > 1")
+    sized = rows.join(keep(sizes, "sizes"), "name")
     plain = (
         sized.where(F.col("parts").between(2, hot)).select("name", "content", "n_starts", "times", "body")
         .repartition(tasks(rows.sparkSession), "name").sortWithinPartitions("name", "content")
@@ -329,9 +331,11 @@ def different_parts(found: DataFrame, texts: DataFrame, length: int) -> DataFram
 def repeated_spans(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``rk, lo, hi`` of bytes of ``texts (rk, body)`` that repeated strings cover."""
     every = parts(texts, length)
-    counted = every.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("alike")
-    ).where("n > 1")
+    # Kept, so that both sides of the join are shuffled for it and hot names are split.
+    counted = keep(
+        every.groupBy("name").agg(F.count(F.lit(1)).alias("n"), (F.min("content") == F.max("content")).alias("alike")).where("n > 1"),
+        "counted",
+    )
     mixed = keep(every.join(counted.drop("n"), "name"), "names")
     # Names whose parts are all equal repeat as a whole; the others are indexed.
     end = F.col("start") + F.col("n_starts") - 1 + length
