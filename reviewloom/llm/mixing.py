@@ -62,7 +62,7 @@ def share_targets(sizes: dict[str | None, int], weights: Sequence[float], cap: f
         if not over:
             return targets | shares
         for name in over:
-            targets[name] = cap * sizes[name]
+            targets[name] = float(cap * sizes[name])
             rest -= targets[name]
         free = [name for name in free if name not in targets]
         rest = max(rest, 0.0)
