@@ -58,11 +58,11 @@ class RollingHash:
 def occurring_twice(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key other rows have, too, and how many have it (``n``).
 
-    Keys are counted in the tasks before they are shuffled; adaptive execution splits the
-    join at hot keys.
+    Keys are counted in the tasks before they are shuffled.  The counts are kept, so that both
+    sides of the join are shuffled for it and adaptive execution splits hot keys.
     """
     counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(counted, key)
+    return rows.join(keep(counted, "counted"), key)
 
 
 def merged(spans: DataFrame) -> DataFrame:

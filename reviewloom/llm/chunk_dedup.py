@@ -113,8 +113,8 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
     """``rk, lo, hi`` of every chunk that is not the first of its digest."""
     again = keep(occurring_twice(chunks(texts), "d1").drop("n"), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "lo")
-    first = again.groupBy("d1", "d2").agg(F.min(place).alias("first"))
-    same = (F.col("first.rk") == F.col("rk")) & (F.col("first.lo") == F.col("lo"))
+    first = keep(again.groupBy("d1", "d2").agg(F.min(place).alias("first")).select("d1", "d2", "first.rk", "first.lo"), "first").toDF("d1", "d2", "first_rk", "first_lo")
+    same = (F.col("first_rk") == F.col("rk")) & (F.col("first_lo") == F.col("lo"))
     return again.join(first, ["d1", "d2"]).where(~same).select("rk", "lo", "hi")
 
 

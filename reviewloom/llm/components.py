@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         below = moves.pop()
         on = label.select(F.col("id").alias("to"), F.col("to").alias("root"))
         label = keep(below.join(on, "to", "left").select("id", F.coalesce("root", "to").alias("to")), "labels")
-    least = label.groupBy("to").agg(F.min("id").alias("component"))
+    least = keep(label.groupBy("to").agg(F.min("id").alias("component")), "least")
     return keep(label.join(least, "to").select("id", "component"), "components")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import keep, small, tasks
+from reviewloom.llm.common import keep, small, tasks, whole_row
 from reviewloom.llm.components import components
 from reviewloom.llm.shingles import jaccard, mix, shingles
 
@@ -194,7 +194,7 @@ def open_pairs(shared: DataFrame, reps: DataFrame, reached: DataFrame, tries: in
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     rows = (
-        labelled.join(several, "key").join(reps.select("rid", "signature"), "rid")
+        labelled.join(keep(several, "several"), "key").join(reps.select("rid", "signature"), "rid")
         .withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rid", "component", "signature")
@@ -219,7 +219,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     members = reps.select("rid", F.explode("bands").alias("key"))
     counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("leader")).where("n > 1")
-    shared = keep(members.join(counted, "key"), "buckets")
+    # Counts are kept before they are joined, here and below, so that hot keys are split.
+    shared = keep(members.join(keep(counted, "counted"), "key"), "buckets")
 
     involved = keep(reps.join(shared.select("rid").distinct(), "rid").select("rid", "h1", "h2"), "involved")
     texts = keep(
@@ -247,7 +248,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_class = reps.select("rid", "h1", "h2", "least").join(reached.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
         "component", F.coalesce("component", "rid")
     )
-    named = in_class.groupBy("component").agg(F.min("least").alias("class_id"))
+    named = keep(in_class.groupBy("component").agg(F.min("least").alias("class_id")), "named")
     classes = keep(in_class.join(named, "component").select("h1", "h2", "class_id"), "classes")
     words = F.size("bands") > 0
     own = sketch.select("id", "h1", "h2", words.alias("words"))
@@ -261,13 +262,15 @@ def kept_rows(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_
 
     Rows that repeat both id and text are one row here.
     """
-    stay = keep(classes.where("kept").groupBy(F.col(id_col).alias("_id"), "h1", "h2").agg(F.count(F.lit(1)).alias("_n")), "stay")
-    h1, h2 = text_keys(F.col(f"`{text_col}`"))
-    keyed = docs.withColumns({"_h1": h1, "_h2": h2})
-    on = (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+    stay = keep(
+        classes.where("kept").groupBy(F.col(id_col).alias("of"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "stay",
+    )
+    keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("id"), *text_keys(F.col(f"`{text_col}`")))
+    on = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("of"))
     found = keyed.join(small(stay), on)
-    columns = [F.col(f"`{name}`") for name in docs.columns]
-    once = found.where("_n = 1").select(*columns)
-    if stay.where("_n > 1").isEmpty():
+    once = found.where("n = 1").select("row.*")
+    if stay.where("n > 1").isEmpty():
         return once
-    return once.unionByName(found.where("_n > 1").dropDuplicates(["_id", "_h1", "_h2"]).select(*columns))
+    return once.unionByName(found.where("n > 1").dropDuplicates(["of", "h1", "h2"]).select("row.*"))
