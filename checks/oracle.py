@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks import params as P
 from reviewloom.functions import words as W
+from reviewloom.operators.batches import QUEUE_ROWS
 
 # ---- pieces ---------------------------------------------------------------
 
@@ -38,20 +39,21 @@ Flags AS (SELECT k AS PhraseSentimentFlagID,
     CASE WHEN k < 6 THEN 0 ELSE 1 END AS PhraseFlag,
     CAST(CASE WHEN k < 12 THEN 2 ELSE 3 + floor((k - 12) / 6) END AS INT) AS PhraseSentimentID
     FROM (SELECT DISTINCT CAST(p_partkey % 78 AS INT) AS k FROM part)),
-Bridge AS (SELECT DISTINCT l_orderkey AS ReviewID,
-    CAST(CASE WHEN l_quantity < 25 THEN (l_orderkey + 1) % 6
+Bridge AS (SELECT l_orderkey AS ReviewID,
+    CAST(CASE WHEN sum(l_quantity) < 25 * count(*) THEN (l_orderkey + 1) % 6
         ELSE 12 + 6 * (l_orderkey % 7 + CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 4 END) + l_orderkey % 6 END AS INT) AS PhraseSentimentFlagID
-    FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'A'),
+    FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag = 'A') * 3 > count(*)),
 Dates AS (SELECT DISTINCT CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INT) AS DateID,
     CAST(o_orderdate AS DATE) AS ActualDate FROM orders),
-DateRange AS (SELECT 1 AS DateRangeID, 19980228 AS StartDateID, 19990228 AS EndDateID, 12 AS Months),
+DateRange AS (SELECT 1 AS DateRangeID, 19980228 AS StartDateID, 19990228 AS EndDateID, 12 AS Months
+    UNION ALL SELECT 2, 19970228, 19980228, 12 UNION ALL SELECT 3, 19960228, 19970228, 12),
 Summary_Venue AS (SELECT CAST(c_custkey + 1 AS INT) AS VenueSummaryID, concat('The staff was great. Seed ', c_mktsegment) AS VenueSummary,
-    '-' AS VenuePros, '-' AS VenueCons, 1 AS DateRangeID, c_custkey AS VenueID, 0 AS RegionSummaryID, 0 AS OperatorSummaryID
-    FROM customer WHERE c_mktsegment = 'BUILDING'),
+    '-' AS VenuePros, '-' AS VenueCons, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS DateRangeID,
+    c_custkey AS VenueID, 0 AS RegionSummaryID, 0 AS OperatorSummaryID FROM customer),
 Summary_Operator AS (SELECT n_nationkey + 1 AS OperatorSummaryID, 'seed' AS OperatorSummary, '-' AS OperatorPros, '-' AS OperatorCons,
-    1 AS DateRangeID, n_nationkey AS OperatorID FROM nation WHERE n_regionkey = 0),
+    CASE WHEN n_regionkey = 0 THEN 1 ELSE 3 END AS DateRangeID, n_nationkey AS OperatorID FROM nation),
 Summary_Region AS (SELECT n_nationkey + 1 AS RegionSummaryID, 'seed' AS RegionSummary, '-' AS RegionPros, '-' AS RegionCons,
-    1 AS DateRangeID, n_regionkey AS RegionID, n_nationkey AS OperatorID FROM nation WHERE n_regionkey = 0),
+    CASE WHEN n_regionkey = 0 THEN 1 ELSE 3 END AS DateRangeID, n_regionkey AS RegionID, n_nationkey AS OperatorID FROM nation),
 VenueOperator AS (SELECT VenueID, OperatorID, OperatorName FROM Venue JOIN Brand USING (BrandID) JOIN Operator USING (OperatorID)),
 VenueRegion AS (SELECT VenueID, RegionID, Region FROM Venue JOIN Postcode USING (PostcodeID) JOIN RegionDim USING (RegionID))
 """
@@ -140,9 +142,10 @@ def summary_ctes(name: str, source: str, keys: str, column: str) -> str:
     """``{name}``: Summary, Pros and Cons of each group."""
     return f"""{aspect_ctes(name, source, keys, column)},
 {name}_pieces AS (SELECT {keys}, unnest(regexp_split_to_array({column}, '[.!?\\n]+')) AS piece FROM {source}),
-{name}_plain AS (SELECT DISTINCT {keys}, regexp_replace({letters('piece')}, ' +', ' ', 'g') AS sentence FROM {name}_pieces),
-{name}_kept AS (SELECT {keys}, sentence, len(string_split(sentence, ' ')) AS n, {clean('sentence')} AS c FROM {name}_plain
-    WHERE sentence <> '' AND len(string_split(sentence, ' ')) <= 50),
+{name}_whole AS (SELECT {keys}, string_split(regexp_replace({letters('piece')}, ' +', ' ', 'g'), ' ') AS ws FROM {name}_pieces),
+{name}_plain AS (SELECT DISTINCT {keys}, unnest(list_transform(range(0, len(ws), 50), lambda i: array_to_string(ws[i + 1:i + 50], ' '))) AS sentence
+    FROM {name}_whole WHERE ws <> ['']),
+{name}_kept AS (SELECT {keys}, sentence, len(string_split(sentence, ' ')) AS n, {clean('sentence')} AS c FROM {name}_plain),
 {score_ctes(name + '_s', name + '_kept', keys + ', sentence', 'c')},
 {name}_order AS (SELECT *, row_number() OVER g AS place, sum(n) OVER g AS length FROM {name}_s
     WINDOW g AS (PARTITION BY {keys} ORDER BY CASE WHEN Sentiment < 0 THEN 0 ELSE abs(Sentiment - 5) END DESC, sentence
@@ -193,6 +196,17 @@ ORACLE["operator_stats_selected"] = sql(
 )
 
 
+PICKED = f"""Picked AS (SELECT * FROM Written WHERE Review_DateID BETWEEN {P.START} AND {P.END} AND ReviewID IN (
+    SELECT ReviewID FROM Bridge JOIN Flags USING (PhraseSentimentFlagID) WHERE PhraseFlag = 1 AND Phrase IN ('Atmosphere', 'Food')))"""
+ORACLE["operator_stats_filtered"] = sql(
+    "SELECT * EXCLUDE (OperatorID) FROM Stats WHERE OperatorID IN (1, 4, 7)",
+    PICKED,
+    STATS.replace("JOIN Written", "JOIN Picked")
+    .replace("FROM Written", "FROM Picked")
+    .replace("WHERE PhraseFlag = 1", "WHERE Phrase IN ('Atmosphere', 'Food') AND PhraseFlag = 1"),
+)
+
+
 def display(column: str, digits: int) -> str:
     """Half-even at ``digits`` places, worked out on millionths."""
     unit = 10 ** (6 - digits)
@@ -282,7 +296,8 @@ ORACLE["operator_left_reviews"] = sql(
     LEFT JOIN Venue USING (BrandID) LEFT JOIN Review r ON r.VenueID = Venue.VenueID AND r.ReviewText IS NOT NULL"""
 )
 ORACLE["anti_leftnull"] = sql(
-    """SELECT VenueID, BrandID FROM Venue LEFT JOIN Summary_Venue USING (VenueID) WHERE VenueSummaryID IS NULL"""
+    """SELECT VenueID, BrandID FROM Venue LEFT JOIN (SELECT * FROM Summary_Venue WHERE DateRangeID = 1) USING (VenueID)
+    WHERE VenueSummaryID IS NULL"""
 )
 ORACLE["anti_not_exists"] = sql(
     """SELECT ReviewID, 0 AS PhraseSentimentFlagID FROM Bridge b WHERE NOT EXISTS (
@@ -326,6 +341,14 @@ ORACLE["duplicate_id_lists"] = sql(
 RUNNING = """Running AS (SELECT ReviewID, ReviewText, max(Review_DateID) OVER (PARTITION BY ReviewText ORDER BY ReviewID) AS RunningMax,
     max(Review_DateID) OVER (PARTITION BY ReviewText) AS FullMax FROM Written)"""
 ORACLE["running_max_date"] = sql("SELECT ReviewID, RunningMax FROM Running", RUNNING)
+SPARSE = "(ReviewID * 2654435761) % 1099511627776"
+ORACLE["running_max_sparse"] = sql(
+    f"""SELECT {SPARSE} AS ReviewID, max(Review_DateID) OVER (PARTITION BY ReviewText ORDER BY {SPARSE}) AS RunningMax
+    FROM Written"""
+)
+ORACLE["running_max_nulls"] = sql(
+    "SELECT ReviewID, max(Review_DateID) OVER (PARTITION BY ReviewText ORDER BY ReviewID) AS RunningMax FROM Review"
+)
 ORACLE["propagate_labels"] = sql(
     """SELECT copy.ReviewID, PhraseSentimentFlagID FROM Bridge JOIN Written AS known USING (ReviewID)
     JOIN Written AS copy ON copy.ReviewText = known.ReviewText EXCEPT SELECT ReviewID, PhraseSentimentFlagID FROM Bridge"""
@@ -365,9 +388,9 @@ RESCALED = "CAST((Sentiment - 5) / 5.0 AS DECIMAL(3,1))"
 RAW = f"CASE WHEN Sentiment = -1 THEN '-' ELSE regexp_replace(CAST({RESCALED} AS VARCHAR), '\\.0$', '') END"
 
 
-def phrase_ctes(source: str) -> str:
+def phrase_ctes(source: str, phrases: list[str] = P.PHRASES) -> str:
     """``Phrased``: PhraseFlag and the score for the phrase, from ``Overall``."""
-    terms = quoted(W.phrase_terms(P.PHRASES))
+    terms = quoted(W.phrase_terms(phrases))
     return f"""Phrased AS (SELECT ReviewID, CAST(len(list_filter(regexp_split_to_array(CleanText, ' +'),
         lambda w: w IN ({terms}))) > 0 AS INT) AS PhraseFlag, Sentiment AS s FROM {source}),
     PhraseScored AS (SELECT ReviewID, PhraseFlag, CASE WHEN PhraseFlag = 1 THEN s ELSE -1 END AS Sentiment FROM Phrased)"""
@@ -380,14 +403,17 @@ ORACLE["score_documents"] = sql(
     "SELECT ReviewID, Sentiment FROM Overall", DOCUMENTS, score_ctes("Overall", "Docs", "ReviewID", "CleanText")
 )
 ORACLE["score_phrase"] = sql("SELECT * FROM PhraseScored", CLEANED, OVERALL, phrase_ctes("Overall"))
+ORACLE["score_phrase_lower"] = sql("SELECT * FROM PhraseScored", CLEANED, OVERALL, phrase_ctes("Overall", ["Drink"]))
+ORACLE["score_two_phrases"] = sql("SELECT * FROM PhraseScored", CLEANED, OVERALL, phrase_ctes("Overall", ["Food", "Drink"]))
 ORACLE["rescale_score"] = sql(
     f"SELECT ReviewID, CAST({RESCALED} AS DOUBLE) AS Sentiment, {RAW} AS RawScore FROM Overall", CLEANED, OVERALL
 )
 
 
 def batched(source: str, size: int) -> str:
+    queues = f"(SELECT greatest(1, (count(*) + {QUEUE_ROWS - 1}) // {QUEUE_ROWS}) FROM {source})"
     return f"""SELECT *, CAST((row_number() OVER (PARTITION BY Queue ORDER BY ReviewID) - 1) // {size} AS INT) AS Batch
-    FROM (SELECT *, CAST(ReviewID % {P.QUEUES} AS INT) AS Queue FROM {source})"""
+    FROM (SELECT *, CAST(CAST('0x' || substr(md5(CAST(ReviewID AS VARCHAR)), 1, 8) AS BIGINT) % {queues} AS INT) AS Queue FROM {source})"""
 
 
 ORACLE["assign_batches"] = sql(f"SELECT ReviewID, Queue, Batch FROM ({batched('Review', 50)})")
@@ -421,13 +447,35 @@ REASON = """CASE WHEN bool_or(contains(ReviewText, 'portion')) THEN 'ids differ'
     WHEN bool_or(contains(ReviewText, 'drinks')) THEN 'empty reply' END"""
 VERDICTS = f"""Verdicts AS (SELECT Queue, Batch, string_agg(ReviewID, ',' ORDER BY ReviewID) AS ReviewIDs, count(*) AS n, {REASON} AS Reason
     FROM ({batched('Uniq', 2)}) GROUP BY Queue, Batch)"""
+# What the faulty scorer says: without the first record, with a first score of 11, or nothing.
+ANSWERS = f"""Scores AS (SELECT CleanText, min(Sentiment) AS Sentiment FROM Overall GROUP BY CleanText),
+Lines AS (SELECT Queue, Batch, ReviewID, Sentiment, row_number() OVER (PARTITION BY Queue, Batch ORDER BY ReviewID) AS place
+    FROM ({batched('Uniq', 2)}) JOIN Scores ON CleanText = ReviewText),
+Answers AS (SELECT Queue, Batch, CASE Reason WHEN 'empty reply' THEN ''
+        ELSE concat('{{"review_sentiment": [', coalesce(string_agg(concat('{{"ReviewID": ', ReviewID, ', "Sentiment": ',
+            CASE WHEN Reason = 'invalid scores' AND place = 1 THEN 11 ELSE Sentiment END, '}}'), ', ' ORDER BY place)
+            FILTER (WHERE Reason <> 'ids differ' OR place > 1), ''), ']}}') END AS Reply
+    FROM Lines JOIN Verdicts USING (Queue, Batch) WHERE Reason IS NOT NULL GROUP BY Queue, Batch, Reason)"""
 ORACLE["quarantine"] = sql(
-    """SELECT Queue, Batch, ReviewIDs,
+    """SELECT Queue, Batch, ReviewIDs, Reply, CAST(NULL AS VARCHAR) AS Error,
     CASE Reason WHEN 'invalid scores' THEN '11.0' WHEN 'ids differ' THEN '' END AS InvalidScores,
-    Reason = 'invalid scores' AS SameIds, Reason FROM Verdicts WHERE Reason IS NOT NULL""",
+    Reason = 'invalid scores' AS SameIds,
+    CASE WHEN Reply = '{"review_sentiment": []}' THEN 'empty reply' ELSE Reason END AS Reason
+    FROM Verdicts JOIN Answers USING (Queue, Batch)""",
     CLEANED,
+    OVERALL,
     UNIQUE,
     VERDICTS,
+    ANSWERS,
+)
+BAD = "regexp_matches(CleanText, 'portion|price|drinks')"
+ORACLE["rescued_scores"] = sql(
+    f"SELECT ReviewID, CAST({RESCALED} AS DOUBLE) AS Sentiment FROM Overall WHERE NOT {BAD}", CLEANED, OVERALL
+)
+ORACLE["rescued_metrics"] = sql(
+    f"""SELECT count(DISTINCT CleanText) FILTER (WHERE NOT {BAD}) AS Completed, count(DISTINCT CleanText) FILTER (WHERE {BAD}) AS Failed,
+    count(DISTINCT CleanText) FILTER (WHERE {BAD}) AS Remaining FROM Cleaned""",
+    CLEANED,
 )
 ORACLE["run_metrics"] = sql(
     """SELECT CAST(sum(n) FILTER (WHERE Reason IS NULL) AS BIGINT) AS Completed,
@@ -486,6 +534,13 @@ def bridged(flags: str) -> str:
     FROM PhraseRows JOIN {flags} USING (Phrase, PhraseFlag, PhraseSentimentID)"""
 
 
+TWO_WORDS = [
+    candidates(UNFLAGGED.replace(f"'{P.PHRASES[0]}'", f"'{P.TWO_WORDS}'")), FOUND_CLEAN, OVERALL, phrase_ctes("Overall", [P.TWO_WORDS]),
+    PHRASE_ROWS[-1].replace(f"'{P.PHRASES[0]}'", f"'{P.TWO_WORDS}'"),
+]
+ORACLE["upsert_flags_two_words"] = sql(
+    "SELECT * FROM AllFlags", *TWO_WORDS, NEW_FLAGS.replace("FROM Flags WHERE PhraseFlag = 0", "FROM Flags WHERE PhraseSentimentID <> 8")
+)
 ORACLE["upsert_phrase_flags"] = sql("SELECT * FROM AllFlags", *PHRASE_ROWS, NEW_FLAGS)
 ORACLE["upsert_phrase_reviews"] = sql(bridged("Flags"), *PHRASE_ROWS)
 ORACLE["writeback_phrase"] = sql(
@@ -497,7 +552,19 @@ ORACLE["writeback_phrase"] = sql(
 ORACLE["insert_if_absent"] = sql(
     """SELECT * FROM Summary_Venue UNION ALL
     SELECT CAST((SELECT max(VenueSummaryID) FROM Summary_Venue) + row_number() OVER (ORDER BY VenueID) AS INT), 'new', '-', '-', 1, VenueID, 0, 0
-    FROM Venue ANTI JOIN Summary_Venue USING (VenueID)"""
+    FROM Venue ANTI JOIN (SELECT * FROM Summary_Venue WHERE DateRangeID = 1) USING (VenueID)"""
+)
+ORACLE["insert_sparse_keys"] = sql(
+    """SELECT * FROM Summary_Venue UNION ALL
+    SELECT CAST((SELECT max(VenueSummaryID) FROM Summary_Venue) + row_number() OVER (ORDER BY k) AS INT), 'new', '-', '-', 1, k, 0, 0
+    FROM (SELECT (VenueID * 2654435761) % 1099511627776 AS k FROM Venue)
+    WHERE k NOT IN (SELECT VenueID FROM Summary_Venue WHERE DateRangeID = 1)"""
+)
+ORACLE["insert_null_and_string_keys"] = sql(
+    """SELECT 7 AS TextID, ReviewText FROM Texts WHERE ReviewText LIKE '%was%' UNION ALL
+    SELECT CAST(7 + row_number() OVER (ORDER BY ReviewText NULLS FIRST) AS INT), ReviewText FROM Texts
+    WHERE ReviewText IS NULL OR ReviewText NOT LIKE '%was%'""",
+    "Texts AS (SELECT DISTINCT ReviewText FROM Review)",
 )
 WINDOWS = """Windows AS (SELECT DISTINCT strftime(ActualDate, '%b-%y') AS Label,
     CAST(strftime(last_day(date_trunc('month', ActualDate) - INTERVAL 12 MONTH), '%Y%m%d') AS INT) AS StartDateID,
@@ -505,7 +572,7 @@ WINDOWS = """Windows AS (SELECT DISTINCT strftime(ActualDate, '%b-%y') AS Label,
 ORACLE["reporting_window"] = sql("SELECT * FROM Windows", WINDOWS)
 ORACLE["date_range_upsert"] = sql(
     """SELECT * FROM DateRange UNION ALL
-    SELECT CAST(1 + row_number() OVER (ORDER BY StartDateID, EndDateID) AS INT), StartDateID, EndDateID, 12 FROM Windows
+    SELECT CAST(3 + row_number() OVER (ORDER BY StartDateID, EndDateID) AS INT), StartDateID, EndDateID, 12 FROM Windows
     ANTI JOIN DateRange USING (StartDateID, EndDateID)""",
     WINDOWS,
 )
@@ -610,7 +677,7 @@ ORACLE["summarise_operators"] = sql("SELECT * FROM StagedOperator", *staged_oper
 ORACLE["summarise_regions"] = sql("SELECT * FROM StagedRegion", *staged_regions("Summary_Venue"))
 
 ALL_LEVELS = [
-    f"AllRanges AS (SELECT * FROM DateRange UNION ALL SELECT 2, {P.NEW_START}, {P.NEW_END}, {P.MONTHS})",
+    f"AllRanges AS (SELECT * FROM DateRange UNION ALL SELECT 4, {P.NEW_START}, {P.NEW_END}, {P.MONTHS})",
     *staged_venues(P.NEW_START, P.NEW_END, "AllRanges"),
     *staged_operators("StagedVenue"),
     *staged_regions("StagedVenue"),
@@ -638,3 +705,36 @@ ORACLE["publish_summaries"] = sql(
     FreshOperator AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY OperatorID, DateRangeID) AS INT) AS OperatorSummaryID) FROM Summary_Operator),
     FreshRegion AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY OperatorID, RegionID, DateRangeID) AS INT) AS RegionSummaryID) FROM Summary_Region)""",
 )
+
+# The fixed summariser of checks/queries: by the number of texts, it raises, says too much, or counts.
+COUNTED = f"""Counted AS (SELECT VenueID, count(*) AS n FROM (
+    SELECT DISTINCT VenueID, {letters('ReviewText')} AS t FROM {OPEN_REVIEWS}) GROUP BY VenueID)"""
+ORACLE["summary_rejects"] = sql(
+    """SELECT 'Venue' AS Category, VenueID, CAST(NULL AS BIGINT) AS OperatorID, CAST(NULL AS BIGINT) AS RegionID,
+    CAST(1 AS BIGINT) AS DateRangeID, CASE WHEN n % 3 = 1 THEN rtrim(repeat('word ', 51)) END AS Summary,
+    CASE n % 3 WHEN 0 THEN 'summariser failed: ValueError: no answer' ELSE 'too long' END AS Reason FROM Counted WHERE n % 3 < 2""",
+    COUNTED,
+)
+ORACLE["summary_metrics"] = sql(
+    """SELECT 'Venue' AS Category, count(*) FILTER (WHERE n % 3 = 2) AS Completed, count(*) FILTER (WHERE n % 3 < 2) AS Failed,
+    count(*) FILTER (WHERE n % 3 < 2) AS Remaining FROM Counted""",
+    COUNTED,
+)
+ORACLE["summarise_with_parts"] = sql(
+    """SELECT OperatorID, concat(count(DISTINCT ReviewText), ' texts') AS Summary, '-' AS Pros, '-' AS Cons, CAST(NULL AS VARCHAR) AS Reason
+    FROM Written JOIN VenueOperator USING (VenueID) GROUP BY OperatorID"""
+)
+ORACLE["summarise_long_texts"] = sql(
+    "SELECT * FROM S",
+    "Src AS (SELECT source, regexp_replace(text, '[.!?\\n]+', ' ', 'g') AS text, doc_id AS rid FROM documents)",
+    summary_ctes("S", "Src", "source", "text"),
+)
+ORACLE["row_json"] = """SELECT concat('{"n_nationkey":', n_nationkey, ',"n_name":', to_json(n_name), ',"n_regionkey":', n_regionkey, '}') AS json
+    FROM nation"""
+ORACLE["stop_words_csv"] = sql(
+    f"""SELECT ReviewID, {clean('ReviewText').replace(quoted(W.stop_words()), quoted(W.stop_words(allowed=P.ALLOWED)))} AS CleanText FROM Review"""
+)
+ORACLE["save_and_snapshot"] = sql(
+    """SELECT r.ReviewID, r.ReviewSentimentID AS Before, CASE WHEN r.ReviewSentimentID = 1 THEN 2 ELSE r.ReviewSentimentID END AS After
+    FROM Review r"""
+)

@@ -4,9 +4,10 @@ MIN_DATE = 19980101
 OPERATORS = ["OPERATOR 1", "OPERATOR 4", "OPERATOR 7"]
 OPERATOR_IDS = [1, 4, 7]
 PHRASES = ["Atmosphere"]
+ALLOWED = ["the", "was", "be", "not"]
+TWO_WORDS = "Price or Value"
 LABEL, MONTHS = "Feb-99", 12
 START, END = 19980228, 19990228
 # A window nobody has summarised: March 1999 to February 2000.
 NEW_LABEL, NEW_START, NEW_END = "Feb-00", 19990228, 20000229
-QUEUES = 13
 LIST_WIDTH = 1000

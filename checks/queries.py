@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from reviewloom.functions import dates, formats, scores, text
 from reviewloom.operators import batches as B
 from reviewloom.operators import duplicates, relational, upserts
 from reviewloom.plans import candidates, dashboard, scoring, summaries, writeback
+from reviewloom.sources import tables
 from reviewloom.sources.star import ReviewStar, star_from_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +70,11 @@ def operator_stats_selected(star):
     return dashboard.operator_stats(star, P.OPERATOR_IDS)
 
 
+@on_star
+def operator_stats_filtered(star):
+    return dashboard.operator_stats(star, P.OPERATOR_IDS, ["atmosphere", "Food"], (P.START, P.END))
+
+
 @on_star
 def format_stats(star):
     return dashboard.operator_stats_display(star)
@@ -165,7 +172,8 @@ def operator_left_reviews(star):
 
 @on_star
 def anti_leftnull(star):
-    return relational.without(star.venue, star.summary_venue, ["VenueID"]).select("VenueID", "BrandID")
+    done = star.summary_venue.where(F.col("DateRangeID") == 1)
+    return relational.without(star.venue, done, ["VenueID"]).select("VenueID", "BrandID")
 
 
 @on_star
@@ -184,7 +192,7 @@ def anti_not_in(star):
 @on_star
 def semi_text(star):
     open_reviews = star.review.where((F.col("ReviewSentimentID") == 1) & F.col("ReviewText").isNotNull())
-    return relational.having(star.review, open_reviews, ["ReviewText"]).select("ReviewID", "ReviewText")
+    return relational.having_text(star.review, open_reviews, "ReviewText").select("ReviewID", "ReviewText")
 
 
 @on_star
@@ -244,11 +252,30 @@ def duplicate_id_lists(star):
 @on_star
 def running_max_date(star):
     written = star.review.where(F.col("ReviewText").isNotNull()).select("ReviewID", "ReviewText", "Review_DateID")
-    # Narrow blocks, so that the hand-over between blocks is part of the check.
-    rows = duplicates.running_max(written, text.text_key(F.col("ReviewText")), "Review_DateID", width=500)
+    rows = duplicates.running_max(written, text.text_key(F.col("ReviewText")), "Review_DateID")
+    return rows.select("ReviewID", "RunningMax")
+
+
+# Ids spread over 2^40 numbers, as hashes are.
+SPARSE = "(ReviewID * 2654435761) % 1099511627776"
+
+
+@on_star
+def running_max_sparse(star):
+    written = star.review.where(F.col("ReviewText").isNotNull()).select(
+        F.expr(SPARSE).alias("ReviewID"), "ReviewText", "Review_DateID"
+    )
+    rows = duplicates.running_max(written, text.text_key(F.col("ReviewText")), "Review_DateID")
     return rows.select("ReviewID", "RunningMax")
 
 
+@on_star
+def running_max_nulls(star):
+    """Reviews without a text are one group."""
+    rows = star.review.select("ReviewID", "ReviewText", "Review_DateID")
+    return duplicates.running_max(rows, F.col("ReviewText"), "Review_DateID").select("ReviewID", "RunningMax")
+
+
 @on_star
 def propagate_labels(star):
     return duplicates.propagate_labels(
@@ -318,6 +345,18 @@ def score_phrase(star):
     return scoring.score_phrase(cleaned, P.PHRASES).select("ReviewID", "PhraseFlag", "Sentiment")
 
 
+@on_star
+def score_phrase_lower(star):
+    cleaned = scoring.clean_reviews(star.review)
+    return scoring.score_phrase(cleaned, ["drink"]).select("ReviewID", "PhraseFlag", "Sentiment")
+
+
+@on_star
+def score_two_phrases(star):
+    cleaned = scoring.clean_reviews(star.review)
+    return scoring.score_phrase(cleaned, ["Food", "Drink"]).select("ReviewID", "PhraseFlag", "Sentiment")
+
+
 @on_star
 def rescale_score(star):
     cleaned = scoring.clean_reviews(star.review)
@@ -335,13 +374,15 @@ def _unique_texts(star) -> DataFrame:
 
 @on_star
 def assign_batches(star):
-    batched = B.assign_batches(star.review.select("ReviewID"), queues=P.QUEUES)
+    ids = star.review.select("ReviewID")
+    batched = B.assign_batches(ids, queues=B.queue_count(ids))
     return batched.select("ReviewID", "Queue", "Batch")
 
 
 @on_star
 def batch_json(star):
-    batched = B.assign_batches(_unique_texts(star), size=5, queues=P.QUEUES)
+    unique = _unique_texts(star)
+    batched = B.assign_batches(unique, size=5, queues=B.queue_count(unique))
     return B.batch_json(batched, ["ReviewID", "ReviewText"]).select("Queue", "Batch", "ItemsJson")
 
 
@@ -361,7 +402,7 @@ def _replies(star) -> DataFrame:
         relational.sentiments(star).select(F.col("SentimentID").alias("ReviewSentimentID"), "SentimentScore"),
         "ReviewSentimentID",
     ).select("ReviewID", F.coalesce(F.col("SentimentScore") * 5 + 5, F.lit(-1)).cast("int").alias("Sentiment"))
-    batched = B.batch_json(B.assign_batches(rows, queues=P.QUEUES), ["ReviewID", "Sentiment"])
+    batched = B.batch_json(B.assign_batches(rows, queues=B.queue_count(rows)), ["ReviewID", "Sentiment"])
     return batched.select(
         "Queue", "Batch", F.concat(F.lit('{"review_sentiment":'), "ItemsJson", F.lit("}")).alias("Reply")
     )
@@ -375,7 +416,7 @@ def parse_scores(star):
 def _answers(star) -> tuple[DataFrame, DataFrame]:
     """Sent batches, and answers that lack old reviews, score the unrated ones out of
     range and bring in ids nobody sent."""
-    sent = B.assign_batches(star.review, queues=P.QUEUES)
+    sent = B.assign_batches(star.review, queues=B.queue_count(star.review))
     answered = sent.where(F.col("Review_DateID") >= 19950301).select(
         "Queue", "Batch", "ReviewID",
         F.when(F.col("ReviewRating").isNull(), 11).otherwise(F.col("ReviewRating") * 2).alias("Sentiment"),
@@ -409,21 +450,32 @@ def _faulty(reply):
     return answer
 
 
-def _faulty_run(star) -> scoring.ScoreRun:
-    return scoring.run_scorer(star.review, _faulty(scoring.lexicon_scorer()), size=2, queues=P.QUEUES)
+def _faulty_run(star, passes: int) -> scoring.ScoreRun:
+    return scoring.run_scorer(star.review, _faulty(scoring.lexicon_scorer()), size=2, passes=passes)
 
 
 @on_star
 def quarantine(star):
-    return _faulty_run(star).rejects.select(
-        "Queue", "Batch", F.array_join("ReviewIDs", ",").alias("ReviewIDs"),
+    return _faulty_run(star, 1).rejects.select(
+        "Queue", "Batch", F.array_join("ReviewIDs", ",").alias("ReviewIDs"), "Reply", "Error",
         F.array_join("InvalidScores", ",").alias("InvalidScores"), "SameIds", "Reason",
     )
 
 
 @on_star
 def run_metrics(star):
-    return _faulty_run(star).metrics
+    return _faulty_run(star, 1).metrics
+
+
+@on_star
+def rescued_scores(star):
+    """Texts of refused batches are asked for again: only those that go wrong alone stay out."""
+    return _faulty_run(star, 3).scores
+
+
+@on_star
+def rescued_metrics(star):
+    return _faulty_run(star, 3).metrics
 
 
 @on_star
@@ -440,19 +492,19 @@ def score_reviews_phrase(star):
 @on_star
 def score_reviews_batched(star):
     found = candidates.candidates_overall(star, P.MIN_DATE)
-    return scoring.run_scorer(found, scoring.lexicon_scorer(), queues=P.QUEUES).scores
+    return scoring.run_scorer(found, scoring.lexicon_scorer()).scores
 
 
 @on_star
 def score_phrase_batched(star):
     found = candidates.candidates_phrase(star, P.PHRASES, P.MIN_DATE)
     scorer = scoring.lexicon_scorer(phrases=P.PHRASES)
-    return scoring.run_scorer(found, scorer, P.PHRASES, queues=P.QUEUES).scores
+    return scoring.run_scorer(found, scorer, P.PHRASES).scores
 
 
 @on_tables
 def score_documents_batched(table):
-    return scoring.run_scorer(_documents(table), scoring.lexicon_scorer(), queues=P.QUEUES).scores
+    return scoring.run_scorer(_documents(table), scoring.lexicon_scorer()).scores
 
 
 # ---- write-back and upserts -----------------------------------------------
@@ -501,6 +553,16 @@ def upsert_phrase_flags(star):
     return writeback.upsert_phrase_flags(early.phrase_flag, rows)
 
 
+@on_star
+def upsert_flags_two_words(star):
+    """From candidates to stored flags, with a phrase in another spelling than the stored one."""
+    phrases = [P.TWO_WORDS.lower()]
+    found = candidates.candidates_phrase(star, phrases, P.MIN_DATE)
+    early = star.replace(phrase_flag=star.phrase_flag.where(F.col("PhraseSentimentID") != 8))
+    rows = writeback.phrase_rows(early, scoring.score_reviews(found, phrases), phrases)
+    return writeback.upsert_phrase_flags(early.phrase_flag, rows)
+
+
 @on_star
 def upsert_phrase_reviews(star):
     rows = writeback.phrase_rows(star, _phrase_scores(star), P.PHRASES)
@@ -526,6 +588,26 @@ def insert_if_absent(star):
     )
 
 
+@on_star
+def insert_sparse_keys(star):
+    """New rows whose keys are spread like hashes."""
+    fresh = star.venue.selectExpr(
+        "'new' AS VenueSummary", "'-' AS VenuePros", "'-' AS VenueCons", "1 AS DateRangeID",
+        "(VenueID * 2654435761) % 1099511627776 AS VenueID", "0 AS RegionSummaryID", "0 AS OperatorSummaryID",
+    )
+    return upserts.insert_if_absent(
+        star.summary_venue, fresh, ["VenueID", "DateRangeID"], "VenueSummaryID"
+    )
+
+
+@on_star
+def insert_null_and_string_keys(star):
+    """Texts as keys, the missing one among them; half of them are there already."""
+    texts = star.review.select("ReviewText").distinct()
+    numbers = texts.select(F.lit(7).alias("TextID"), "ReviewText").where("ReviewText LIKE '%was%'")
+    return upserts.insert_if_absent(numbers, texts, ["ReviewText"], "TextID")
+
+
 @on_star
 def date_range_upsert(star):
     """A new window for every month that has reviews, each at most once."""
@@ -648,3 +730,83 @@ def publish_summaries(star):
         summary_operator=star.summary_operator.where(F.lit(False)),
     )
     return summaries.publish_summaries(empty, star).summary_venue
+
+
+# ---- summaries by a function, and storing ----------------------------------
+
+def _by_count(texts: list[str], category: str) -> tuple[str, str, str]:
+    if len(texts) % 3 == 0:
+        raise ValueError("no answer")
+    return ("word " * 51).strip() if len(texts) % 3 == 1 else f"{len(texts)} texts", "-", "-"
+
+
+def _counted_level(star) -> summaries.Level:
+    def summarise(texts, keys, text, category):
+        return summaries.summarise_with(texts, keys, text, category, _by_count)
+
+    return summaries.venue_level(star, P.START, P.END, summarise)
+
+
+@on_star
+def summary_rejects(star):
+    return _counted_level(star).rejects
+
+
+@on_star
+def summary_metrics(star):
+    return _counted_level(star).metrics
+
+
+@on_star
+def summarise_with_parts(star):
+    """A summariser that counts: putting parts together gives the count of the whole."""
+    texts = relational.review_operator(star).where(F.col("ReviewText").isNotNull()).select("OperatorID", "ReviewText")
+
+    def count(found: list[str], category: str) -> tuple[str, str, str]:
+        return f"{len(found)} texts", "-", "-"
+
+    def add(parts: list[summaries.Part], category: str) -> tuple[str, str, str]:
+        return f"{sum(int(summary.split()[0]) for summary, _, _, _ in parts)} texts", "-", "-"
+
+    return summaries.summarise_with(texts, ["OperatorID"], "ReviewText", "Operator", count, chunk=20, combine=add)
+
+
+@on_tables
+def summarise_long_texts(table):
+    """Documents without a full stop: their one sentence is cut into runs."""
+    texts = table("documents").select("source", F.regexp_replace("text", text.SENTENCE_END, " ").alias("text"))
+    return summaries.summarise_group(texts, ["source"], "text")
+
+
+@on_tables
+def row_json(table):
+    return tables.row_json(table("nation"))
+
+
+@on_star
+def stop_words_csv(star):
+    """Cleaning with an allow list from a CSV file, which is written first."""
+    spark = star.review.sparkSession
+    path = f"{session.checkpoint_dir(spark)}/allowed-{uuid.uuid4().hex}"
+    spark.createDataFrame([(word,) for word in P.ALLOWED], "AllowedWords string").coalesce(1).write.csv(path, header=True)
+    stops = tables.stop_words_from_csv(spark, path)
+    return star.review.select("ReviewID", text.clean_text(F.col("ReviewText"), stops).alias("CleanText"))
+
+
+@on_star
+def save_and_snapshot(star):
+    """A review table replaced by what is read from it, beside the copy made before."""
+    spark, name = star.review.sparkSession, f"review_{uuid.uuid4().hex}"
+    tables.save_table(star.review.select("ReviewID", "ReviewSentimentID"), name)
+    before = tables.snapshot_table(spark, name, f"{name}_before")
+    old = spark.table(name)
+    tables.replace_table(
+        old.withColumn("ReviewSentimentID", F.when(F.col("ReviewSentimentID") == 1, 2).otherwise(F.col("ReviewSentimentID"))), name
+    )
+    after = spark.table(name).select("ReviewID", F.col("ReviewSentimentID").alias("After"))
+    result = session.cut_lineage(
+        before.select("ReviewID", F.col("ReviewSentimentID").alias("Before")).join(after, "ReviewID")
+    )
+    for made in (name, f"{name}_before"):
+        tables.drop_table(spark, made)
+    return result

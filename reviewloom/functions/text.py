@@ -40,18 +40,24 @@ def word_count(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
-def phrase_title(phrase: Column) -> Column:
-    """Title case, in which phrases are compared."""
-    return F.trim(F.initcap(phrase))
+def phrase_key(phrase: Column) -> Column:
+    """The normal form of a stored phrase, by which phrases are compared everywhere."""
+    return F.trim(F.lower(F.regexp_replace(phrase, " +", " ")))
 
 
 def phrase_label(phrases: list[str]) -> str:
     """Several phrases are looked for, and stored, as one, each in title case."""
     return " or ".join(
-        " ".join(word.capitalize() for word in phrase.strip().split(" ")) for phrase in phrases
+        " ".join(word if word == "or" else word.capitalize() for word in phrase.lower().split())
+        for phrase in phrases
     )
 
 
+def phrase_label_key(phrases: list[str]) -> str:
+    """The normal form of several phrases as one."""
+    return phrase_label(phrases).lower()
+
+
 def text_key(text: Column, ignore_case: bool = False) -> Column:
     """A narrow stand-in for a text, which must not be null, as a group and join key.
 
@@ -151,10 +157,22 @@ def aspects(words: Column, nouns=W.ASPECT_NOUNS, praise=W.PRAISE, blame=W.BLAME,
     return F.array_distinct(F.transform(found, labelled))
 
 
-def sentences(text: Column) -> Column:
-    """Letters-only sentences of a text, single blanks, none empty."""
+def sentences(text: Column, limit: int | None = None) -> Column:
+    """Letters-only sentences of a text, single blanks, none empty.
+
+    With a ``limit``, longer ones are cut into runs of at most so many words.
+    """
     pieces = F.transform(
         F.split(text, SENTENCE_END),
         lambda piece: F.regexp_replace(alpha_only(piece), " +", " "),
     )
-    return F.filter(pieces, lambda piece: piece != "")
+    found = F.filter(pieces, lambda piece: piece != "")
+    if limit is None:
+        return found
+
+    def runs(piece: Column) -> Column:
+        words = F.split(piece, " ")
+        starts = F.sequence(F.lit(1), F.size(words), F.lit(limit))
+        return F.transform(starts, lambda start: F.array_join(F.slice(words, start, limit), " "))
+
+    return F.flatten(F.transform(found, runs))

@@ -51,7 +51,8 @@ not never arent couldnt didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt
 neednt shant shouldnt wasnt werent wont wouldnt
 """.split()
 
-# Phrase -> words that show the phrase is being discussed.
+# Phrase -> words that show the phrase is being discussed.  Fixed values: the names of the
+# phrases, which stored flags carry; the words are this project's own choice.
 PHRASE_SYNONYMS = {
     "Price or Value": "price prices priced value cost costs worth bill",
     "Atmosphere": "atmosphere ambience vibe environment music decor",
@@ -89,9 +90,12 @@ BLAME = {
 def phrase_terms(phrases: list[str], synonyms=PHRASE_SYNONYMS) -> list[str]:
     """Every word that shows one of ``phrases`` is being discussed.
 
-    A phrase without synonyms stands for its own words.
+    Phrases are looked up whatever their case and blanks; one without synonyms stands
+    for its own words.
     """
+    known = {" ".join(phrase.lower().split()): words for phrase, words in synonyms.items()}
     terms: set[str] = set()
     for phrase in phrases:
-        terms.update(synonyms.get(phrase, phrase.lower().split()))
+        words = phrase.lower().split()
+        terms.update(known.get(" ".join(words), words))
     return sorted(terms)

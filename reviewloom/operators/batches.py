@@ -10,20 +10,28 @@ from reviewloom import schema
 from reviewloom.functions.scores import is_valid_score
 from reviewloom.operators.duplicates import ID_BLOCK, id_block
 
-QUEUES = 1021
+# Rows of one queue, which one task puts in order.
+QUEUE_ROWS = 10_000
+
+
+def queue_count(rows: DataFrame, queue_rows: int = QUEUE_ROWS) -> int:
+    """Queues that hold ``queue_rows`` rows each; counts ``rows``, so keep them first."""
+    return max(1, -(-rows.count() // queue_rows))
 
 
 def assign_batches(
-    rows: DataFrame, id_column: str = "ReviewID", size: int = schema.BATCH_ROWS,
-    queues: int = QUEUES,
+    rows: DataFrame, id_column: str = "ReviewID", size: int = schema.BATCH_ROWS, queues: int = 1
 ) -> DataFrame:
     """Cut rows with unique ids into batches of at most ``size``.
 
-    Ids are dealt to a fixed number of queues and numbered inside each, so no
-    task sees all rows and the same rows always give the same batches, also when
-    a lost executor has its part done again.
+    Ids are dealt to queues by a hash, whatever steps they come in, and numbered inside
+    each, so no task sees all rows and the same rows always give the same batches, also when
+    a lost executor has its part done again.  With :func:`queue_count` queues all
+    batches are full but one of each queue.
     """
-    queue = F.pmod(F.col(id_column), F.lit(queues))
+    # The first 32 bits of MD5, which other engines have, too.
+    number = F.conv(F.substr(F.md5(F.col(id_column).cast("string")), F.lit(1), F.lit(8)), 16, 10)
+    queue = F.pmod(number.cast("long"), F.lit(queues))
     place = F.row_number().over(Window.partitionBy("Queue").orderBy(id_column)) - 1
     return (
         rows.withColumn("Queue", queue.cast("int"))
@@ -105,7 +113,7 @@ def strict_keys(reply: Column, item: T.StructType) -> Column:
 def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
     """Judge every batch by its own reply, in place: no join and no shuffle.
 
-    ``answered`` has Items (sent) and Reply (received).  A batch is accepted when
+    ``answered`` has Items (sent), Reply (received) and the Error of a failed call.  A batch is accepted when
     the ids come back complete and in order and every score is valid; otherwise
     Reason says why not.
     """
@@ -115,6 +123,8 @@ def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
     flag_ok = lambda got: F.lit(True)
     if "PhraseFlag" in item.fieldNames():
         flag_ok = lambda got: F.coalesce(got["PhraseFlag"].isin(0.0, 1.0), F.lit(False))
+    if "Error" not in answered.columns:
+        answered = answered.withColumn("Error", F.lit(None).cast("string"))
     return (
         answered.withColumn("Received", parse_reply(F.col("Reply"), item))
         .withColumn("SameIds", F.coalesce(sent_ids == received_ids, F.lit(False)))
@@ -129,7 +139,8 @@ def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
         )
         .withColumn(
             "Reason",
-            F.when(received.isNull() | (F.size(received) == 0), "empty reply")
+            F.when(F.col("Error").isNotNull(), "scorer failed")
+            .when(received.isNull() | (F.size(received) == 0), "empty reply")
             .when(~strict_keys(F.col("Reply"), item), "unexpected keys")
             .when(~F.col("SameIds"), "ids differ")
             .when(F.size("InvalidScores") > 0, "invalid scores")
@@ -162,6 +173,7 @@ def quarantine(checked: DataFrame) -> DataFrame:
         "Batch",
         F.transform("Items", lambda sent: sent["ReviewID"]).alias("ReviewIDs"),
         "Reply",
+        "Error",
         "InvalidScores",
         "SameIds",
         "Reason",
@@ -172,25 +184,39 @@ def validate_scores(sent: DataFrame, received: DataFrame) -> DataFrame:
     """Compare sent and received rows of (Queue, Batch, ReviewID), row by row.
 
     For scorers whose output arrives as a table instead of one reply for a batch.
-    State is missing, extra, repeated, invalid or ok; a row is accepted when its
-    whole batch is ok.
+    State is missing, extra, repeated, invalid, misplaced or ok; a row is accepted when its
+    whole batch is ok.  Answers with a column Place (from 0, in each batch) have to come in the
+    order of the ids.  Both sides meet in one union, dealt by batch, so it is one
+    shuffle; a batch is small by construction.
     """
     keys = ["Queue", "Batch", "ReviewID"]
-    got = received.groupBy(*keys).agg(
-        F.count("*").alias("Answers"),
-        F.count_if(~is_valid_score(F.col("Sentiment"))).alias("Invalid"),
-        F.max("Sentiment").alias("Sentiment"),
+    placed = "Place" in received.columns
+    place = F.col("Place").cast("long") if placed else F.lit(None).cast("long")
+    both = sent.select(*keys, F.lit(0).alias("Answer"), F.lit(None).cast("int").alias("Sentiment"), F.lit(None).cast("long").alias("Place")).unionByName(
+        received.select(*keys, F.lit(1).alias("Answer"), F.col("Sentiment"), place.alias("Place"))
+    )
+    answered = F.col("Answer") == 1
+    batch = Window.partitionBy("Queue", "Batch")
+    rows = (
+        both.repartition("Queue", "Batch")
+        .groupBy(*keys)
+        .agg(
+            F.count_if(answered).alias("Answers"),
+            F.count_if(~answered).alias("Sent"),
+            F.count_if(answered & ~is_valid_score(F.col("Sentiment"))).alias("Invalid"),
+            F.max("Sentiment").alias("Sentiment"),
+            F.max("Place").alias("Place"),
+        )
     )
-    rows = sent.select(*keys, F.lit(True).alias("Sent")).join(got, keys, "full_outer")
+    due = F.row_number().over(batch.orderBy("ReviewID")) - 1
     state = (
-        F.when(F.col("Answers").isNull(), "missing")
-        .when(F.col("Sent").isNull(), "extra")
+        F.when(F.col("Answers") == 0, "missing")
+        .when(F.col("Sent") == 0, "extra")
         .when(F.col("Answers") > 1, "repeated")
         .when(F.col("Invalid") > 0, "invalid")
+        .when(F.col("Place") != F.col("Due"), "misplaced")
         .otherwise("ok")
     )
-    judged = rows.withColumn("State", state)
-    faults = judged.groupBy("Queue", "Batch").agg(F.count_if(F.col("State") != "ok").alias("Faults"))
-    return judged.join(faults, ["Queue", "Batch"]).select(
-        *keys, "Sentiment", "State", (F.col("Faults") == 0).alias("Accepted")
-    )
+    judged = rows.withColumn("Due", due).withColumn("State", state)
+    faults = F.count_if(F.col("State") != "ok").over(batch)
+    return judged.select(*keys, "Sentiment", "State", (faults == 0).alias("Accepted"))

@@ -16,7 +16,8 @@ ID_BLOCK = 1 << 20
 
 
 def id_block(column: str, width: int) -> Column:
-    return F.floor(F.col(column) / width)
+    """Number of the block of an integer id; whole-number division, also below zero."""
+    return F.expr(f"(`{column}` - pmod(`{column}`, {width}L)) div {width}L")
 
 
 def collapse_duplicates(rows: DataFrame, text: str, id_column: str = "ReviewID") -> DataFrame:
@@ -80,21 +81,39 @@ def running_max(
 
     A window over the whole group would put a common text into one task.  Each
     block of ids keeps its own running maximum instead, and takes over the maximum
-    of the blocks before it.
+    of the blocks before it.  Blocks are put into blocks of ``width`` in turn, until one is left
+    for 64-bit ids, so no window holds more than ``width`` rows, however the ids are
+    spread.  Rows whose group is null are a group of their own.
     """
     blocks = rows.withColumn("_group", group).withColumn("_block", id_block(id_column, width))
-    before = Window.partitionBy("_group").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = (
-        blocks.groupBy("_group", "_block")
-        .agg(F.max(value).alias("_highest"))
-        .select("_group", "_block", F.max("_highest").over(before).alias("_carried"))
-    )
     within = Window.partitionBy("_group", "_block").orderBy(id_column)
+    own = blocks.withColumn("_own", F.max(value).over(within))
+    highest = blocks.groupBy("_group", "_block").agg(F.max(value).alias("_highest"))
+    carried = _carried(highest, width, 2 * width.bit_length() - 2)
+    on = F.col("b._group").eqNullSafe(F.col("c._group")) & (F.col("b._block") == F.col("c._block"))
     return (
-        blocks.withColumn("_own", F.max(value).over(within))
-        .join(carried, ["_group", "_block"])
+        own.alias("b").join(carried.alias("c"), on)
         .withColumn(name, F.greatest("_own", "_carried"))
-        .drop("_group", "_block", "_own", "_carried")
+        .select("b.*", name)
+        .drop("_group", "_block", "_own")
+    )
+
+
+def _carried(highest: DataFrame, width: int, bits: int) -> DataFrame:
+    """Maximum of the blocks before each block, of rows ``_group, _block, _highest``.
+
+    ``bits`` of an id are spent when the blocks above have been worked out.
+    """
+    above = highest.withColumn("_above", id_block("_block", width))
+    before = Window.partitionBy("_group", "_above").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    own = above.withColumn("_before", F.max("_highest").over(before))
+    if bits > 64:
+        # Ids have 64 bits, so every block lies in block 0 or -1 of this level.
+        low = above.where("_above < 0").groupBy("_group").agg(F.max("_highest").alias("_carried")).withColumn("_above", F.lit(0).cast("long"))
+    else:
+        upper = above.groupBy("_group", "_above").agg(F.max("_highest").alias("_highest")).withColumnRenamed("_above", "_block")
+        low = _carried(upper, width, bits + width.bit_length() - 1).withColumnRenamed("_block", "_above")
+    on = F.col("o._group").eqNullSafe(F.col("l._group")) & (F.col("o._above") == F.col("l._above"))
+    return own.alias("o").join(low.alias("l"), on, "left").select(
+        F.col("o._group").alias("_group"), F.col("o._block").alias("_block"), F.greatest("_before", "_carried").alias("_carried")
     )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import text_key
+from reviewloom.session import checked_broadcast, cut_lineage
 from reviewloom.sources.star import ReviewStar
 
 
@@ -54,7 +58,7 @@ def operator_left_reviews(star: ReviewStar) -> DataFrame:
         .join(star.venue.select("VenueID", "BrandID"), "BrandID", "left")
         .select("OperatorID", "OperatorName", "VenueID")
     )
-    unreviewed = venues.join(thinned(written, ["VenueID"]), "VenueID", "left_anti")
+    unreviewed = venues.join(listed_once(written, ["VenueID"]), "VenueID", "left_anti")
     rows = written.join(venues, "VenueID").unionByName(unreviewed, allowMissingColumns=True)
     return rows.select("OperatorID", "OperatorName", "VenueID", "ReviewID")
 
@@ -62,8 +66,9 @@ def operator_left_reviews(star: ReviewStar) -> DataFrame:
 def sentiments(star: ReviewStar) -> DataFrame:
     """The sentiment dimension, broadcast: its rows are the eleven scores and the two
     unknown states, however many reviews there are.  Joined by shuffle, thirteen
-    keys would leave all but thirteen tasks idle."""
-    return F.broadcast(star.sentiment)
+    keys would leave all but thirteen tasks idle.  A table of over
+    a thousand rows raises when it is read."""
+    return checked_broadcast(star.sentiment, 1000)
 
 
 def named_venues(star: ReviewStar, operator_names: list[str]) -> DataFrame:
@@ -78,20 +83,27 @@ def without(rows: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def having(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is among ``wanted``."""
-    return rows.join(thinned(wanted, keys), keys, "left_semi").select(*rows.columns)
+    """Rows whose key is among ``wanted``; writes the listed keys while it is called."""
+    return rows.join(listed_once(wanted, keys), keys, "left_semi").select(*rows.columns)
+
+
+def having_text(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """Rows whose text is among those of ``wanted``, compared by digest."""
+    listed = wanted.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("_key"))
+    keyed = rows.where(F.col(text).isNotNull()).withColumn("_key", text_key(F.col(text)))
+    return having(keyed, listed, ["_key"]).select(*rows.columns)
 
 
-def thinned(rows: DataFrame, keys: list[str], copies: int = 16) -> DataFrame:
-    """The keys of ``rows``, each left ``copies`` times at most.
+def listed_once(
+    rows: DataFrame, keys: list[str], keep: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
+    """The distinct keys of ``rows``, kept, for the listed side of a semi or anti join.
 
-    For the listed side of a semi or anti join whose keys repeat a lot.  Leaving each
-    key just once would place the keys as the join wants them, and adaptive execution
-    splits a hot key of the other side only where both sides are shuffled for the
-    join itself.
+    Straight from their grouping the keys would lie where the join wants them, and adaptive
+    execution splits a hot key of the other side only where both sides are shuffled for
+    the join itself.
     """
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(copies)).alias("_part")
-    return rows.select(*keys, part).distinct().drop("_part")
+    return keep(rows.select(*keys).distinct())
 
 
 def not_in(rows: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
@@ -127,8 +139,8 @@ def key_of(dimension: DataFrame, column: str, value: str, key: str) -> Column:
 def nth_group(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """All rows of the n-th distinct key, counted from 0 in key order.
 
-    The key is found by a top-k over distinct keys; one row comes back, which is
-    what makes the broadcast safe.
+    The key is found by a top-k over distinct keys: n + 1 keys meet in one place, so n is
+    for counting groups by hand.  One row comes back, which makes the broadcast safe.
     """
     nth = rows.select(*keys).distinct().orderBy(*keys).offset(n).limit(1)
     return rows.join(F.broadcast(nth), keys, "left_semi")

@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators.relational import thinned
-
-KEY_BLOCK = 1 << 20
-
+from reviewloom.functions.text import text_key
+from reviewloom.operators.relational import listed_once
+from reviewloom.session import cut_lineage
 
 def with_surrogate_keys(
-    fresh: DataFrame, existing: DataFrame, id_column: str, order: list[str],
-    few: bool = False, width: int = KEY_BLOCK,
+    fresh: DataFrame, existing: DataFrame, id_column: str, order: list[str], few: bool = False,
+    keep: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Number new rows on from the largest key there is, in the order of ``order``.
 
     Numbering all rows in one go would take one task, which suits a handful only
-    (``few``).  Otherwise rows are numbered inside blocks of the first ordering
-    column, an integer, and every block starts where the blocks before it end: only
-    the blocks' sizes meet in one place.
+    (``few``).  Otherwise rows are dealt to sorted ranges of ``order``, of any type, nulls
+    first, and written once with the number of their range, as the bounds of ranges are
+    sampled.  Only the ranges' sizes, one number each, meet in one place.
     """
     last = F.coalesce(existing.agg(F.max(id_column)).scalar(), F.lit(0))
     kind = existing.schema[id_column].dataType
     if few:
         place = F.row_number().over(Window.orderBy(*order))
         return fresh.withColumn(id_column, (last + place).cast(kind))
-    blocked = fresh.withColumn("_block", F.floor(F.col(order[0]) / width))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = keep(fresh.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        blocked.groupBy("_block")
+        ranged.groupBy("_range")
         .agg(F.count("*").alias("_size"))
-        .select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+        .select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
-        blocked.withColumn("_place", place)
-        .join(starts, "_block")
+        ranged.withColumn("_place", place)
+        .join(starts, "_range")
         .withColumn(id_column, (last + F.col("_start") + F.col("_place")).cast(kind))
-        .drop("_block", "_place", "_start")
+        .drop("_range", "_place", "_start")
     )
 
 
@@ -48,10 +51,13 @@ def absent_rows(
 ) -> DataFrame:
     """New rows whose natural key the table does not hold, numbered if it has an id.
 
-    With ``id_column`` the new rows are read twice, to count the blocks of ids and
-    to number the rows: keep them first where they are dear to make.
+    Keys may be of any type; a null in a key is a value like others, so that a row with it is
+    added once.  With ``id_column`` and not ``few``, the new rows are written while this is
+    called, to be numbered.
     """
-    fresh = new.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
+    known = existing.select(*[F.col(key).alias(f"_{key}") for key in keys])
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+    fresh = new.join(known, same, "left_anti").select(*new.columns)
     if id_column:
         fresh = with_surrogate_keys(fresh, existing, id_column, order or keys, few)
     return fresh.select(*existing.columns)
@@ -95,5 +101,10 @@ def update_column(table: DataFrame, changes: DataFrame, key: str, column: str) -
 
 
 def delete_by_text(table: DataFrame, texts: DataFrame, text: str = "ReviewText") -> DataFrame:
-    """Drop the rows whose text is listed; rows without a text stay."""
-    return table.join(thinned(texts, [text]), text, "left_anti").select(*table.columns)
+    """Drop the rows whose text is listed; rows without a text stay.
+
+    Texts are compared by their digests: the listed ones don't travel, and each once.
+    """
+    listed = texts.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("_key"))
+    keyed = table.withColumn("_key", F.when(F.col(text).isNotNull(), text_key(F.col(text))))
+    return keyed.join(listed_once(listed, ["_key"]), "_key", "left_anti").select(*table.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom import schema
-from reviewloom.functions.text import phrase_label, phrase_title, text_key
+from reviewloom.functions.text import phrase_key, phrase_label_key, text_key
 from reviewloom.operators.relational import named_venues, sentiments
 from reviewloom.session import keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
@@ -95,8 +95,7 @@ def candidates_phrase(
     ignore_case: bool = False,
 ) -> DataFrame:
     """Reviews whose text also occurs on a review without a flag for the phrase."""
-    label = phrase_title(F.lit(phrase_label(phrases)))
-    flags = star.phrase_flag.where(phrase_title(F.col("Phrase")) == label)
+    flags = star.phrase_flag.where(phrase_key(F.col("Phrase")) == phrase_label_key(phrases))
     flagged = (
         star.phrase_review.join(flags, "PhraseSentimentFlagID", "left_semi")
         .select("ReviewID")

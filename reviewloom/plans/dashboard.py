@@ -14,7 +14,9 @@ from reviewloom import schema
 from reviewloom.functions.dates import preset_start
 from reviewloom.functions.formats import format_stats
 from reviewloom.functions.scores import exact_ratio
+from reviewloom.functions.text import phrase_key, phrase_label_key
 from reviewloom.operators.relational import sentiments, venue_operator
+from reviewloom.session import checked_broadcast
 from reviewloom.sources.star import ReviewStar
 
 WIDE_SCORE = "decimal(20,6)"
@@ -24,13 +26,21 @@ def _picked_reviews(
     star: ReviewStar,
     phrases: list[str] | None = None,
     date_range: tuple[int, int] | None = None,
+    operator_ids: list[int] | None = None,
 ) -> DataFrame:
-    """Reviews narrowed by the optional date range and discussed phrases."""
+    """Reviews narrowed by the optional operators, date range and discussed phrases.
+
+    With operators picked, their venues come first: reviews of others take part in no
+    join and no count.
+    """
     reviews = star.review
+    if operator_ids is not None:
+        reviews = reviews.join(venue_operator(star, operator_ids).select("VenueID"), "VenueID", "left_semi")
     if date_range is not None:
         reviews = reviews.where(F.col("Review_DateID").between(*date_range))
     if phrases is not None:
-        flags = star.phrase_flag.where((F.col("PhraseFlag") == 1) & F.col("Phrase").isin(list(phrases)))
+        wanted = [phrase_label_key([phrase]) for phrase in phrases]
+        flags = star.phrase_flag.where((F.col("PhraseFlag") == 1) & phrase_key(F.col("Phrase")).isin(wanted))
         discussed = star.phrase_review.join(flags, "PhraseSentimentFlagID", "left_semi")
         reviews = reviews.join(discussed, "ReviewID", "left_semi")
     return reviews
@@ -38,7 +48,7 @@ def _picked_reviews(
 
 def _scored_counts(star, operator_ids, phrases, date_range, keys: list[str]) -> DataFrame:
     """Counts and rating totals of scored reviews by operator and ``keys``."""
-    by_venue = _picked_reviews(star, phrases, date_range).groupBy("VenueID", "ReviewSentimentID").agg(
+    by_venue = _picked_reviews(star, phrases, date_range, operator_ids).groupBy("VenueID", "ReviewSentimentID").agg(
         F.count("*").alias("Reviews"),
         F.sum("ReviewRating").alias("RatingTotal"),
         F.count("ReviewRating").alias("Ratings"),
@@ -75,17 +85,27 @@ def list_phrases(star: ReviewStar) -> DataFrame:
     return star.phrase_flag.select("Phrase").distinct().orderBy("Phrase")
 
 
-def phrase_scores(star: ReviewStar, operator_ids: list[int] | None = None) -> DataFrame:
+def phrase_scores(
+    star: ReviewStar, operator_ids: list[int] | None = None, phrases: list[str] | None = None,
+    date_range: tuple[int, int] | None = None,
+) -> DataFrame:
     """Average score of each discussed phrase for each operator."""
+    wanted = F.lit(True)
+    if phrases is not None:
+        wanted = phrase_key(F.col("Phrase")).isin([phrase_label_key([phrase]) for phrase in phrases])
     flags = (
-        star.phrase_flag.where(F.col("PhraseFlag") == 1)
+        star.phrase_flag.where((F.col("PhraseFlag") == 1) & wanted)
         .join(
             sentiments(star).where(F.col("SentimentScore").isNotNull()),
             F.col("PhraseSentimentID") == F.col("SentimentID"),
         )
         .select("PhraseSentimentFlagID", "Phrase", "SentimentScore")
     )
-    written = star.review.where(F.col("ReviewText").isNotNull()).select("ReviewID", "VenueID")
+    written = (
+        _picked_reviews(star, None, date_range, operator_ids)
+        .where(F.col("ReviewText").isNotNull())
+        .select("ReviewID", "VenueID")
+    )
     by_venue = (
         star.phrase_review.join(flags, "PhraseSentimentFlagID")
         .join(written, "ReviewID")
@@ -99,10 +119,13 @@ def phrase_scores(star: ReviewStar, operator_ids: list[int] | None = None) -> Da
     )
 
 
-def rank_phrases(star: ReviewStar, operator_ids: list[int] | None = None) -> DataFrame:
+def rank_phrases(
+    star: ReviewStar, operator_ids: list[int] | None = None, phrases: list[str] | None = None,
+    date_range: tuple[int, int] | None = None,
+) -> DataFrame:
     """Phrases of each operator ranked from both ends, ties by phrase."""
     of_operator = Window.partitionBy("OperatorID")
-    return phrase_scores(star, operator_ids).select(
+    return phrase_scores(star, operator_ids, phrases, date_range).select(
         "OperatorID",
         "Phrase",
         "AvgSentimentScore",
@@ -115,13 +138,18 @@ def _at_rank(rank: str, column: str) -> Column:
     return F.max(F.when(F.col(rank) == 1, F.col(column)))
 
 
-def operator_stats(star: ReviewStar, operator_ids: list[int] | None = None) -> DataFrame:
+def operator_stats(
+    star: ReviewStar, operator_ids: list[int] | None = None, phrases: list[str] | None = None,
+    date_range: tuple[int, int] | None = None,
+) -> DataFrame:
     """Review counts, scores and best and worst phrase, one row for each operator.
 
-    Operators without reviews have a ratio of 0, a count of 0 and nulls.
+    Operators without reviews have a ratio of 0, a count of 0 and nulls.  ``phrases`` narrows
+    the reviews to those that discuss one of them, and the ranks to these.
     """
     by_venue = (
-        star.review.where(F.col("ReviewText").isNotNull())
+        _picked_reviews(star, phrases, date_range, operator_ids)
+        .where(F.col("ReviewText").isNotNull())
         .groupBy("VenueID", "ReviewSentimentID")
         .agg(F.count("*").alias("Reviews"))
     )
@@ -144,7 +172,7 @@ def operator_stats(star: ReviewStar, operator_ids: list[int] | None = None) -> D
             F.sum(F.when(scored, F.col("SentimentScore") * reviews)).alias("ScoreTotal"),
         )
     )
-    ends = rank_phrases(star, operator_ids).groupBy("OperatorID").agg(
+    ends = rank_phrases(star, operator_ids, phrases, date_range).groupBy("OperatorID").agg(
         _at_rank("PositiveRank", "Phrase").alias("MostPositivePhraseName"),
         _at_rank("PositiveRank", "AvgSentimentScore").alias("MostPositivePhraseSentiment"),
         _at_rank("NegativeRank", "Phrase").alias("MostNegativePhraseName"),
@@ -218,15 +246,15 @@ def rating_by_sentiment(star: ReviewStar, operator_ids=None, phrases=None, date_
 def rating_mix_by_year(star: ReviewStar, operator_ids=None, phrases=None, date_range=None) -> DataFrame:
     """Share of each rating in its year.
 
-    The date dimension has a row for a day, 36,525 in a century, so it is broadcast
-    and reviews are counted by venue, year and rating before any shuffle.  Years are
+    The date dimension has a row for a day, 36,525 in a century, so it is broadcast (over
+    three centuries raise) and reviews are counted by venue, year and rating before any shuffle.  Years are
     added up from the counts, so the window sees a handful of rows.
     """
     dates = star.dates.select(F.col("DateID").alias("Review_DateID"), F.year("ActualDate").alias("ReviewYear"))
     counts = (
-        _picked_reviews(star, phrases, date_range)
+        _picked_reviews(star, phrases, date_range, operator_ids)
         .where(F.col("ReviewRating").isNotNull())
-        .join(F.broadcast(dates), "Review_DateID")
+        .join(checked_broadcast(dates, 110_000), "Review_DateID")
         .groupBy("VenueID", "ReviewYear", "ReviewRating")
         .agg(F.count("*").alias("Reviews"))
         .join(venue_operator(star, operator_ids), "VenueID")

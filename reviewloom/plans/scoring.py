@@ -88,54 +88,70 @@ def reply_item(phrases: list[str] | None) -> T.StructType:
     return schema.PHRASE_ITEM if phrases else schema.OVERALL_ITEM
 
 
-def ask_scorer(batches: DataFrame, scorer: Scorer) -> DataFrame:
+def ask_scorer(batches: DataFrame, scorer: Scorer, calls: int | None = None) -> DataFrame:
     """Call the scorer once for each batch row; only JSON crosses to Python and back.
 
-    A call that fails leaves the batch without a reply, and it is set aside later:
-    one bad batch does not end the run.
+    ``calls`` is how many tasks call it at a time at most, all cores if it isn't given:
+    batches are dealt to so many tasks, whatever their bytes.  A call that raises leaves the
+    batch without a reply but with its Error, and it is set aside later: one bad batch
+    does not end the run.
     """
 
-    def attempt(batch: str) -> str | None:
+    def attempt(batch: str) -> tuple[str | None, str | None]:
         try:
-            return scorer(batch)
-        except Exception:
-            return None
+            return scorer(batch), None
+        except Exception as error:
+            return None, f"{type(error).__name__}: {error}"[:500]
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(Reply=frame["ItemsJson"].map(attempt))
-
-    narrow = batches.select("Queue", "Batch", "ItemsJson")
-    output = T.StructType([*narrow.schema.fields, T.StructField("Reply", T.StringType())])
+            answers = [attempt(batch) for batch in frame["ItemsJson"]]
+            yield frame.assign(
+                Reply=pd.Series([reply for reply, _ in answers], dtype=object, index=frame.index),
+                Error=pd.Series([error for _, error in answers], dtype=object, index=frame.index),
+            )
+
+    calls = calls or batches.sparkSession.sparkContext.defaultParallelism
+    narrow = batches.select("Queue", "Batch", "ItemsJson").repartition(calls, "Queue", "Batch")
+    output = T.StructType(
+        [*narrow.schema.fields, T.StructField("Reply", T.StringType()), T.StructField("Error", T.StringType())]
+    )
     items = T.ArrayType(
         T.StructType(
             [T.StructField("ReviewID", T.LongType()), T.StructField("ReviewText", T.StringType())]
         )
     )
     return narrow.mapInPandas(answer, output).select(
-        "Queue", "Batch", F.from_json("ItemsJson", items).alias("Items"), "Reply"
+        "Queue", "Batch", F.from_json("ItemsJson", items).alias("Items"), "Reply", "Error"
     )
 
 
-def scoring_batches(
-    cleaned: DataFrame, size: int = schema.BATCH_ROWS, queues: int = B.QUEUES
-) -> DataFrame:
-    """Distinct cleaned texts as batch rows ready for a scorer."""
-    unique = collapse_duplicates(cleaned, "CleanText").select(
+def unique_texts(cleaned: DataFrame) -> DataFrame:
+    """The distinct cleaned texts, each with its smallest id."""
+    return collapse_duplicates(cleaned, "CleanText").select(
         "ReviewID", F.col("CleanText").alias("ReviewText")
     )
-    return B.batch_json(B.assign_batches(unique, size=size, queues=queues), ["ReviewID", "ReviewText"])
 
 
 def judged_batches(
-    cleaned: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
-    size: int = schema.BATCH_ROWS, queues: int = B.QUEUES,
+    unique: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
+    size: int = schema.BATCH_ROWS, calls: int | None = None,
 ) -> DataFrame:
-    """Scored batches of the distinct cleaned texts, with the verdict on each reply."""
-    asked = ask_scorer(scoring_batches(cleaned, size, queues), scorer)
+    """Batches of ``unique`` texts, scored, with the verdict on each reply.
+
+    ``unique`` is kept: it is counted first, so that there are as many queues as fill.
+    """
+    batched = B.assign_batches(unique, size=size, queues=B.queue_count(unique))
+    asked = ask_scorer(B.batch_json(batched, ["ReviewID", "ReviewText"]), scorer, calls)
     return B.check_batches(asked, reply_item(phrases))
 
 
+def pass_sizes(size: int, passes: int) -> list[int]:
+    """Batch sizes of the passes over refused texts: a fifth each time, single texts last."""
+    sizes = [max(1, size // 5**k) for k in range(passes)]
+    return [*sizes[:-1], 1] if passes > 1 else sizes
+
+
 def accepted_copies(
     judged: DataFrame, cleaned: DataFrame, phrases: list[str] | None = None
 ) -> DataFrame:
@@ -160,20 +176,39 @@ def run_metrics(judged: DataFrame, queued: DataFrame) -> DataFrame:
 
 def run_scorer(
     candidates: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
-    stops: list[str] | None = None, size: int = schema.BATCH_ROWS, queues: int = B.QUEUES,
+    stops: list[str] | None = None, size: int = schema.BATCH_ROWS, calls: int | None = None,
+    passes: int = 3,
 ) -> ScoreRun:
     """Score with any scorer: distinct texts in batches, then every copy.
 
-    The cleaned texts and the replies are written to the checkpoint folder: the
-    first are read three times, and the scorer must be called once for a batch,
-    however many of the results are used and whatever happens to an executor after.
+    Texts of refused batches are asked for again, in smaller batches, ``passes`` times in
+    all and alone in the end, so a bad text keeps no others out.  A run in which every
+    call raised stops with the error.  The cleaned and the distinct texts and the replies of each pass
+    are written to the checkpoint folder: the scorer must be called once for a
+    batch, however many of the results are used and whatever happens to an executor after.
     """
     cleaned = cut_lineage(clean_reviews(candidates, stops))
-    judged = cut_lineage(judged_batches(cleaned, scorer, phrases, size, queues))
+    unique = cut_lineage(unique_texts(cleaned))
+    waiting, accepted = unique, None
+    for number, own_size in enumerate(pass_sizes(size, passes)):
+        judged = cut_lineage(judged_batches(waiting, scorer, phrases, own_size, calls))
+        calls_made, raised, refused, error = judged.agg(
+            F.count("*"), F.count("Error"), F.count("Reason"), F.min("Error")
+        ).first()
+        if calls_made and raised == calls_made and not number:
+            raise RuntimeError(f"the scorer raised on every batch: {error}")
+        passed = judged.where(F.col("Reason").isNull())
+        accepted = passed if accepted is None else accepted.unionByName(passed)
+        if not refused or number == passes - 1:
+            break
+        waiting = cut_lineage(
+            judged.where(F.col("Reason").isNotNull()).select(F.inline("Items"))
+        )
+    refused_batches = judged.where(F.col("Reason").isNotNull())
     return ScoreRun(
-        scores=accepted_copies(judged, cleaned, phrases),
+        scores=accepted_copies(accepted, cleaned, phrases),
         rejects=B.quarantine(judged),
-        metrics=run_metrics(judged, cleaned.select("CleanText").distinct()),
+        metrics=run_metrics(accepted.unionByName(refused_batches), unique),
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +39,11 @@ from reviewloom.sources.star import ReviewStar
 # Region), and returns (Summary, Pros, Cons).
 Summariser = Callable[[list[str], str], tuple[str, str, str]]
 
+# A combiner takes what was made of the parts of a group, each with its number of texts, and
+# the category, and returns (Summary, Pros, Cons) of the whole.
+Part = tuple[str, str, str, int]
+Combiner = Callable[[list[Part], str], tuple[str, str, str]]
+
 Keep = Callable[[DataFrame], DataFrame]
 
 
@@ -75,15 +82,13 @@ def remaining_venues(star: ReviewStar, start: int, end: int) -> DataFrame:
 def venue_inputs(star: ReviewStar, start: int, end: int) -> DataFrame:
     """Distinct texts of unsummarised venues in the window, with their latest date.
 
-    Where the open venues can be broadcast, reviews of the others go before the
-    texts are shuffled.  Otherwise the texts are grouped first: that spreads a busy
-    venue over its texts before the venues are joined on their id alone.
+    Reviews of the other venues go before the texts are grouped.  The open venues are
+    written while this is called, so that Spark knows their size: it broadcasts them, or
+    shuffles both sides and splits a busy venue.
     """
+    open_venues = cut_lineage(_open_venues(star, start, end))
     reviews = _window_reviews(star, start, end)
-    open_venues, small = keep_for_broadcast(_open_venues(star, start, end))
-    if small:
-        return venue_texts(reviews.join(open_venues, "VenueID", "left_semi"))
-    return venue_texts(reviews).join(open_venues, "VenueID", "left_semi")
+    return venue_texts(reviews.join(open_venues, "VenueID", "left_semi"))
 
 
 def venue_texts(reviews: DataFrame) -> DataFrame:
@@ -169,15 +174,15 @@ def top_aspects(
 def summary_text(texts: DataFrame, keys: list[str], text: str, limit: int = schema.SUMMARY_WORDS) -> DataFrame:
     """The strongest sentences of each group, up to ``limit`` words in all.
 
-    A sentence has a word at least, so the first ``limit`` of a group are enough to
+    A longer sentence is cut into runs of ``limit`` words, which are sentences then.  A
+    sentence has a word at least, so the first ``limit`` of a group are enough to
     fill its summary; that limit is applied on the map side already.
     """
     strength = F.when(F.col("Score") < 0, 0).otherwise(F.abs(F.col("Score") - 5))
     candidates = (
-        texts.select(*keys, F.explode(sentences(F.col(text))).alias("Sentence"))
+        texts.select(*keys, F.explode(sentences(F.col(text), limit)).alias("Sentence"))
         .distinct()
         .withColumn("Length", word_count(F.col("Sentence")))
-        .where(F.col("Length") <= limit)
         .withColumn("Words", word_list(clean_text(F.col("Sentence"))))
         .withColumn("Score", lexicon_score(F.col("Words")))
         .select(*keys, "Sentence", "Length", strength.alias("Strength"))
@@ -208,51 +213,118 @@ def summarise_group(texts: DataFrame, keys: list[str], text: str, category: str
 
 def summarise_with(
     texts: DataFrame, keys: list[str], text: str, category: str, summariser: Summariser,
-    chunk: int = 200,
+    chunk: int = 200, combine: Combiner | None = None,
 ) -> DataFrame:
-    """Summary, Pros and Cons of each group from a function of texts.
-
-    A group of any size is read in parts of about ``chunk`` texts, and the
-    summaries of its parts are read the same way until one part is left.  Every
-    distinct text is read, and no call, row or task gets a whole large group.
+    """Summary, Pros and Cons of each group from a function of texts, and a Reason if it failed.
+
+    A group of any size is read in parts of about ``chunk`` texts, and what was made of its
+    parts is put together the same way until one part is left.  Every distinct text is read,
+    and no call, row or task gets a whole large group.  Summaries of parts are summarised
+    again; Pros and Cons, with their shares, then come from all the group's rows
+    (:func:`top_aspects`), so that its size doesn't change what they mean.  With ``combine``
+    that function puts the parts together instead, Pros and Cons included; it sees how many
+    texts each part stands for, and a group of one part, too.
+    A call that raises or returns something else than three texts gives its group a Reason.
     Each round is written to the checkpoint folder, so no call is made twice.
     """
+    if chunk < 2:
+        raise ValueError("a part has two texts or more")
     source = F.col(text)
-    rows = texts.select(*keys, (alpha_only(source) if category == "Venue" else source).alias("Text")).distinct()
+    plain = alpha_only(source) if category == "Venue" else source
+    rows = texts.select(*keys, plain.alias("Text")).where(F.col("Text").isNotNull()).distinct().select(
+        *keys, F.struct("Text", F.lit("").alias("Pros"), F.lit("").alias("Cons"), F.lit(1).cast("long").alias("Texts"), F.xxhash64("Text").alias("Place")).alias("Item")
+    )
+
+    def read(items: list, category: str) -> tuple[str, str, str]:
+        return summariser([item["Text"] for item in items], category)
+
+    def join(items: list, category: str) -> tuple[str, str, str]:
+        if combine is None:
+            return read(items, category)
+        return combine([(item["Text"], item["Pros"], item["Cons"], item["Texts"]) for item in items], category)
+
     largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    finished = None
+    finished, number = None, 0
     while True:
-        answers = cut_lineage(_summarise_parts(rows, keys, category, summariser, chunk))
-        whole = answers.where(F.col("Parts") == 1).drop("Parts")
-        finished = whole if finished is None else finished.unionByName(whole)
-        if largest <= chunk:
-            return finished
-        rows = answers.where(F.col("Parts") > 1).select(*keys, F.col("Summary").alias("Text")).distinct()
+        # With a combiner its first call comes after the first round, whatever the size.
+        last = largest <= chunk and (combine is None or number > 0)
+        answers = cut_lineage(_summarise_parts(rows, keys, category, join if number else read, chunk))
+        failed = answers.where(F.col("Reason").isNotNull())
+        whole = F.col("Parts") == 1
+        done = answers.where(whole & F.col("Reason").isNull()) if combine is None or number else answers.where(F.lit(False))
+        # A failed part ends its group: one line says why.
+        lines = failed.groupBy(*keys).agg(
+            F.lit(None).cast("string").alias("Summary"), F.lit(None).cast("string").alias("Pros"),
+            F.lit(None).cast("string").alias("Cons"), F.min("Reason").alias("Reason"),
+        ).unionByName(done.select(*keys, "Summary", "Pros", "Cons", "Reason"))
+        finished = lines if finished is None else finished.unionByName(lines)
+        if last:
+            break
+        left = answers.where(F.col("Reason").isNull()) if combine is not None and not number else answers.where(~whole & F.col("Reason").isNull())
+        rows = without(left, failed, keys).select(
+            *keys, F.struct(F.col("Summary").alias("Text"), "Pros", "Cons", "Texts", F.col("Part").alias("Place")).alias("Item")
+        )
         largest = math.ceil(largest / chunk)
+        number += 1
+    if combine is not None:
+        return finished
+    aspects_of = top_aspects(texts.select(*keys, plain.alias("_text")), keys, "_text")
+    return finished.drop("Pros", "Cons").join(aspects_of, keys, "left").select(*keys, "Summary", "Pros", "Cons", "Reason")
 
 
 def _summarise_parts(
-    rows: DataFrame, keys: list[str], category: str, summariser: Summariser, chunk: int
+    rows: DataFrame, keys: list[str], category: str, call: Callable, chunk: int
 ) -> DataFrame:
     """One call for each part.  Parts are as many as the group's own size asks for;
-    its texts are distinct, so hashing them fills the parts evenly."""
+    places of its items differ, so dealing by them fills the parts evenly."""
     sizes, _ = keep_for_broadcast(rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).alias("Parts")))
     lists = (
         rows.join(sizes, keys)
-        .groupBy(*keys, "Parts", F.pmod(F.xxhash64("Text"), "Parts").alias("Part"))
-        .agg(F.sort_array(F.collect_list("Text")).alias("Texts"))
+        .groupBy(*keys, "Parts", F.pmod(F.col("Item.Place"), F.col("Parts")).alias("Part"))
+        .agg(F.sort_array(F.collect_list("Item")).alias("Items"))
     )
 
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def attempt(items: list) -> tuple[str | None, str | None, str | None, str | None]:
+        try:
+            answer = call(items, category)
+        except Exception as error:
+            return None, None, None, f"summariser failed: {type(error).__name__}: {error}"[:500]
+        if not (isinstance(answer, tuple | list) and len(answer) == 3 and all(isinstance(x, str) for x in answer)):
+            return None, None, None, "unexpected reply"
+        return (*answer, None)
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            results = [summariser(list(found), category) for found in frame["Texts"]]
-            out = frame[[*keys, "Parts"]].copy()
-            for place, name in enumerate(("Summary", "Pros", "Cons")):
-                out[name] = [result[place] for result in results]
+            results = [attempt(list(found)) for found in frame["Items"]]
+            out = frame[[*keys, "Parts", "Part"]].copy()
+            for place, name in enumerate(("Summary", "Pros", "Cons", "Reason")):
+                out[name] = pd.Series([result[place] for result in results], dtype=object, index=frame.index)
+            out["Texts"] = [sum(int(item["Texts"]) for item in found) for found in frame["Items"]]
             yield out
 
-    fields = [lists.schema[key] for key in [*keys, "Parts"]]
-    return lists.mapInPandas(call, T.StructType([*fields, *schema.SUMMARY_ITEM.fields]))
+    fields = [lists.schema[key] for key in [*keys, "Parts", "Part"]]
+    more = [T.StructField("Reason", T.StringType()), T.StructField("Texts", T.LongType())]
+    return lists.mapInPandas(answer, T.StructType([*fields, *schema.SUMMARY_ITEM.fields, *more]))
+
+
+def json_summariser(ask: Callable[[str], str]) -> Summariser:
+    """A summariser from a function of JSON, which has to return one record under one root key.
+
+    It gets the category and the texts, and its record has to have the keys Summary, Pros and
+    Cons and no others, all texts; anything else raises, which sets the group aside.
+    """
+    names = schema.SUMMARY_ITEM.fieldNames()
+
+    def summarise(texts: list[str], category: str) -> tuple[str, str, str]:
+        reply = json.loads(ask(json.dumps({"category": category, "texts": texts})))
+        records = next(iter(reply.values())) if isinstance(reply, dict) and len(reply) == 1 else None
+        if not isinstance(records, list) or len(records) != 1 or not isinstance(records[0], dict):
+            raise ValueError("not one record under one root key")
+        if sorted(records[0]) != sorted(names) or not all(isinstance(value, str) for value in records[0].values()):
+            raise ValueError("unexpected keys")
+        return tuple(records[0][name] for name in names)
+
+    return summarise
 
 
 # ---- staging and publishing -----------------------------------------------
@@ -261,28 +333,75 @@ def summary_is_short(summary: Column, limit: int = schema.SUMMARY_WORDS) -> Colu
     return word_count(summary) <= limit
 
 
-def _renamed(summaries: DataFrame, category: str) -> DataFrame:
-    return summaries.where(summary_is_short(F.col("Summary"))).withColumnsRenamed(
+def refused_summaries(summaries: DataFrame) -> DataFrame:
+    """Summaries that cannot be stored, with the Reason why not."""
+    given = F.col("Reason") if "Reason" in summaries.columns else F.lit(None).cast("string")
+    summary = F.col("Summary")
+    reason = F.coalesce(
+        given,
+        F.when(summary.isNull() | (F.trim(summary) == ""), "empty summary"),
+        F.when(~summary_is_short(summary), "too long"),
+    )
+    return summaries.withColumn("Reason", reason)
+
+
+def _renamed(judged: DataFrame, category: str) -> DataFrame:
+    return judged.where(F.col("Reason").isNull()).drop("Reason").withColumnsRenamed(
         {name: f"{category}{name}" for name in ("Summary", "Pros", "Cons")}
     )
 
 
-def stage_venues(
+GROUP_KEYS = ["VenueID", "OperatorID", "RegionID", "DateRangeID"]
+
+
+def _report(category: str, judged: DataFrame, inputs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Refused summaries of a level, and the level's counts."""
+    missing = [F.lit(None).cast("long").alias(key) for key in GROUP_KEYS if key not in judged.columns]
+    rejects = judged.where(F.col("Reason").isNotNull()).select(
+        F.lit(category).alias("Category"), *missing,
+        *[F.col(key).cast("long").alias(key) for key in GROUP_KEYS if key in judged.columns], "Summary", "Reason",
+    ).select("Category", *GROUP_KEYS, "Summary", "Reason")
+    waiting = inputs.select(*keys).distinct().agg(F.count("*")).scalar()
+    metrics = judged.agg(
+        F.lit(category).alias("Category"), F.count_if(F.col("Reason").isNull()).alias("Completed"), F.count("Reason").alias("Failed")
+    ).withColumn("Remaining", waiting - F.col("Completed"))
+    return rejects, metrics
+
+
+@dataclass(frozen=True)
+class Level:
+    """One level's summary table with the new rows; what was refused; its counts."""
+
+    table: DataFrame
+    rejects: DataFrame
+    metrics: DataFrame
+
+
+def venue_level(
     star: ReviewStar, start: int, end: int, summarise=summarise_group, keep: Keep = cut_lineage
-) -> DataFrame:
+) -> Level:
     """Venue summaries with those of the window added; the links stay 0 for now.
 
     Here and below ``keep`` writes the new summaries, and only those, since
     numbering, the next levels and the publishing all read them.
     """
-    summaries = summarise(venue_inputs(star, start, end), ["VenueID"], "ReviewText", "Venue")
-    rows = keep(_renamed(summaries, "Venue")).select(
+    wanted = range_id(star.date_range, start, end)
+    inputs = venue_inputs(star, start, end)
+    judged = keep(refused_summaries(summarise(inputs, ["VenueID"], "ReviewText", "Venue")))
+    rows = _renamed(judged, "Venue").select(
         "*",
-        range_id(star.date_range, start, end).alias("DateRangeID"),
+        wanted.alias("DateRangeID"),
         F.lit(0).alias("RegionSummaryID"),
         F.lit(0).alias("OperatorSummaryID"),
     )
-    return _staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID", keep)
+    table = _staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID", keep)
+    return Level(table, *_report("Venue", judged.withColumn("DateRangeID", wanted), inputs, ["VenueID"]))
+
+
+def stage_venues(
+    star: ReviewStar, start: int, end: int, summarise=summarise_group, keep: Keep = cut_lineage
+) -> DataFrame:
+    return venue_level(star, start, end, summarise, keep).table
 
 
 def _staged(table: DataFrame, rows: DataFrame, keys: list[str], id_column: str, keep: Keep) -> DataFrame:
@@ -290,24 +409,37 @@ def _staged(table: DataFrame, rows: DataFrame, keys: list[str], id_column: str,
     return table.unionByName(keep(absent_rows(table, rows, keys, id_column)))
 
 
-def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
+def operator_level(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> Level:
     keys = ["OperatorID", "DateRangeID"]
-    rows = keep(_renamed(summarise(operator_inputs(star), keys, "VenueSummary", "Operator"), "Operator"))
-    return _staged(star.summary_operator, rows, keys, "OperatorSummaryID", keep)
+    inputs = operator_inputs(star)
+    judged = keep(refused_summaries(summarise(inputs, keys, "VenueSummary", "Operator")))
+    table = _staged(star.summary_operator, _renamed(judged, "Operator"), keys, "OperatorSummaryID", keep)
+    return Level(table, *_report("Operator", judged, inputs, keys))
 
 
-def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
+def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
+    return operator_level(star, summarise, keep).table
+
+
+def region_level(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> Level:
     """Region summaries; the unknown region gets dashes without being summarised."""
     keys = ["OperatorID", "RegionID", "DateRangeID"]
     inputs = region_inputs(star)
     unknown = F.coalesce(key_of(star.region, "Region", schema.UNKNOWN_RAW, "RegionID"), F.lit(-1))
     dash = F.lit(schema.UNKNOWN_RAW)
-    known = summarise(inputs.where(F.col("RegionID") != unknown), keys, "VenueSummary", "Region")
+    known = refused_summaries(
+        summarise(inputs.where(F.col("RegionID") != unknown), keys, "VenueSummary", "Region")
+    )
     dashes = inputs.where(F.col("RegionID") == unknown).select(*keys).distinct().select(
-        *keys, dash.alias("Summary"), dash.alias("Pros"), dash.alias("Cons")
+        *keys, dash.alias("Summary"), dash.alias("Pros"), dash.alias("Cons"), F.lit(None).cast("string").alias("Reason")
     )
-    rows = keep(_renamed(known.unionByName(dashes), "Region"))
-    return _staged(star.summary_region, rows, keys, "RegionSummaryID", keep)
+    judged = keep(known.unionByName(dashes))
+    table = _staged(star.summary_region, _renamed(judged, "Region"), keys, "RegionSummaryID", keep)
+    return Level(table, *_report("Region", judged, inputs, keys))
+
+
+def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
+    return region_level(star, summarise, keep).table
 
 
 def publish_summaries(star: ReviewStar, staged: ReviewStar) -> ReviewStar:
@@ -350,8 +482,12 @@ def publish_summaries(star: ReviewStar, staged: ReviewStar) -> ReviewStar:
 
 @dataclass(frozen=True)
 class SummaryRun:
+    """Staged and published tables, refused summaries with their Reason, counts of each level."""
+
     staged: ReviewStar
     published: ReviewStar
+    rejects: DataFrame
+    metrics: DataFrame
 
 
 def summarise_all(
@@ -363,7 +499,16 @@ def summarise_all(
     """
     start, end = window_ids(label, months)
     staged = star.replace(date_range=date_range_upsert(star.date_range, start, end, months))
-    staged = staged.replace(summary_venue=stage_venues(staged, start, end, summarise, keep))
-    staged = staged.replace(summary_operator=stage_operators(staged, summarise, keep))
-    staged = staged.replace(summary_region=stage_regions(staged, summarise, keep))
-    return SummaryRun(staged, publish_summaries(star, staged))
+    venues = venue_level(staged, start, end, summarise, keep)
+    staged = staged.replace(summary_venue=venues.table)
+    operators = operator_level(staged, summarise, keep)
+    staged = staged.replace(summary_operator=operators.table)
+    regions = region_level(staged, summarise, keep)
+    staged = staged.replace(summary_region=regions.table)
+    levels = (venues, operators, regions)
+    return SummaryRun(
+        staged,
+        publish_summaries(star, staged),
+        rejects=reduce(DataFrame.unionByName, [level.rejects for level in levels]),
+        metrics=reduce(DataFrame.unionByName, [level.metrics for level in levels]),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import schema
 from reviewloom.functions.scores import raw_phrase_score, raw_score
-from reviewloom.functions.text import phrase_label
+from reviewloom.functions.text import phrase_key, phrase_label, phrase_label_key
 from reviewloom.operators.relational import sentiments
 from reviewloom.operators.upserts import insert_if_absent, update_column
 from reviewloom.session import cut_lineage, keep_for_broadcast
@@ -45,18 +45,26 @@ class PhraseTables:
     reviews: DataFrame
 
 
-def phrase_rows(star: ReviewStar, scores: DataFrame, phrases: list[str]) -> DataFrame:
-    """(ReviewID, Phrase, PhraseFlag, PhraseSentimentID) of scored reviews that exist."""
+def phrase_rows(
+    star: ReviewStar, scores: DataFrame, phrases: list[str], from_star: bool = False
+) -> DataFrame:
+    """(ReviewID, Phrase, PhraseFlag, PhraseSentimentID) of scored reviews that exist.
+
+    The phrase is spelled as it is stored already, if it is.  ``from_star`` says that
+    ``scores`` were made from reviews of this star, which spares looking for them there.
+    """
+    if not from_star:
+        scores = scores.join(star.review.select("ReviewID"), "ReviewID", "left_semi")
+    same = phrase_key(F.col("Phrase")) == phrase_label_key(phrases)
+    stored = star.phrase_flag.where(same).agg(F.min("Phrase")).scalar()
     raw = scores.select(
         "ReviewID",
-        F.lit(phrase_label(phrases)).alias("Phrase"),
+        F.coalesce(stored, F.lit(phrase_label(phrases))).alias("Phrase"),
         "PhraseFlag",
         raw_phrase_score(F.col("PhraseFlag"), F.col("Sentiment")).alias("Raw"),
     )
-    return (
-        with_sentiment_id(raw, star, "Raw")
-        .join(star.review.select("ReviewID"), "ReviewID", "left_semi")
-        .select("ReviewID", "Phrase", "PhraseFlag", F.col("SentimentID").alias("PhraseSentimentID"))
+    return with_sentiment_id(raw, star, "Raw").select(
+        "ReviewID", "Phrase", "PhraseFlag", F.col("SentimentID").alias("PhraseSentimentID")
     )
 
 
@@ -64,23 +72,34 @@ FLAG_KEYS = ["Phrase", "PhraseFlag", "PhraseSentimentID"]
 
 
 def upsert_phrase_flags(flags: DataFrame, rows: DataFrame) -> DataFrame:
-    """The flag table with the combinations it lacked; a phrase has thirteen at most."""
-    return insert_if_absent(
-        flags, rows.select(*FLAG_KEYS).distinct(), FLAG_KEYS, "PhraseSentimentFlagID", few=True
-    )
+    """The flag table with the combinations it lacked; a phrase has thirteen at most.
+
+    Phrases are compared in their normal form: a second spelling adds nothing.
+    """
+    known = flags.select(phrase_key(F.col("Phrase")).alias("_key"), *FLAG_KEYS[1:])
+    wanted = rows.select(*FLAG_KEYS).distinct().withColumn("_key", phrase_key(F.col("Phrase")))
+    fresh = wanted.join(known, ["_key", *FLAG_KEYS[1:]], "left_anti").drop("_key")
+    return insert_if_absent(flags, fresh, FLAG_KEYS, "PhraseSentimentFlagID", few=True)
 
 
 def upsert_phrase_reviews(bridge: DataFrame, flags: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bridge table with the pairs it lacked."""
-    pairs = rows.join(flags, FLAG_KEYS).select("ReviewID", "PhraseSentimentFlagID")
+    """The bridge table with the pairs it lacked; of several spellings the first flag counts."""
+    keyed = flags.groupBy(phrase_key(F.col("Phrase")).alias("_key"), *FLAG_KEYS[1:]).agg(
+        F.min("PhraseSentimentFlagID").alias("PhraseSentimentFlagID")
+    )
+    pairs = (
+        rows.withColumn("_key", phrase_key(F.col("Phrase")))
+        .join(keyed, ["_key", *FLAG_KEYS[1:]])
+        .select("ReviewID", "PhraseSentimentFlagID")
+    )
     return insert_if_absent(bridge, pairs, ["ReviewID", "PhraseSentimentFlagID"])
 
 
 def writeback_phrase(
     star: ReviewStar, scores: DataFrame, phrases: list[str],
-    keep: Callable[[DataFrame], DataFrame] = cut_lineage,
+    keep: Callable[[DataFrame], DataFrame] = cut_lineage, from_star: bool = False,
 ) -> PhraseTables:
     """Both new tables.  The scored rows are read by both, so they are kept first."""
-    rows = keep(phrase_rows(star, scores, phrases))
+    rows = keep(phrase_rows(star, scores, phrases, from_star))
     flags = upsert_phrase_flags(star.phrase_flag, rows)
     return PhraseTables(flags, upsert_phrase_reviews(star.phrase_review, flags, rows))

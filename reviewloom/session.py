@@ -1,9 +1,11 @@
-"""Session settings and lineage cutting."""
+"""Session settings, kept results and their owner."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +13,11 @@ from pyspark.sql import functions as F
 # A hot text or venue is split by adaptive execution while it is joined.  The
 # "force" switch lets it split even where the next step would have reused the
 # join's partitioning, at the price of one more shuffle in the skewed case only.
-#
-# Every Python step here takes rows that hold a whole batch of texts, so an Arrow
-# batch is kept to a few of them.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }
 
 
@@ -58,9 +56,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/reviewloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for owned in _OWNERS[-1:]:
+        owned.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Paths written under each open ``kept_results``, the innermost last.
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def kept_results(spark: SparkSession) -> Iterator[None]:
+    """Own what is written by ``cut_lineage`` inside, and delete it at the end.
+
+    Plans that need their intermediate results more than once write them while they are
+    built; their DataFrames are good until the block ends.
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for name in _OWNERS.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """A dimension that is small by its meaning, broadcast; more than ``rows`` rows raise
+    when it is read, and nothing is counted before."""
+    few = df.agg(F.count("*")).scalar() <= rows
+    return F.broadcast(df.where(F.when(few, True).otherwise(F.raise_error(F.lit("too many rows to broadcast")))))
+
+
 # A broadcast row here is a key and an id, so this is well under 100 MB.
 BROADCAST_ROWS = 500_000
 

@@ -67,10 +67,9 @@ def star_from_orders(spark, folder: str) -> ReviewStar:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    def derived(name: str, *columns: str, where: str | None = None) -> Callable[[], DataFrame]:
+    def derived(name: str, *columns: str) -> Callable[[], DataFrame]:
         def make() -> DataFrame:
-            rows = table(name) if where is None else table(name).where(where)
-            return rows.selectExpr(*columns)
+            return table(name).selectExpr(*columns)
 
         return make
 
@@ -98,18 +97,24 @@ def star_from_orders(spark, folder: str) -> ReviewStar:
             "phrase_flag": lambda: derived("part", "CAST(p_partkey % 78 AS int) AS k")()
             .distinct()
             .selectExpr(*_FLAG),
-            "phrase_review": lambda: derived(
-                "lineitem",
-                "l_orderkey AS ReviewID",
-                f"{_FLAG_OF_REVIEW} AS PhraseSentimentFlagID",
-                where="l_linenumber = 1 AND l_returnflag = 'A'",
-            )().distinct(),
+            # Orders of which over a third of the lines were returned have a flag; all lines are read for that.
+            "phrase_review": lambda: table("lineitem")
+            .groupBy("l_orderkey")
+            .agg(
+                F.sum("l_quantity").alias("quantity"),
+                F.count("*").alias("lines"),
+                F.count_if(F.col("l_returnflag") == "A").alias("returned"),
+            )
+            .where("returned * 3 > lines")
+            .selectExpr("l_orderkey AS ReviewID", f"{_FLAG_OF_REVIEW} AS PhraseSentimentFlagID"),
             "date_range": lambda: spark.sql(
-                "SELECT 1 AS DateRangeID, 19980228 AS StartDateID, 19990228 AS EndDateID, 12 AS Months"
+                """SELECT 1 AS DateRangeID, 19980228 AS StartDateID, 19990228 AS EndDateID, 12 AS Months
+                UNION ALL SELECT 2, 19970228, 19980228, 12 UNION ALL SELECT 3, 19960228, 19970228, 12"""
             ),
-            "summary_venue": derived("customer", *_SUMMARY_VENUE, where="c_mktsegment = 'BUILDING'"),
-            "summary_operator": derived("nation", *_SUMMARY_OPERATOR, where="n_regionkey = 0"),
-            "summary_region": derived("nation", *_SUMMARY_REGION, where="n_regionkey = 0"),
+            # Every venue, operator and region is summarised for one of the windows.
+            "summary_venue": derived("customer", *_SUMMARY_VENUE),
+            "summary_operator": derived("nation", *_SUMMARY_OPERATOR),
+            "summary_region": derived("nation", *_SUMMARY_REGION),
             "venue_export": lambda: star.venue.join(star.brand, "BrandID")
             .join(star.operator, "OperatorID")
             .select("OperatorVenueCode", "OperatorName"),
@@ -168,7 +173,7 @@ _SUMMARY_VENUE = [
     "concat('The staff was great. Seed ', c_mktsegment) AS VenueSummary",
     "'-' AS VenuePros",
     "'-' AS VenueCons",
-    "1 AS DateRangeID",
+    "CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS DateRangeID",
     "c_custkey AS VenueID",
     "0 AS RegionSummaryID",
     "0 AS OperatorSummaryID",
@@ -179,7 +184,7 @@ _SUMMARY_OPERATOR = [
     "'seed' AS OperatorSummary",
     "'-' AS OperatorPros",
     "'-' AS OperatorCons",
-    "1 AS DateRangeID",
+    "CASE WHEN n_regionkey = 0 THEN 1 ELSE 3 END AS DateRangeID",
     "n_nationkey AS OperatorID",
 ]
 
@@ -188,7 +193,7 @@ _SUMMARY_REGION = [
     "'seed' AS RegionSummary",
     "'-' AS RegionPros",
     "'-' AS RegionCons",
-    "1 AS DateRangeID",
+    "CASE WHEN n_regionkey = 0 THEN 1 ELSE 3 END AS DateRangeID",
     "n_regionkey AS RegionID",
     "n_nationkey AS OperatorID",
 ]
@@ -203,6 +208,6 @@ _FLAG = [
 ]
 
 # Large orders have the phrase discussed, small ones have another one ruled out.
-_FLAG_OF_REVIEW = """CAST(CASE WHEN l_quantity < 25 THEN (l_orderkey + 1) % 6
+_FLAG_OF_REVIEW = """CAST(CASE WHEN quantity < 25 * lines THEN (l_orderkey + 1) % 6
     ELSE 12 + 6 * (l_orderkey % 7 + CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 4 END) + l_orderkey % 6
     END AS int)"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import words as W
+from reviewloom.session import cut_lineage
 
 Reader = Callable[[str], DataFrame]
 
@@ -56,6 +57,16 @@ def save_table(
     writer.saveAsTable(name)
 
 
+def replace_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 200) -> None:
+    """Replace a table by a DataFrame that may read that very table.
+
+    Spark refuses to overwrite what a plan reads, so the new rows are written to the
+    checkpoint folder first; the table is whole at all times but while it is replaced, and its new rows
+    are stored beside it until then.
+    """
+    save_table(cut_lineage(df), name, bucket_by, buckets)
+
+
 def save_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str]) -> None:
     """Replace the rows of a database table; its definition stays."""
     df.write.option("truncate", True).jdbc(url, name, mode="overwrite", properties=properties)

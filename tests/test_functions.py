@@ -69,8 +69,16 @@ def test_negations_are_kept():
 
 
 def test_phrase_titles(spark):
-    assert text.phrase_label([" price or value", "FOOD "]) == "Price Or Value or Food"
-    assert values(spark, ["price OR value "], text.phrase_title) == ["Price Or Value"]
+    assert text.phrase_label([" price or value", "FOOD "]) == "Price or Value or Food"
+    assert text.phrase_label_key(["Price  OR value"]) == "price or value"
+    assert values(spark, ["price  OR value ", "Price Or Value"], text.phrase_key) == ["price or value"] * 2
+    assert W.phrase_terms(["drink"]) == W.phrase_terms([" DRINK "]) == W.phrase_terms(["Drink"])
+    assert W.phrase_terms(["parking"]) == ["parking"]
+
+
+def test_long_sentences_are_cut_into_runs(spark):
+    found = values(spark, [" ".join(f"{c}" for c in "abcdefg") + ". x"], lambda text_: text.sentences(text_, 3))
+    assert found == [["a b c", "d e f", "g", "x"]]
 
 
 def score(raw):

@@ -55,7 +55,33 @@ def test_scans_read_only_what_they_need(spark, folder):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     lines = [schema for schema in schemas if "l_orderkey" in schema]
     assert lines and all("l_extendedprice" not in schema and "l_shipdate" not in schema for schema in lines)
-    assert "EqualTo(l_returnflag,A)" in plan
+
+
+def test_the_selection_reaches_the_reviews_before_they_are_joined(spark, folder, at_scale):
+    """Venues of the picked operators meet the reviews before bridge and counts do."""
+    plan = plan_of(spark, folder, "operator_stats_selected")
+    assert plan.count("LeftSemi") >= 2
+    for part in re.split(r"\n(?=[^\n]*Scan parquet)", plan):
+        assert "partial_count" not in part or "LeftSemi" not in part.split("partial_count")[0]
+
+
+def test_listed_texts_travel_as_keys(spark, folder):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = plan_of(spark, folder, "semi_text")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all("o_custkey" not in s and "o_orderdate" not in s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+
+
+def test_windows_over_blocks_are_bounded(spark, folder):
+    plan = plan_of(spark, folder, "running_max_sparse")
+    assert "Exchange SinglePartition" not in plan
+    specs = re.findall(r"windowspecdefinition\(([^,]*), ([^,]*),", plan)
+    assert specs and all("_group" in a and ("_block" in b or "_above" in b) for a, b in specs)
+
+
+def test_validation_is_one_shuffle(spark, folder):
+    plan = plan_of(spark, folder, "validate_scores")
+    assert len(re.findall(r"Exchange hashpartitioning\(Queue#\d+, Batch#\d+", plan)) == 1 and "Join" not in plan
 
 
 def test_scoring_in_place_needs_no_shuffle(spark, folder):

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom import schema
 from reviewloom.operators import batches as B
@@ -72,9 +73,51 @@ def test_failing_scorer_fails_its_batches_only(star):
             raise ValueError("no answer")
         return inner(batch)
 
-    run = scoring.run_scorer(star.review, shaky, size=1, queues=3)
-    reasons = {row.Reason for row in run.rejects.select("Reason").collect()}
-    assert reasons == {"empty reply"} and not run.scores.isEmpty()
+    run = scoring.run_scorer(star.review, shaky, size=20)
+    reasons = {(row.Reason, row.Error) for row in run.rejects.collect()}
+    assert reasons == {("scorer failed", "ValueError: no answer")}
+    good = scoring.clean_reviews(star.review).where("CleanText NOT LIKE '%portion%'")
+    assert run.scores.count() == good.count()
+    metrics = run.metrics.first()
+    assert (metrics.Completed, metrics.Failed) == (
+        good.select("CleanText").distinct().count(), run.rejects.agg(F.sum(F.size("ReviewIDs"))).first()[0]
+    )
+
+
+def test_a_scorer_that_always_raises_stops_the_run(star):
+    def broken(batch):
+        raise PermissionError("wrong password")
+
+    with pytest.raises(RuntimeError, match="PermissionError: wrong password"):
+        scoring.run_scorer(star.review, broken)
+
+
+def test_passes_end_with_single_texts():
+    assert scoring.pass_sizes(50, 3) == [50, 10, 1]
+    assert scoring.pass_sizes(50, 1) == [50]
+    assert scoring.pass_sizes(2, 4) == [2, 1, 1, 1]
+
+
+def test_batches_fill_and_spread(spark, star):
+    unique = scoring.unique_texts(scoring.clean_reviews(star.review))
+    assert unique.count() == 84
+    assert B.assign_batches(unique, queues=B.queue_count(unique)).select("Queue", "Batch").distinct().count() == 2
+    steps = spark.range(0, 40 * 1021, 1021).withColumnRenamed("id", "ReviewID")
+    assert B.assign_batches(steps, queues=8).select("Queue").distinct().count() > 5
+
+
+def test_calls_are_spread_over_tasks(spark):
+    """Whatever the bytes of the batches: adaptive execution merges no tasks that call."""
+    rows = spark.range(200).selectExpr("id AS ReviewID", "concat('text ', id) AS ReviewText")
+    batches = B.batch_json(B.assign_batches(rows, size=5), ["ReviewID", "ReviewText"])
+
+    def who(batch):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    asked = scoring.ask_scorer(batches, who, calls=4).collect()
+    assert len(asked) == 40 and len({row.Reply for row in asked}) == 4
 
 
 def test_phrase_flags_are_checked(spark):
@@ -113,6 +156,15 @@ def test_row_by_row_validation(spark, rows):
     }
 
 
+def test_answers_out_of_order_are_misplaced(spark):
+    sent = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 3)], "Queue int, Batch int, ReviewID long")
+    got = spark.createDataFrame(
+        [(0, 0, 2, 5, 0), (0, 0, 1, 5, 1), (0, 1, 3, 5, 0)], "Queue int, Batch int, ReviewID long, Sentiment int, Place int"
+    )
+    found = {row.ReviewID: (row.State, row.Accepted) for row in B.validate_scores(sent, got).collect()}
+    assert found == {1: ("misplaced", False), 2: ("misplaced", False), 3: ("ok", True)}
+
+
 def test_scorer_is_called_once_for_a_batch(spark, star):
     calls = spark.sparkContext.accumulator(0)
     inner = scoring.lexicon_scorer()
@@ -122,7 +174,7 @@ def test_scorer_is_called_once_for_a_batch(spark, star):
         return inner(batch)
 
     found = candidates.candidates_overall(star, 19980101)
-    run = scoring.run_scorer(found, counted, size=10, queues=3)
+    run = scoring.run_scorer(found, counted, size=10)
     total = run.scores.count()
     metrics = run.metrics.first()
     assert run.rejects.isEmpty()
@@ -136,13 +188,13 @@ def test_scorer_is_called_once_for_a_batch(spark, star):
 def test_both_scoring_paths_agree(star):
     found = candidates.candidates_overall(star, 19980101)
     in_place = scoring.score_reviews(found)
-    batched = scoring.run_scorer(found, scoring.lexicon_scorer(), queues=3).scores
+    batched = scoring.run_scorer(found, scoring.lexicon_scorer()).scores
     assert in_place.exceptAll(batched).isEmpty() and batched.exceptAll(in_place).isEmpty()
 
 
 def test_refused_batches_leave_their_reviews_unscored(star):
     found = candidates.candidates_overall(star, 19980101)
-    run = scoring.run_scorer(found, lambda batch: "{}", queues=3)
+    run = scoring.run_scorer(found, lambda batch: "{}")
     assert run.scores.isEmpty()
     metrics = run.metrics.first()
     assert metrics.Completed == 0 and metrics.Failed == metrics.Remaining > 0

@@ -1,5 +1,8 @@
 """Upserts, write-back, summaries and table input and output."""
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,9 +17,16 @@ from reviewloom.sources.star import ReviewStar, TABLES, read_star
 def test_surrogate_keys_are_dense_in_key_order(spark):
     existing = spark.createDataFrame([(41, 1)], "id int, k long")
     fresh = spark.range(0, 5000, 3).select(F.col("id").alias("k")).repartition(5)
-    for width in (100, 1 << 20):
-        numbered = upserts.with_surrogate_keys(fresh, existing, "id", ["k"], width=width)
-        assert [row.id for row in numbered.orderBy("k").collect()] == list(range(42, 42 + 1667))
+    numbered = upserts.with_surrogate_keys(fresh, existing, "id", ["k"])
+    assert [row.id for row in numbered.orderBy("k").collect()] == list(range(42, 42 + 1667))
+
+
+def test_null_and_text_keys_are_numbered_and_added_once(spark, rows):
+    table = spark.createDataFrame([(2, "5")], "id int, k string")
+    new = spark.createDataFrame([("6",), (None,), ("5",)], "k string")
+    once = upserts.insert_if_absent(table, new, ["k"], "id")
+    assert rows(once) == [(2, "5"), (3, None), (4, "6")]
+    assert rows(upserts.insert_if_absent(once, new, ["k"], "id")) == rows(once)
 
 
 def test_surrogate_keys_start_at_one_in_an_empty_table(spark):
@@ -99,7 +109,7 @@ def test_summarising_twice_adds_nothing(star):
         assert getattr(after, name).count() == getattr(again, name).count()
     words = after.summary_venue.agg(F.max(F.size(F.split("VenueSummary", " ")))).first()[0]
     assert words <= 50
-    dashes = after.summary_region.where("RegionID = 99 AND DateRangeID = 2")
+    dashes = after.summary_region.where("RegionID = 99 AND DateRangeID = 4")
     assert dashes.count() > 0 and dashes.where("RegionSummary <> '-' OR RegionPros <> '-'").isEmpty()
 
 
@@ -113,30 +123,98 @@ def test_custom_summariser_reads_every_text_in_bounded_calls(spark):
         return " ".join(sorted(" ".join(found).split())), category, "-"
 
     result = summaries.summarise_with(df, ["k"], "t", "Operator", joined, chunk=30)
-    found = {row.k: (row.Summary, row.Pros, row.Cons) for row in result.collect()}
-    assert found["big"] == (" ".join(sorted(f"word{i}" for i in range(1000))), "Operator", "-")
-    assert found["small"] == ("alone", "Operator", "-")
+    found = {row.k: (row.Summary, row.Pros, row.Cons, row.Reason) for row in result.collect()}
+    assert found["big"] == (" ".join(sorted(f"word{i}" for i in range(1000))), "-", "-", None)
+    assert found["small"] == ("alone", "-", "-", None)
     assert longest.value == 0
 
 
+def counters():
+    """A summariser that counts, and what adds its counts up; made here so that they travel to the workers."""
+
+    def count(texts, category):
+        return f"{len(texts)}", "-", "-"
+
+    def add(parts, category):
+        return f"{sum(int(summary) for summary, _, _, _ in parts)}", f"{sum(n for _, _, _, n in parts)}", "-"
+
+    return count, add
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 1_000_000])
+def test_the_size_of_parts_does_not_change_the_answer(spark, chunk):
+    texts = [("big", f"word{i}") for i in range(90)] + [("big", "word1"), ("big", None), ("small", "alone")]
+    df = spark.createDataFrame(texts, "k string, t string").repartition(3)
+    count, add = counters()
+    result = summaries.summarise_with(df, ["k"], "t", "Operator", count, chunk=chunk, combine=add)
+    assert sorted((row.k, row.Summary, row.Pros) for row in result.collect()) == [("big", "90", "90"), ("small", "1", "1")]
+
+
+def test_pros_of_large_groups_count_reviews(spark):
+    """Shares are of all texts, however many parts a group is read in."""
+    df = spark.createDataFrame([("a", f"The staff was great {'abcdefghij'[i % 10]}{'x' * i}") for i in range(45)], "k string, t string")
+    for chunk in (10, 100):
+        row = summaries.summarise_with(df, ["k"], "t", "Operator", counters()[0], chunk=chunk).first()
+        assert row.Pros == "great staff (100%)"
+
+
+def test_parts_of_one_text_are_refused(spark):
+    with pytest.raises(ValueError):
+        summaries.summarise_with(spark.createDataFrame([], "k int, t string"), ["k"], "t", "", counters()[0], chunk=1)
+
+
+def test_failed_summaries_have_a_reason(spark):
+    def moody(texts, category):
+        if "bad" in texts[0]:
+            raise ValueError("no answer")
+        return ("only one",) if "odd" in texts[0] else (texts[0], "-", "-")
+
+    df = spark.createDataFrame([(1, "bad"), (2, "odd"), (3, "fine"), *[(4, f"bad {i}") for i in range(9)]], "k int, t string")
+    result = summaries.summarise_with(df, ["k"], "t", "Operator", moody, chunk=4)
+    assert {row.k: (row.Summary, row.Reason) for row in result.collect()} == {
+        1: (None, "summariser failed: ValueError: no answer"), 2: (None, "unexpected reply"), 3: ("fine", None),
+        4: (None, "summariser failed: ValueError: no answer"),
+    }
+
+
+def test_json_summaries_are_checked():
+    record = {"Summary": "s", "Pros": "p", "Cons": "c"}
+    answer = lambda reply: summaries.json_summariser(lambda asked: json.dumps(reply))(["t"], "Venue")
+    assert answer({"review_summary": [record]}) == ("s", "p", "c")
+    for wrong in ({}, {"a": [], "b": []}, {"a": []}, {"a": [record, record]}, {"a": [{**record, "More": 1}]}, {"a": [{**record, "Cons": None}]}, [record]):
+        with pytest.raises(ValueError):
+            answer(wrong)
+
+
 def test_custom_summariser_in_the_pipeline(star):
     def first(found, category):
-        return " ".join(found[0].split()[:5]), category, str(len(found) > 0)
+        return f"{category} {found[0].split()[0]}", "-", "-"
 
     def summarise(inputs, keys, text, category):
         return summaries.summarise_with(inputs, keys, text, category, first)
 
-    rows = summaries.stage_operators(star, summarise).where("OperatorPros = 'Operator'")
-    assert rows.count() == summaries.operator_inputs(star).select("OperatorID").distinct().count()
+    rows = summaries.stage_operators(star, summarise).where("OperatorSummary LIKE 'Operator %'")
+    assert rows.count() == summaries.operator_inputs(star).select("OperatorID", "DateRangeID").distinct().count()
 
 
-def test_long_summaries_are_not_staged(star):
+def test_long_summaries_are_set_aside_with_a_reason(star):
     def long_winded(inputs, keys, text, category):
         row = [F.array_join(F.array_repeat(F.lit("word"), 51), " "), F.lit("-"), F.lit("-")]
         names = ("Summary", "Pros", "Cons")
         return inputs.select(*keys).distinct().select(*keys, *[c.alias(n) for c, n in zip(row, names)])
 
-    assert summaries.stage_operators(star, long_winded).count() == star.summary_operator.count()
+    level = summaries.operator_level(star, long_winded)
+    assert level.table.count() == star.summary_operator.count()
+    groups = summaries.operator_inputs(star).select("OperatorID", "DateRangeID").distinct().count()
+    assert {row.Reason for row in level.rejects.collect()} == {"too long"}
+    assert level.rejects.count() == groups
+    assert tuple(level.metrics.first()) == ("Operator", 0, groups, groups)
+
+
+def test_a_review_without_full_stops_is_summarised(spark):
+    df = spark.createDataFrame([(1, " ".join(["good"] * 66))], "k int, t string")
+    words = summaries.summarise_group(df, ["k"], "t").first().Summary.split()
+    assert set(words) <= {"good", "good."} and 0 < len(words) <= 50
 
 
 def test_stored_star(spark, star, tmp_path):
@@ -181,5 +259,27 @@ def test_kept_results_are_read_back(spark, rows):
     assert small and kept.isEmpty()
 
 
+def test_kept_results_are_deleted_with_their_owner(spark):
+    with session.kept_results(spark):
+        kept = session.cut_lineage(spark.range(3))
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3 and os.path.exists(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_broadcasts_of_dimensions_are_checked(spark):
+    assert session.checked_broadcast(spark.range(5), 5).count() == 5
+    with pytest.raises(Exception, match="too many rows"):
+        session.checked_broadcast(spark.range(6), 5).collect()
+
+
+def test_a_table_can_be_replaced_by_what_is_read_from_it(spark):
+    tables.drop_table(spark, "loom_self")
+    tables.save_table(spark.range(10), "loom_self")
+    tables.replace_table(spark.table("loom_self").where("id > 6"), "loom_self", bucket_by="id", buckets=2)
+    assert spark.table("loom_self").count() == 3
+    tables.drop_table(spark, "loom_self")
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert session.checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
