@@ -11,13 +11,14 @@ Texts that agree on all registers of a band share a bucket.  Nothing lists the p
 1. Equal texts are collapsed.  Each text is compared with one other, the first of the buckets
    they share most often.  Verified pairs are links; links make components.
 2. Buckets that still hold several components are gone through in chunks, chunk against
-   chunk.  Pairs of different components whose signatures agree well enough are compared: first
-   a few for each two components, then more, then all that are left, with components
-   worked out anew each time.  It ends when no bucket has a pair of different
-   components that was not compared.
-
-So every pair that shares a bucket is in one component or has been compared.  Two texts of
-similarity 0.8 miss all 24 bands of 5 with a chance of 0.00007.  Comparing is exact: Jaccard
+   chunk, each pair in the first bucket it shares.  Pairs of different components whose
+   signatures agree well enough are compared: first a few for each two components, then all
+   that are left, with components worked out anew in between.  After that no bucket has a pair of
+   different components that agrees so well and was not compared.
+
+So every pair that shares a bucket is in one component, has been compared, or agrees on so few of
+480 registers that it is no link.  Two texts of similarity 0.8 miss all 24 bands of 5 with a chance
+of 0.00007, and agree on too few registers with one of 0.00002.  Comparing is exact: Jaccard
 similarity of the sets of five-word shingles (64-bit hashes) of the whole texts.
 
 Defined cases: a null text, or one without words, is in a class of its own; a text of fewer than
@@ -39,13 +40,14 @@ from reviewloom.llm.components import components
 from reviewloom.llm.shingles import jaccard, mix, shingles
 
 BANDS, ROWS = 24, 5
-REGISTERS = BANDS * ROWS
+# The first registers make the bands; all of them, four bits each, tell how similar two texts are.
+REGISTERS = 480
 SIMILARITY = 0.8
-# Registers that have to agree before two texts are compared: five standard deviations below 0.8.
-AGREE = 0.62
+# Estimate from which on two texts are compared: four standard deviations below 0.8.
+AGREE = 0.72
 CHUNK = 512
 # Comparisons for each two components of a chunk, round by round; last, all.
-TRIES = (4, 64, None)
+TRIES = (4, None)
 PORTION = 400_000
 
 
@@ -65,17 +67,22 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     last = np.full(len(sets), np.inf)
     at_work, number = np.arange(len(shingle)), 0
     while len(at_work):
-        draw = mix(shingle[at_work] + np.uint64(number * 0xD1342543DE82EF95 % (1 << 64)))
-        arrival[at_work] -= np.log1p(-(draw >> np.uint64(11)).astype(np.float64) * 2.0**-53) / weight[at_work]
-        now = arrival[at_work]
-        register = owner[at_work] * REGISTERS + (mix(draw) % np.uint64(REGISTERS)).astype(np.int64)
-        np.minimum.at(earliest, register, now)
+        # Several arrivals at a time once few shingles are left; those beyond the stop change nothing.
+        steps = min(64, max(1, 50_000 // len(at_work))) if number else 1
+        numbers = np.array([(number + k) * 0xD1342543DE82EF95 % (1 << 64) for k in range(steps)], np.uint64)
+        draw = mix(shingle[at_work][:, None] + numbers)
+        gaps = -np.log1p(-(draw >> np.uint64(11)).astype(np.float64) * 2.0**-53) / weight[at_work][:, None]
+        gaps[:, 0] += arrival[at_work]
+        now = np.add.accumulate(gaps, axis=1)
+        arrival[at_work] = now[:, -1]
+        register = (owner[at_work] * REGISTERS)[:, None] + (mix(draw) % np.uint64(REGISTERS)).astype(np.int64)
+        np.minimum.at(earliest, register.ravel(), now.ravel())
         first = now == earliest[register]
-        kept[register[first]] = shingle[at_work[first]]
+        kept[register[first]] = np.broadcast_to(shingle[at_work][:, None], first.shape)[first]
         busy = np.unique(owner[at_work]) if number else np.flatnonzero(sizes)
         last[busy] = earliest.reshape(-1, REGISTERS)[busy].max(axis=1)
-        at_work = at_work[now < last[owner[at_work]]]
-        number += 1
+        at_work = at_work[now[:, -1] < last[owner[at_work]]]
+        number += steps
     return kept.reshape(-1, REGISTERS)
 
 
@@ -83,10 +90,28 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     """A key for each band of each signature."""
     keys = np.repeat(mix(np.arange(BANDS))[None, :], len(signature), axis=0)
     for row in range(ROWS):
-        keys = mix(keys ^ signature[:, row::ROWS])
+        keys = mix(keys ^ signature[:, row : BANDS * ROWS : ROWS])
     return keys.view(np.int64)
 
 
+def packed(keys: np.ndarray, signature: np.ndarray) -> np.ndarray:
+    """Of each signature, 32 bits of each band's key and four bits of each register, as bytes."""
+    short = keys.astype(np.uint64).astype(np.uint32).view(np.uint8).reshape(len(keys), -1)
+    bits = (mix(signature) & np.uint64(15)).astype(np.uint8)
+    return np.hstack([short, bits[:, 0::2] << np.uint8(4) | bits[:, 1::2]])
+
+
+KEY_BYTES = 4 * BANDS
+# How many of two registers agree, by the exclusive or of their byte.
+_AGREEING = np.array([(byte & 15 == 0) + (byte >> 4 == 0) for byte in range(256)], np.uint8)
+
+
+def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Similarity of a text to others, from their packed registers; one in 16 agree by chance."""
+    agree = _AGREEING[one[KEY_BYTES:] ^ others[:, KEY_BYTES:]].sum(axis=1, dtype=np.int64) / REGISTERS
+    return (agree - 1 / 16) / (15 / 16)
+
+
 def text_keys(text: Column) -> list[Column]:
     """128 bits of hash that stand for a text."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -99,7 +124,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
         found = signatures(sets)
         used = np.array([len(s) > 0 for s, _ in sets], bool)
-        keys, short = band_keys(found), mix(found).astype(np.uint16).view(np.int16)
+        keys = band_keys(found)
+        short = packed(keys, found)
 
         def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
             ends = np.cumsum(np.concatenate([[0], used * values.shape[1]]))
@@ -107,7 +133,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         names = ["id", "h1", "h2"]
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(name) for name in names), lists(keys, pa.int64()), lists(short, pa.int16())], names=[*names, "bands", "signature"]
+            [*(batch.column(name) for name in names), lists(keys, pa.int64()), pa.array([line.tobytes() for line in short], pa.binary())], names=[*names, "bands", "signature"]
         )
 
     for batch in batches:
@@ -143,20 +169,25 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _unlinked(batches: Iterator[pa.RecordBatch], tries: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in runs of rows of one bucket and pair of chunks."""
+    """Pairs of different components in runs of rows of one bucket and pair of chunks.
+
+    A pair counts in the first bucket that its texts share.
+    """
     held = None
 
     def pairs(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
         rid, component, chunk = (np.asarray(rows.column(name)) for name in ("rid", "component", "chunk"))
-        first, second = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        found = np.asarray(rows.column("signature").combine_chunks().flatten()).reshape(-1, REGISTERS)
+        first, second, band = (rows.column(name)[0].as_py() for name in ("i", "j", "band"))
+        found = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        keys = np.ascontiguousarray(found[:, :KEY_BYTES]).view(np.uint32)
         left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
         a, b = [], []
         for i in left:
             others = right[(component[right] != component[i]) & ((rid[right] > rid[i]) | (first != second))]
-            agree = (found[others] == found[i]).sum(axis=1)
-            keep_ = agree >= AGREE * REGISTERS
-            a += [(int(-n), int(rid[i]), int(rid[o]), *sorted((int(component[i]), int(component[o])))) for n, o in zip(agree[keep_], others[keep_], strict=True)]
+            others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
+            agree = estimates(found[i], found[others])
+            near = agree >= AGREE
+            a += [(-float(n), int(rid[i]), int(rid[o]), *sorted((int(component[i]), int(component[o])))) for n, o in zip(agree[near], others[near], strict=True)]
         taken: dict[tuple, int] = {}
         for _, x, y, *both in sorted(a):
             key = tuple(both)
@@ -188,7 +219,7 @@ def _unlinked(batches: Iterator[pa.RecordBatch], tries: int | None) -> Iterator[
 def open_pairs(shared: DataFrame, reps: DataFrame, reached: DataFrame, tries: int | None) -> DataFrame:
     """Pairs of different components that share a bucket and agree well enough."""
     spark = shared.sparkSession
-    labelled = shared.select("key", "n", "rid").join(reached.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
+    labelled = shared.select("key", "band", "n", "rid").join(reached.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
         "component", F.coalesce("component", "rid")
     )
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -197,7 +228,7 @@ def open_pairs(shared: DataFrame, reps: DataFrame, reached: DataFrame, tries: in
         labelled.join(keep(several, "several"), "key").join(reps.select("rid", "signature"), "rid")
         .withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rid", "component", "signature")
+        .select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rid", "component", "signature")
         .repartition(tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
     )
     return rows.mapInArrow(lambda batches: _unlinked(batches, tries), "a long, b long").distinct()
@@ -208,7 +239,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`").cast("string")
     sketch = keep(
         docs.select(F.col(f"`{id_col}`").alias("id"), *text_keys(text), text.alias("text"))
-        .mapInArrow(_sketch, f"id {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, bands array<long>, signature array<smallint>"),
+        .mapInArrow(_sketch, f"id {docs.schema[id_col].dataType.simpleString()}, h1 long, h2 long, bands array<long>, signature binary"),
         "sketch",
     )
     reps = keep(
@@ -217,7 +248,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.monotonically_increasing_id().alias("rid"), "h1", "h2", "least", "s.bands", "s.signature"),
         "representatives",
     )
-    members = reps.select("rid", F.explode("bands").alias("key"))
+    members = reps.select("rid", F.posexplode("bands").alias("band", "key"))
     counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("leader")).where("n > 1")
     # Counts are kept before they are joined, here and below, so that hot keys are split.
     shared = keep(members.join(keep(counted, "counted"), "key"), "buckets")
@@ -235,7 +266,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reached = components(links)
     for tries in TRIES:
         found = keep(open_pairs(shared, reps, reached, tries), "pairs")
-        if found.isEmpty():
+        if found.isEmpty():  # with all tries there would be none, either
             break
         seen = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = keep(found.join(seen, ["a", "b"], "left_anti"), "pairs")

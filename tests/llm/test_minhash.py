@@ -96,6 +96,8 @@ def test_registers_agree_as_often_as_sets_do():
             a, b = np.unique(pool[: 200 + n // 2]), np.unique(pool[200 - n // 2 :])
             found = minhash.signatures([(a, np.ones(len(a))), (b, np.ones(len(b)))])
             agree.append((found[0] == found[1]).mean() - jaccard(a, b))
+            bits = minhash.packed(minhash.band_keys(found), found)
+            assert abs(minhash.estimates(bits[0], bits[1:])[0] - jaccard(a, b)) < 0.12
         assert abs(np.mean(agree)) < 0.03
 
 
