@@ -24,17 +24,6 @@ TOP_OPERATORS = 10
 
 SCORE = T.DecimalType(3, 1)
 
-REVIEW = T.StructType(
-    [
-        T.StructField("ReviewID", T.LongType()),
-        T.StructField("VenueID", T.LongType()),
-        T.StructField("ReviewText", T.StringType()),
-        T.StructField("ReviewRating", T.IntegerType()),
-        T.StructField("Review_DateID", T.IntegerType()),
-        T.StructField("ReviewSentimentID", T.IntegerType()),
-    ]
-)
-
 # Scorer replies arrive as JSON numbers and are narrowed only after they have been
 # checked to be whole.  Ids are read as decimals: a double would blur those above 2^53.
 REPLY_ID = T.DecimalType(38, 6)
