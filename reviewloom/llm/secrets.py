@@ -1,7 +1,9 @@
-"""Secret scan: a wide pattern finds candidates, a random forest removes false positives.
+"""Secret scan: wide patterns find candidates, a random forest removes false positives.
 
-Candidates are runs of 16 or more characters that keys and tokens are made of, with a digit
-among them.  The forest sees a candidate's length, its character transitions (how often the kind of
+Candidates are values of 6 or more characters, whatever they are, that are assigned after a secret
+word, and runs of 16 or more characters that keys and tokens are made of, with digits or not.  A value
+ends at a blank or at the quote that opened it.  A name and equals sign before a value are
+not part of it; a run's name that could be a key itself is a candidate of its own.  The forest sees a candidate's length, its character transitions (how often the kind of
 character changes, and how usual its pairs of characters are in the corpus, counted over all
 texts), how much of it dictionary words cover, its path, and the words beside it.  It is trained
 from findings that somebody has labelled.
@@ -32,6 +34,17 @@ from pyspark.sql import functions as F
 from reviewloom.llm.common import keep
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@-]{16,}")
+RUN, VALUE_LEAST = 16, 6
+# A sign of assignment and, behind it, a scheme of authorization; addresses of the web have no such sign.
+SIGN = re.compile(r"[:=]+>?(?!//)[ \t]*(?:(?:bearer|basic|token)[ \t]+)?", re.IGNORECASE)
+# A value in quotes, up to the same quote; else up to a blank or the next name and sign.
+VALUE = re.compile(
+    r"""(\\*)(["'`])(?P<quoted>(?:(?!\1\2)(?>\\\S|\S))*+)\1\2|\\*["'`]?(?P<plain>(?:(?![&;,]\\*["'`]?[\w.-]+\\*["'`]?[ \t]*[:=])\S)+)"""
+)
+NAME = re.compile(r"[^=]+=+(?=[^=])")
+WORD = re.compile(r"[A-Za-z][\w-]*")
+ADDRESS = re.compile(r"[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
+ASSIGNED = re.compile(r"[:=]>?\s*(?:(?:bearer|basic|token)\s+)?\\*[\"'`]?$", re.IGNORECASE)
 SAMPLE = 20_000
 TREES, DEPTH = 24, 7
 BESIDE = 48
@@ -43,7 +56,7 @@ SYMBOLS = 38
 
 FEATURES = (
     "length", "entropy", "digits", "upper", "hex", "changes", "usual_pairs", "least_usual_pair", "coverage", "digit_run", "letter_run",
-    "dots", "slashes", "at_sign", "path_parts", "path_example", "path_hash", "secret_word", "word_distance", "assigned", "quoted",
+    "dots", "slashes", "address", "path_parts", "path_example", "path_hash", "secret_word", "word_distance", "assigned", "quoted",
     "example_word", "repeated_characters",
 )
 
@@ -111,23 +124,74 @@ def _covered(candidate: str, words: frozenset[str]) -> float:
     return covered / len(text)
 
 
+def _near(before: str) -> list[str]:
+    """The last words and names before a place; a name is one word."""
+    return [word.lower() for word in WORD.findall(before)[-4:]]
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Where values are that are assigned after a secret word."""
+    low = text.lower()
+    if not any(word in low for word in SECRET_WORDS):
+        return
+    end = 0
+    for sign in SIGN.finditer(text):
+        if sign.start() < end or not any(name in word for word in _near(text[max(0, sign.start() - BESIDE) : sign.start()]) for name in SECRET_WORDS):
+            continue
+        value = VALUE.match(text, sign.end())
+        if not value:
+            continue
+        lo, hi = value.span("plain" if value["quoted"] is None else "quoted")
+        if value["quoted"] is None:
+            while hi > lo and (text[hi - 1] in "\"'`\\,;." or text[hi - 1] in ")]}" and "([{"[")]}".index(text[hi - 1])] not in text[lo:hi]):
+                hi -= 1
+        if hi - lo >= VALUE_LEAST:
+            end = hi
+            yield lo, hi
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the candidates of a text are, in order; they never overlap."""
+    out = list(_assigned(text))
+    found, at = list(out), 0
+    for run in CANDIDATE.finditer(text):
+        lo, last = run.span()
+        while at < len(found) and found[at][1] <= lo:
+            at += 1
+        pieces, k = [], at
+        while k < len(found) and found[k][0] < last:
+            pieces.append((lo, found[k][0]))
+            lo, k = max(lo, found[k][1]), k + 1
+        for lo, hi in [*pieces, (lo, last)]:
+            name = NAME.match(text, lo, hi)
+            if hi - lo >= RUN and name and hi - name.end() >= VALUE_LEAST:
+                # Base64 may end in equals signs, so they stay with what was in front of them.
+                if name.end() - lo >= RUN and any(char.isdigit() for char in name.group()):
+                    out.append((lo, name.end()))
+                lo = name.end()
+                out.append((lo, hi))
+            elif hi - lo >= RUN and any(char.isalnum() for char in text[lo:hi]) and (hi == last or text[hi - 1] != "=" or any(char.isdigit() for char in text[lo:hi])):
+                out.append((lo, hi))
+    return sorted(out)
+
+
 def features(candidate: str, before: str, after: str, path: str, pairs: np.ndarray, table: np.ndarray, words: frozenset[str]) -> list[float]:
     size, counts = len(candidate), Counter(candidate)
     entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
     kinds = [_kind(char) for char in candidate]
     at = table[np.frombuffer(candidate.encode(), np.uint8)]
     logs = pairs[at[:-1], at[1:]]
-    low, near = path.lower(), re.findall(r"[A-Za-z]+", before.lower())[-4:]
+    low, near = path.lower(), _near(before)
     found = [i for i, word in enumerate(reversed(near)) if any(name in word for name in SECRET_WORDS)]
     runs = [max((len(run) for run in re.findall(pattern, candidate)), default=0) for pattern in (r"\d+", r"[A-Za-z]+")]
     return [
         size, entropy, kinds.count(0) / size, kinds.count(2) / size, sum(char in "0123456789abcdefABCDEF" for char in candidate) / size,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / (size - 1), float(logs.mean()), float(logs.min()),
-        _covered(candidate, words), *runs, candidate.count("."), candidate.count("/"), float("@" in candidate),
+        _covered(candidate, words), *runs, candidate.count("."), candidate.count("/"), float(bool(ADDRESS.fullmatch(candidate))),
         len([part for part in re.split(r"[/\\]", path) if part]), float(any(word in low for word in PATH_WORDS)), float(sum(path.encode()) % 16),
-        float(bool(found)), found[0] if found else 9, float(bool(re.search(r"[:=]\s*[\"'`]?$", before))),
+        float(bool(found)), found[0] if found else 9, float(bool(ASSIGNED.search(before))),
         float(before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(before) and bool(after)),
-        float(any(word in part for word in EXAMPLE_WORDS for part in (*map(str.lower, near), candidate.lower()))), 1 - len(counts) / size,
+        float(any(word in part for word in EXAMPLE_WORDS for part in (*near, candidate.lower()))), 1 - len(counts) / size,
     ]
 
 
@@ -143,11 +207,8 @@ def find_candidates(docs: DataFrame, rank_path: str, id_col: str = "doc_id", tex
             lines, rows = [], []
             for i, (value, path) in enumerate(zip(batch.column("text"), batch.column("path").to_pylist(), strict=True)):
                 text = value.as_py() or ""
-                for match in CANDIDATE.finditer(text):
-                    candidate = match.group()
-                    if candidate.isalpha() or not any(char.isdigit() for char in candidate):
-                        continue
-                    lo, hi = match.span()
+                for lo, hi in spans(text):
+                    candidate = text[lo:hi]
                     before, after = text[max(0, lo - BESIDE) : lo], text[hi : hi + BESIDE]
                     rows.append(i)
                     lines.append((lo, hi, candidate, before, after, path or "", features(candidate, before, after, path or "", pairs, table, words)))
@@ -197,11 +258,13 @@ def judge(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labels where nobody has labelled: a secret is an assigned, random value after a secret word.
 
-    Random means that few of its pairs of characters are usual; numbers, addresses and words
+    Random means that its characters differ, as far as its length lets them; addresses and words
     are false positives, as is what stands beside words of examples.
     """
     at: dict[str, Column] = {name: F.col("features")[i] for i, name in enumerate(FEATURES)}
-    secret = (at["secret_word"] > 0) & (at["assigned"] > 0) & (at["entropy"] >= 3) & (at["at_sign"] == 0) & (at["example_word"] == 0)
+    secret = (at["secret_word"] > 0) & (at["assigned"] > 0) & (at["address"] == 0) & (at["example_word"] == 0)
+    secret &= at["entropy"] >= F.least(F.lit(3.0), 0.75 * F.log2(at["length"]))
+    secret &= (at["coverage"] < 0.8) | (at["digits"] > 0)
     return found.select("id", "lo", F.when(secret, 1).otherwise(0).alias("label"))
 
 

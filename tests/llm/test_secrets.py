@@ -56,3 +56,37 @@ def test_redact(spark, documents):
     found = secrets.find_candidates(df, RANKS).selectExpr("*", "true AS is_secret")
     out = {row.doc_id: row.text for row in secrets.redact(df, found).collect()}
     assert out == {1: 'a token = "[SECRET]" b [SECRET]', 2: None, 3: "plain"}
+
+
+def test_assigned_values_are_candidates_without_their_names(spark, documents):
+    key = hashlib.sha1(b"k").hexdigest()
+    truth = {
+        f"API_KEY={key} end": key, "password=S3cretValue42xyz": "S3cretValue42xyz", 'password: "hunter2!Az"': "hunter2!Az",
+        'secret = "QzXvLpWmKtRbNyHsJdGf"': "QzXvLpWmKtRbNyHsJdGf", "pwd=x7$Kq2, next": "x7$Kq2", "Authorization: Bearer aB3$dE6%gH9~": "aB3$dE6%gH9~",
+        '{"db_password":"P@ss:w0rd#%","user":"bob"}': "P@ss:w0rd#%", "--auth-token='a\\'b!cD4e'": "a\\'b!cD4e", '\\"passwd\\": \\"Zk9!mQ2\\"': "Zk9!mQ2",
+        "MY_SECRET_STRIPE_LIVE_PROD_EU=Vb8#tR5wQx": "Vb8#tR5wQx", "see QzXvLpWmKtRbNyHsJdGf": "QzXvLpWmKtRbNyHsJdGf", "a token=Ab1$xy&user=bob": "Ab1$xy",
+    }
+    found = secrets.find_candidates(documents(list(enumerate(truth))), RANKS)
+    got = {row.id: (row.candidate, row.lo) for row in found.collect()}
+    assert got == {i: (value, text.index(value)) for i, (text, value) in enumerate(truth.items())} and found.count() == len(truth)
+    labels = {row.id: row.label for row in secrets.rule_labels(found).collect()}
+    assert labels == {i: int(not text.startswith("see")) for i, text in enumerate(truth)}
+
+
+def test_candidates_cut_from_runs():
+    cut = lambda text: [text[lo:hi] for lo, hi in secrets.spans(text)]
+    assert cut("user=john1234567") == ["john1234567"]
+    assert cut("dXNlcjpwYXNzd29yZDEyMw==") == ["dXNlcjpwYXNzd29yZDEyMw=="]
+    assert cut("dXNlcjpwYXNzd29yZDEyMw==@db.host.com") == ["dXNlcjpwYXNzd29yZDEyMw==", "@db.host.com"]
+    assert cut("=" * 40) == [] and cut("plain words: here https://a.b/c") == []
+    assert cut("x1y2z3x1y2z3x1y2z3/token=abcdef") == ["x1y2z3x1y2z3x1y2z3/token=", "abcdef"]
+    for text in ("key" * 50_000, "key=" * 50_000, "key:\\" * 50_000, 'key="' * 50_000, "key:" + "\\" * 200_000, "key:" + ",a" * 100_000, "key " * 50_000):
+        found = secrets.spans(text)
+        assert all(a < b <= c for (a, b), (c, _) in zip(found, found[1:]))  # noqa: B905
+
+
+def test_rule_leaves_words_and_the_forest_keeps_short_secrets(spark, documents):
+    rng = random.Random(8)
+    signs = "abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789!#$%~"
+    data = [(i, f'password: "{"".join(rng.choice(signs) for _ in range(10))}"' if i % 2 else f"the key: {rng.choice(['understanding', 'important', 'something', 'education'])} of it") for i in range(200)]
+    assert {(row.id % 2, row.is_secret) for row in judged(documents(data)).collect()} == {(0, False), (1, True)}
