@@ -72,3 +72,13 @@ def test_passages_go_and_clean_texts_stay(documents):
 
 def test_no_rows(documents):
     assert C.chunk_dedup(documents([])).collect() == []
+
+
+def test_recall_of_passages_of_51_to_60_words(documents):
+    """Every passage that repeats in another context is found, and most of it goes."""
+    passages = [prose(5000 + k, 51 + k % 10) for k in range(400)]
+    rows = [(i, f"{prose(10_000 + i, 30)} {passages[i % 400]} {prose(20_000 + i, 30)}") for i in range(800)]
+    removed = {row.doc_id: row.n_removed for row in C.chunk_dedup(documents(rows)).collect()}
+    assert all(removed[i] == 0 for i in range(400))
+    shares = [removed[400 + k] / len(passages[k]) for k in range(400)]
+    assert min(shares) > 0 and sum(shares) / len(shares) > 0.7
