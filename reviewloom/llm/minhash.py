@@ -1,10 +1,10 @@
 """Near-dedup with ProbMinHash signatures, banding and verification.
 
-Every shingle of a text starts a Poisson process whose rate is its weight (one plus the
-binary logarithm of how often it occurs); each arrival falls on a random register, and a
-register keeps the shingle that arrives first.  A shingle stops as soon as its next arrival is
-later than every register's.  Registers of two texts agree with the chance that is their probability
-Jaccard similarity.
+Every shingle of a text starts a Poisson process whose rate is its weight; each arrival falls on a
+random register, and a register keeps the shingle that arrives first.  A shingle stops as soon as its
+next arrival is later than every register's.  Registers of two texts agree with the chance that is their
+probability Jaccard similarity.  All shingles weigh 1, however often they occur, so that this is the
+Jaccard similarity of their sets, by which links are decided.
 
 Texts that agree on all registers of a band share a bucket.  Nothing lists the pairs of a bucket:
 
@@ -54,13 +54,13 @@ PORTION = 400_000
 # ---- signatures ------------------------------------------------------------------
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The shingle that each register keeps, a line for each set of (shingles, numbers)."""
+    """The shingle that each register keeps, a line for each set of (shingles, weights)."""
     sizes = np.array([len(found) for found, _ in sets])
     kept = np.zeros(len(sets) * REGISTERS, np.uint64)
     if not sizes.sum():
         return kept.reshape(-1, REGISTERS)
     shingle = np.concatenate([found for found, _ in sets])
-    weight = 1.0 + np.log2(np.concatenate([numbers for _, numbers in sets]))
+    weight = np.concatenate([weights for _, weights in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     arrival = np.zeros(len(shingle))
     earliest = np.full(len(kept), np.inf)
@@ -139,8 +139,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets, size, start = [], 0, 0
         for value in batch.column("text"):
-            sets.append(np.unique(shingles(value.as_py()), return_counts=True))
-            size += len(sets[-1][0])
+            found = np.unique(shingles(value.as_py()))
+            sets.append((found, np.ones(len(found))))
+            size += len(found)
             if size > PORTION:
                 yield flush(batch.slice(start, len(sets)), sets)
                 start, sets, size = start + len(sets), [], 0

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewloom.llm import minhash
@@ -120,3 +121,26 @@ def test_components(spark, edges):
                 parent[a] = parent[b] = min(parent[a], parent[b])
     found = components(spark.createDataFrame(edges, "a long, b long"))
     assert {row.id: row.component for row in found.collect()} == parent
+
+
+def test_passages_that_repeat_inside_one_text_only(documents):
+    """Texts with nearly the same set of shingles are linked, however often some of them occur."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = []
+    for k, times in enumerate([1, 16] * 12 + [64, 256] * 8):
+        start, passage = words(140), words(60)
+        rows += [(10 * k, f"{start} {passage}"), (10 * k + 1, f"{start}{f' {passage}' * times}"), (10 * k + 2, f"{start} {passage} {words(4)}")]
+    found = classes(documents(rows))
+    assert found == brute(rows) and all(class_id == f"{int(id_) // 10 * 10}" for id_, class_id in found)
+
+
+def test_registers_do_not_weigh_repeats():
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    start, passage = words(140), words(60)
+    texts = [f"{start} {passage}", f"{start}{f' {passage}' * 16}"]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "h1": [1, 2], "h2": [1, 2], "text": texts})
+    short = np.array([list(line) for line in next(minhash._sketch(iter([batch]))).column("signature").to_pylist()], np.uint8)
+    want = jaccard(*(np.unique(shingles(text)) for text in texts))
+    assert want > 0.95 and abs(minhash.estimates(short[0], short[1:])[0] - want) < 0.05
