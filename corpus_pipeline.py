@@ -14,17 +14,17 @@ from reviewloom.llm import exact_dedup, langid, minhash, mixing
 from reviewloom.llm.common import keep, whole_row
 from reviewloom.llm.queries import bpe_digests
 
-# A document goes if its text has no language, or none that is more likely than not.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; all with letters, where no row is labelled."""
+    """Documents whose text has a language, however sure it is: short and mixed texts stay.
+
+    All with letters, where no row is labelled.
+    """
     model = langid.train(docs)
     found = docs.select(whole_row(docs), langid.identify(model, spark, F.col("text")).alias("found"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return found.where((F.col("found.lang_pred") != langid.UNDETERMINED) & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
+    return found.where(F.col("found.lang_pred") != langid.UNDETERMINED).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

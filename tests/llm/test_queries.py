@@ -1,6 +1,7 @@
 """The registered queries over the small tables, and the pipeline against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -61,3 +62,17 @@ def test_pipeline_of_no_documents(spark, documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.collect() == []
+
+
+def test_language_keeps_short_and_mixed_texts(spark, documents):
+    """What has letters stays, even where no language is more likely than not."""
+    rng = random.Random(5)
+    letters = {"en": "abcd", "de": "efgh", "fr": "ijkl", "it": "mnop", "es": "qrst"}
+    words = {lang: ["".join(rng.choice(own) for _ in range(5)) for _ in range(30)] for lang, own in letters.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(2, 30)), lang, "s") for i, lang in enumerate(list(words) * 40)]
+    rows += [(1000 + i, " ".join(text(lang, 1 + i % 3) for lang in rng.sample(list(words), 5)), None, "s") for i in range(40)]
+    rows += [(2000 + i, short, None, "s") for i, short in enumerate(["a", "zz", "vwx yz", "Ж", "ok 1"])]
+    gone = [(3000, None, "en", "s"), (3001, "", "de", "s"), (3002, "12 34 ...", None, "s")]
+    found = dict(corpus_pipeline.STAGES)["language"](spark, documents(rows + gone), "")
+    assert sorted(row.doc_id for row in found.collect()) == [row[0] for row in rows]
