@@ -10,15 +10,17 @@ and as narrow as there are different sizes.
 
 Rates become copies in two steps.  Cell by cell, from long documents to short ones, the copies
 of a cell are rounded and what is left over is carried on, so a source ends within half of its
-shortest document of its target.  Within a cell, documents take one more copy by the order of
-a hash of 256 bins, so a cell with a third of all rows is never sorted or gathered.
+shortest document of its target, unless its last cells stop at the cap or at no copy.  Within a
+cell, the documents of the lowest hashes take one more copy, exactly as many as the cell is to give: counts
+of a hash's leading bits tell where to stop, a few bits at a time, so a cell with a third of
+all rows is never sorted or gathered.  Rows of one hash are written and told apart by row number.
 
 Bounds: the driver holds one line a source.  The cells of one source are as many as it has
 different sizes, at most the square root of twice its words.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last one;
-documents without words keep one copy and take no words; equal rows may be told apart only
-by chance, so they take copies alike; an empty table gives an empty result; other columns,
+documents without words keep one copy and take no words; of equal rows, some may take one copy
+more than others; an empty table gives an empty result; other columns,
 whatever their names, are carried in ``row``.
 """
 
@@ -37,7 +39,8 @@ from reviewloom.llm.common import forget, keep, small, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
-BINS = 256
+# Bits of a key of 63 that each step of a selection counts by.
+STEPS = (8, 16, 16, 23)
 ROUNDS = 200
 
 
@@ -151,6 +154,40 @@ def round_cells(cells: DataFrame, cap: float) -> DataFrame:
     return cells.groupBy("source").applyInPandas(carry, schema)
 
 
+def lowest(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``source, size, edge, rest``: a cell's ``need`` rows of lowest key are those below ``edge`` and
+    ``rest`` of those at it.
+
+    ``rows`` are kept and narrow (source, size, key); a cell has more rows than it needs.
+    """
+    shift, closed = sum(STEPS), []
+    at_work = wanted.select(F.col("source").alias("of"), F.col("size").alias("at"), "need", F.lit(0).cast("long").alias("prefix"))
+    for width in STEPS:
+        at_work = keep(at_work, "selecting")
+        if at_work.isEmpty():
+            break
+        inside = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("at")) & (F.shiftright("key", shift) == F.col("prefix"))
+        if shift == sum(STEPS):
+            inside = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("at"))
+        shift -= width
+        counted = rows.join(small(at_work), inside).groupBy("of", "at", F.shiftright("key", shift).alias("prefix")).agg(
+            F.max("need").alias("need"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")
+        )
+        upto = F.sum("n").over(Window.partitionBy("of", "at").orderBy("prefix"))
+        edge = keep(
+            counted.withColumn("below", upto - F.col("n")).where("below <= need AND need < below + n")
+            .select("of", "at", (F.col("need") - F.col("below")).alias("need"), "prefix", "low", "high"),
+            "edges",
+        )
+        done = (F.col("need") == 0) | (F.col("low") == F.col("high"))
+        closed.append(edge.where(done).select(F.col("of").alias("source"), F.col("at").alias("size"), F.col("low").alias("edge"), F.col("need").alias("rest")))
+        at_work = edge.where(~done).select("of", "at", "need", "prefix")
+    out = closed[0] if closed else wanted.select("source", "size", F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("rest")).limit(0)
+    for part in closed[1:]:
+        out = out.unionByName(part)
+    return keep(out, "lowest")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -165,10 +202,10 @@ def mix(
         whole_row(docs),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         size_of(F.col(f"`{text_col}`")).alias("size"),
-        F.pmod(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.lit(BINS)).cast("int").alias("bin"),
+        F.shiftrightunsigned(F.xxhash64(f"`{id_col}`", f"`{text_col}`"), 1).alias("key"),
     )
-    bins = keep(rows.groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
-    cells = keep(bins.groupBy("source", "size").agg(F.sum("n").alias("n")), "cells")
+    keys = keep(rows.select("source", "size", "key"), "keys")
+    cells = keep(keys.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     with_words = F.when(F.col("size") > 0, F.col("size"))
     totals = {
         line["source"]: line
@@ -187,29 +224,36 @@ def mix(
     rated = cells.where("size > 0").join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("of")))
     copies = keep(round_cells(rated.select("source", "size", "n", rate.alias("rate")), cap), "copies")
 
-    # In a cell, the lowest bins take one copy more: the bin whose running count is nearest.
-    cell = [F.col("b.source").eqNullSafe(F.col("c.source")), F.col("b.size") == F.col("c.size")]
-    upto = F.sum("b.n").over(Window.partitionBy("b.source", "b.size").orderBy("bin"))  # 256 lines at most
+    whole = F.expr("copies div n")
+    wanted = keep(copies.select("source", "size", whole.alias("whole"), (F.col("copies") - whole * F.col("n")).alias("need")), "wanted")
+    cell = [F.col("w.source").eqNullSafe(F.col("l.source")), F.col("w.size") == F.col("l.size")]
     decided = keep(
-        bins.alias("b").join(small(copies).alias("c"), cell)
-        .select("b.source", "b.size", "bin", "c.n", "copies", F.expr("copies div c.n").alias("whole"), upto.alias("upto"), F.col("b.n").alias("own"))
-        .withColumn("extra", F.col("copies") - F.col("whole") * F.col("n"))
-        .withColumn("over", (F.col("upto") - F.col("own") / 2 <= F.col("extra")) & (F.col("extra") > 0))
-        .groupBy(F.col("source").alias("cell_source"), F.col("size").alias("cell_size"))
-        .agg(F.max("whole").alias("whole"), F.coalesce(F.max(F.when(F.col("over"), F.col("bin"))), F.lit(-1)).alias("last_bin")),
+        wanted.alias("w").join(lowest(keys, wanted.drop("whole")).alias("l"), cell)
+        .select(F.col("w.source").alias("cell_source"), F.col("w.size").alias("cell_size"), "whole", "edge", "rest"),
         "decided",
     )
-    for done in (bins, cells, copies):
+    for done in (keys, cells, copies, wanted):
         forget(done)
-    taken_copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(
-        F.col("whole") + F.when(F.col("bin") <= F.col("last_bin"), 1).otherwise(0)
-    )
-    return (
+    joined = (
         rows.join(small(decided), F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size")), "left")
         .join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("of")), "left")
-        .select("row", "size", "source_size", "target", taken_copies.cast("int").alias("copies"))
     )
 
+    def taken(listed: DataFrame, more: Column) -> DataFrame:
+        number = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + F.when(more, 1).otherwise(0))
+        return listed.select("row", "size", "source_size", "target", number.cast("int").alias("copies"))
+
+    open_cells = decided.where("rest > 0").select(F.col("cell_source").alias("source"), F.col("cell_size").alias("size"), F.col("rest").alias("need"))
+    if open_cells.isEmpty():
+        return taken(joined, F.col("key") < F.col("edge"))
+    # Rows of one hash, some of which take one copy more: numbered as they are written.
+    tie = F.coalesce((F.col("key") == F.col("edge")) & (F.col("rest") > 0), F.lit(False))
+    tied = keep(joined.where(tie).select("row", "source", "size", "source_size", "target", "whole", F.monotonically_increasing_id().alias("number")), "tied")
+    tied = tied.withColumn("key", F.shiftrightunsigned(F.xxhash64("number"), 1))
+    edges = lowest(tied.select("source", "size", "key"), open_cells).select(F.col("source").alias("edge_source"), F.col("size").alias("edge_size"), "edge")
+    edged = tied.join(small(edges), F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("size") == F.col("edge_size")))
+    return taken(joined.where(~tie), F.col("key") < F.col("edge")).unionByName(taken(edged, F.col("key") < F.col("edge")))
+
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it has copies, with the input's columns."""

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom.llm import mixing
 
@@ -77,3 +78,28 @@ def test_no_rows(documents):
     assert mixing.mix(documents([])).collect() == []
     only = mixing.mix(documents([(1, None), (2, "")])).selectExpr("row.doc_id", "copies", "target").collect()
     assert sorted(map(tuple, only)) == [(1, 1, 0.0), (2, 1, 0.0)]
+
+
+def test_repeated_rows_meet_the_target(documents, spark):
+    """Rows that repeat id and text take one copy more or less each, exactly as many as wanted."""
+    data = [(7, "a b c d", "en", "s1")] * 1000 + [(i, "x y z", "en", "s2") for i in range(400)] + [(None, "u v w", "en", None)] * 300
+    found = mixing.mix(documents(data)).selectExpr("row.source", "size", "size * copies AS taken", "target").groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.max("target").alias("target"), F.min("size").alias("size"), F.count("*").alias("n")
+    ).collect()
+    assert sorted((row.n for row in found)) == [300, 400, 1000]
+    for row in found:
+        assert abs(row.taken - row.target) <= row.size / 2, row
+
+
+def test_lowest(spark):
+    rng = random.Random(3)
+    keys = {("a", 3): [rng.randrange(1 << 63) for _ in range(900)], (None, 5): [77] * 40 + [rng.randrange(1 << 30) for _ in range(60)], ("b", 1): [1 << 62] * 9}
+    rows = spark.createDataFrame([(*cell, key) for cell, listed in keys.items() for key in listed], "source string, size long, key long")
+    for share in (0.0, 0.1, 0.5, 0.98):
+        needs = {cell: int(share * len(listed)) for cell, listed in keys.items()}
+        found = mixing.lowest(rows, spark.createDataFrame([(*cell, n) for cell, n in needs.items()], "source string, size long, need long")).collect()
+        assert {(row.source, row.size) for row in found} == set(keys)
+        for row in found:
+            listed = keys[row.source, row.size]
+            assert sum(key < row.edge for key in listed) + row.rest == needs[row.source, row.size]
+            assert 0 <= row.rest < max(listed.count(row.edge), 1)
