@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import bpe, chunk_dedup, embedding_join, exact_dedup, langid, minhash, mixing, repeats, secrets, warc
+from reviewloom.llm import (
+    bpe, chunk_dedup, embedding_join, exact_dedup, langid, minhash, mixing, prefix_trie, repeats, secrets, spelling, topk, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,3 +138,85 @@ def op7_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         F.col("id").alias("doc_id"), "lo", "hi", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret"
     )
+
+
+# crc32, a byte at a time: the register after each of the 256 bytes, then a fold over the bytes of a text.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) t(i)))"""
+
+
+def _crc32(text: str, steps: str = "(SELECT steps FROM crc)") -> str:
+    """SQL for the unsigned crc32 of a text's bytes; needs ``_CRC_TABLE``."""
+    byte = f"(instr('0123456789ABCDEF', substr(hex({text}), 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex({text}), 2 * i + 2, 1)) - 1"
+    bytes_ = f"list_transform(range(strlen({text})), lambda i: CAST({byte} AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, {steps}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(r, '{spelling.CAPITALS}', '{spelling.SMALL}') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents) GROUP BY ALL),
+    hashed AS (SELECT run, n, {_crc32("(id || ':' || run)", "steps")} AS h FROM runs, crc),
+    spelled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cuts AS (SELECT DISTINCT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    near AS (
+        SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+        UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.head || c.tail
+        UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.head || c.tail),
+    best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+    forms AS (
+        SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 2 * w.n THEN b.top END AS form_n,
+               CASE WHEN b.top >= 2 * w.n THEN (SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.other_n = b.top) END AS form
+        FROM words w LEFT JOIN best b ON b.word = w.word),
+    walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN walk k ON k.word = f.word JOIN forms e ON e.word = k.at AND e.form IS NULL
+""")
+def op11_trie_node_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("""
+    WITH v AS (
+        SELECT row_number() OVER () AS rk, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.rk, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0)::BIGINT AS score
+        FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.rk <> c.rk),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op12_term_at_a_time(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search_vectors(table(spark, folder, "embeddings"), 20, 20)
+
+
+@query(f"""
+    WITH {_CRC_TABLE},
+    turns AS (
+        SELECT conv_id AS c, turn, sha256(strlen(r)::VARCHAR || ':' || r || x) AS key, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM turns),
+    ids AS (SELECT c, {_crc32("(c::VARCHAR)", "steps")} % 4 AS h FROM (SELECT DISTINCT c FROM turns), crc),
+    built AS (
+        SELECT i.c, 0 AS part, p.pos, p.key, p.words FROM ids i JOIN placed p ON p.c = i.c - i.c % 20 AND p.pos < i.h
+        UNION ALL SELECT i.c, 1, p.pos, p.key, p.words FROM ids i JOIN placed p ON p.c = i.c AND p.pos >= i.h),
+    seqs AS (SELECT i.c, coalesce(list(b.key ORDER BY b.part, b.pos) FILTER (b.key IS NOT NULL), []) AS seq FROM ids i LEFT JOIN built b ON b.c = i.c GROUP BY i.c),
+    steps AS (SELECT c, seq, unnest(range(len(seq) + 1)) AS depth FROM seqs),
+    nodes AS (SELECT seq[1:depth] AS path, depth, min(c) AS conv_id, count(*) AS n_convs FROM steps GROUP BY ALL),
+    children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+    lengths AS (SELECT DISTINCT key, words FROM turns),
+    own AS (
+        SELECT n.*, coalesce(k.n, 0) AS n_children, coalesce((n.n_convs - 1) * l.words, 0) AS saved
+        FROM nodes n LEFT JOIN children k ON k.path = n.path LEFT JOIN lengths l ON l.key = n.path[n.depth]),
+    subtree AS (
+        SELECT path[1:d] AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+        FROM (SELECT path, n_children, saved, unnest(range(depth + 1)) AS d FROM own) GROUP BY ALL),
+    ends AS (SELECT seq AS path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS hash FROM seqs GROUP BY ALL)
+    SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens, coalesce(e.hash, sha256('')) AS ends_sha256
+    FROM own o JOIN subtree s ON s.path = o.path LEFT JOIN ends e ON e.path = o.path
+    LEFT JOIN nodes p ON o.depth > 0 AND p.path = o.path[1:o.depth - 1]
+""")
+def op13_ternary_search_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
