@@ -23,16 +23,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Character of a byte: any 256 code points that sentencepiece leaves alone.
 FIRST = 0x100
 MAPPED = "".join(chr(FIRST + byte) for byte in range(256))
 
-# Chunks of text whose ids a Python worker remembers; beyond that it starts anew.
-CACHE = 400_000
-PORTION = 2 << 20
+# Bytes of chunks and their ids that a Python worker remembers; beyond that it starts anew.
+CACHE = 48 << 20
+# What a chunk takes besides its characters and ids: two objects and their place in the dictionary.
+CHUNK_COST = 200
+# Bytes of text that are encoded, decoded and passed on at a time, unless one text alone has more.
+PORTION = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -107,6 +111,7 @@ class Encoder:
         self._bpe = sentencepiece.SentencePieceProcessor(model_proto=model)
         self._split = regex.compile(pattern).findall
         self._known: dict[str, bytes] = {}  # 32-bit ids of a chunk, by the chunk without its space
+        self._held = 0
 
     def _words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
         """Packed ids of pre-tokens, each encoded for itself, and where each one's start."""
@@ -119,10 +124,11 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         words = self._split(" " + " ".join(chunks))
         packed, places = self._words(words)
-        begins = np.cumsum([0, *map(len, words)])
+        begins = np.cumsum([0, *map(len, words)])  # characters; most chunks have one byte for each
         first = np.searchsorted(begins, np.cumsum([0, *(len(chunk) + 1 for chunk in chunks)]))
         cuts = places[first].tolist()
         self._known.update((chunk, packed[i:j]) for chunk, i, j in zip(chunks, cuts, cuts[1:], strict=False))
+        self._held += len(packed) + begins[-1] + len(chunks) * CHUNK_COST
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         starts, rests, new = [], [], set()
@@ -135,8 +141,9 @@ class Encoder:
             new |= unseen
             starts.append(self._split(first))
             rests.append(rest)
-        if len(self._known) + len(new) > CACHE:
+        if self._held > CACHE:
             self._known.clear()
+            self._held = 0
             new = set(chain.from_iterable(rests))
         if new:
             self._learn(list(new))
@@ -161,16 +168,49 @@ class Encoder:
         return first, rest
 
 
-def _portions(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in turn, a few million characters at a time."""
-    portion, size = [], 0
-    for value in texts:
-        portion.append(value.as_py() or "")
-        size += len(portion[-1])
-        if size > PORTION:
-            yield portion
-            portion, size = [], 0
-    yield portion
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in turn, as slices of a few megabytes."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + PORTION, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def _texts(portion: pa.Array) -> list[str]:
+    return [text or "" for text in portion.to_pylist()]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
+
+
+class Decoder:
+    """Bytes of ids, by the inverse mapping of the model's pieces."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        bpe = sentencepiece.SentencePieceProcessor(model_proto=model)
+        # The last piece stands for unknown input and has no bytes.
+        pieces = [to_bytes(bpe.id_to_piece(i)) for i in range(bpe.get_piece_size() - 1)]
+        self._lengths = np.array([len(piece) for piece in pieces])
+        self._starts = np.cumsum(self._lengths) - self._lengths
+        self._data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """Bytes of the ids, a portion of them at a time."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self._lengths)):
+            raise ValueError("an id has no piece")
+        return b"".join(self._portion(ids[a : a + PORTION // 4]) for a in range(0, len(ids), PORTION // 4))
+
+    def _portion(self, ids: np.ndarray) -> bytes:
+        size = self._lengths[ids]
+        first = np.cumsum(size) - size
+        return self._data[np.repeat(self._starts[ids] - first, size) + np.arange(size.sum())].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -179,8 +219,13 @@ def _encoder(model: bytes, pattern: str) -> Encoder:
     return Encoder(model, pattern)
 
 
+@lru_cache(maxsize=2)
+def _decoder(model: bytes) -> Decoder:
+    return Decoder(model)
+
+
 class Codec:
-    """The model as a session's broadcast, and the two column functions."""
+    """The model as a session's broadcast, and what encodes and decodes with it."""
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str):
         # Bounded by the vocabulary: about 1 MB for 50,000 tokens.
@@ -195,10 +240,7 @@ class Codec:
         def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(model.value, pattern)
             for batch in texts:
-                lists = [ids for portion in _portions(batch) for ids in encoder(portion)]
-                ends = np.cumsum([0, *map(len, lists)])
-                values = np.concatenate([np.empty(0, np.int32), *lists])
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+                yield _lists([ids for portion in _portions(batch) for ids in encoder(_texts(portion))])
 
         return encode(text)
 
@@ -208,24 +250,25 @@ class Codec:
 
         @F.arrow_udf("binary")
         def decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import sentencepiece
-
-            bpe = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-            # The last piece stands for unknown input and has no bytes.
-            pieces = [to_bytes(bpe.id_to_piece(i)) for i in range(bpe.get_piece_size() - 1)]
-            lengths = np.array([len(piece) for piece in pieces])
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            data = np.frombuffer(b"".join(pieces), np.uint8)
+            decoder = _decoder(model.value)
             for batch in lists:
-                out = []
-                for value in batch:
-                    numbers = np.asarray(value.values if value.is_valid else [], dtype=np.int64)
-                    if len(numbers) and not (0 <= numbers.min() and numbers.max() < len(pieces)):
-                        raise ValueError("an id has no piece")
-                    size = lengths[numbers]
-                    first = np.cumsum(size) - size
-                    places = np.repeat(starts[numbers] - first, size) + np.arange(size.sum())
-                    out.append(data[places].tobytes())
-                yield pa.array(out, pa.binary())
+                yield pa.array([decoder(np.asarray(value.values if value.is_valid else [], dtype=np.int64)) for value in batch], pa.binary())
 
         return decode(ids)
+
+    def round_trip(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """``id, ids, decoded`` of every row: both ways in one Python worker, a portion of a batch at a time."""
+        model, pattern = self._model, self._pattern
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder, decoder = _encoder(model.value, pattern), _decoder(model.value)
+            for batch in batches:
+                at = 0
+                for portion in _portions(batch.column("text")):
+                    ids = encoder(_texts(portion))
+                    own = batch.column("id").slice(at, len(portion))
+                    at += len(portion)
+                    yield pa.RecordBatch.from_arrays([own, _lists(ids), pa.array([decoder(value) for value in ids], pa.binary())], names=["id", "ids", "decoded"])
+
+        rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        return rows.mapInArrow(both, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")

@@ -41,11 +41,8 @@ def byte_codec(spark: SparkSession) -> bpe.Codec:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Token counts and digests of ids and decoded bytes, for every row of ``docs``."""
-    codec = byte_codec(docs.sparkSession)
-    coded = docs.select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    back = coded.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
-    return back.select(
-        "doc_id",
+    return byte_codec(docs.sparkSession).round_trip(docs, "doc_id", "text").select(
+        F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

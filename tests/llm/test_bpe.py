@@ -24,9 +24,9 @@ def test_ids_are_those_of_the_rank_file():
 
 
 def test_a_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE", 600)
     encoder = bpe.Encoder(bpe.serialise(RANKS), public_tokenizers.PATTERN)
-    for _ in range(2):
+    for _ in range(3):
         assert encoder(["a b c d e f g"])[0].tolist() == TIKTOKEN.encode_ordinary("a b c d e f g")
 
 
@@ -49,6 +49,16 @@ def test_digests(spark, documents):
     assert bpe_digests(documents([])).collect() == []
 
 
+def test_portions_hold_every_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "PORTION", 10)
+    for texts in ([], ["a" * 30], ["", None, "abc", "d" * 11, "é" * 5, "e", None]):
+        portions = [portion.to_pylist() for portion in bpe._portions(pa.array(texts, pa.string()))]
+        assert [text for portion in portions for text in portion] == texts
+        assert all(len(portion) == 1 or sum(len((text or "").encode()) for text in portion) <= 10 for portion in portions)
+
+
 def test_decoding(spark):
     ids = spark.createDataFrame([([15496, 995],), ([],), (None,)], "ids array<int>")
     codec = byte_codec(spark)
