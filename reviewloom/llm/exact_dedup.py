@@ -1,15 +1,15 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-1. Each task collapses the equal texts of an Arrow batch, bytes compared, to one entry with
-   their number and best row.  A text that makes up a third of the corpus thus sends one
-   entry for a batch, not one for a row.
+1. Each task collapses the equal texts of a part of an Arrow batch, bytes compared, to one entry
+   with their number and best row.  A text that makes up a third of the corpus thus sends one
+   entry for a few megabytes, not one for a row.
 2. The directory starts as one bucket.  Every round adds up the bytes of each bucket and
    doubles the directory for those that are overfull; it ends when none is, or at
    ``max_depth`` bits, where a bucket may be larger.
 3. Owner tasks take ranges of buckets, sorted by hash address.  Entries of one address form
    a chain of different texts, told apart by their bytes.  An owner holds one chain at a
    time, however large its buckets are, and writes index files to the shared folder.
-4. Rows find their class through their entry, so that no join key holds more rows than a batch.
+4. Rows find their class through their entry, so that no join key holds more rows than a part.
 
 Defined cases: a null text counts as empty; the row with the largest id stays, a null id
 loses to any other; of rows with equal text and id exactly one stays; an empty table gives
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,52 +30,71 @@ from pyspark.sql import types as T
 from reviewloom.llm.common import keep, tasks, whole_row
 
 BUCKET_BYTES = 4 << 20
+# Bytes of text that a task compares and passes on at a time, unless one text alone has more.
+SLICE_BYTES = 4 << 20
 MAX_DEPTH = 18
 
 
+def _slices(batch: pa.RecordBatch, body: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batch in parts of a few megabytes of text, so that little is copied at a time."""
+    ends = np.cumsum(np.asarray(pc.binary_length(body)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at), body.slice(at, stop - at)
+        at = stop
+
+
+def _bodies(row: pa.StructArray, text: str) -> pa.Array:
+    """The texts of the rows as bytes, null ones empty."""
+    return pc.fill_null(row.field(row.type.get_field_index(text)).cast(pa.binary()), b"")
+
+
 def _collapse(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One entry for each different text of a batch, on the row with the largest id."""
-    for number, batch in enumerate(batches):
-        body, ids = batch.column("body").to_pylist(), batch.column("id").to_pylist()
-        best: dict[bytes, int] = {}
-        count: dict[bytes, int] = {}
-        for i, key in enumerate(body):
-            j = best.setdefault(key, i)
-            if j != i and ids[i] is not None and (ids[j] is None or ids[i] > ids[j]):
-                best[key] = i
-            count[key] = count.get(key, 0) + 1
-        task = batch.column("task")[0].as_py() if batch.num_rows else 0
-        place = {key: (task << 40) + (number << 20) + j for key, j in best.items()}
-        is_entry = pa.array([best[key] == i for i, key in enumerate(body)], pa.bool_())
-        row = batch.column("row")
-        names = [row.type.field(k).name for k in range(row.type.num_fields)]
-        parts = [
-            pc.if_else(is_entry, part, pa.scalar(None, part.type)) if name == text else part
-            for name, part in zip(names, row.flatten(), strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                batch.column("address"),
-                batch.column("sha"),
-                pa.array([place[key] for key in body], pa.int64()),
-                is_entry,
-                pa.array([count[key] for key in body], pa.int64()),
-                pc.binary_length(batch.column("body")).cast(pa.int64()),
-                pa.StructArray.from_arrays(parts, fields=[field.with_nullable(True) for field in row.type]),
-            ],
-            names=schema.names,
-        )
+    """One entry for each different text of a part of a batch, on the row with the largest id."""
+    number = 0
+    for whole in batches:
+        for batch, bodies in _slices(whole, _bodies(whole.column("row"), text)):
+            body, ids = bodies.to_pylist(), batch.column("id").to_pylist()
+            best: dict[bytes, int] = {}
+            count: dict[bytes, int] = {}
+            for i, key in enumerate(body):
+                j = best.setdefault(key, i)
+                if j != i and ids[i] is not None and (ids[j] is None or ids[i] > ids[j]):
+                    best[key] = i
+                count[key] = count.get(key, 0) + 1
+            first = (batch.column("task")[0].as_py() << 40) + (number << 20)
+            number += 1
+            place = {key: first + j for key, j in best.items()}
+            is_entry = pa.array([best[key] == i for i, key in enumerate(body)], pa.bool_())
+            row = batch.column("row")
+            parts = [
+                pc.if_else(is_entry, part, pa.scalar(None, part.type)) if field.name == text else part
+                for field, part in zip(row.type, row.flatten(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    batch.column("address"),
+                    batch.column("sha"),
+                    pa.array([place[key] for key in body], pa.int64()),
+                    is_entry,
+                    pa.array([count[key] for key in body], pa.int64()),
+                    pc.binary_length(bodies).cast(pa.int64()),
+                    pa.StructArray.from_arrays(parts, fields=[field.with_nullable(True) for field in row.type]),
+                ],
+                names=schema.names,
+            )
 
 
 def entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row with the entry it belongs to; entries carry their whole row, others no text."""
     body = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    # Each text goes to Python once, inside its row.
     rows = docs.select(
-        whole_row(docs), F.col(f"`{id_col}`").alias("id"), body.alias("body"),
-        F.spark_partition_id().cast("long").alias("task"),
-    ).select(
-        "id", F.xxhash64("body").alias("address"), F.sha2("body", 256).alias("sha"), "task", "body", "row"
+        F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("address"), F.sha2(body, 256).alias("sha"),
+        F.spark_partition_id().cast("long").alias("task"), whole_row(docs),
     )
     schema = T.StructType([
         rows.schema["id"], rows.schema["address"], rows.schema["sha"],
@@ -138,11 +158,12 @@ def _resolve(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) ->
         return pa.RecordBatch.from_arrays([*columns, every.take(places)], names=schema.names)
 
     kind = None
-    for batch in batches:
+    parts = (part for whole in batches for part in _slices(whole, _bodies(whole.column("row"), text)))
+    for batch, found in parts:
         lines, rows = [], []
         row = batch.column("row")
         kind = row.type
-        bodies = row.field(kind.get_field_index(text)).cast(pa.binary()).fill_null(b"").to_pylist()
+        bodies = found.to_pylist()
         columns = [batch.column(name).to_pylist() for name in ("bucket", "address", "entry", "id", "n")]
         for i, (bucket, address, entry, id_, n) in enumerate(zip(*columns, strict=True)):
             if address != open_address:
