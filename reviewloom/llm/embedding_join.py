@@ -294,18 +294,21 @@ def embedding_links(
     reps = keep(
         rows.where("ok").groupBy("label", "h1", "h2")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("vector").alias("vector"))
-        .withColumn("dim", F.size("vector")),
+        .withColumn("dim", F.size("vector")).withColumn("rid", F.monotonically_increasing_id()),
         "vectors",
     )
-    blocks = order_blocks(reps.select("id", "label", "dim", "times", "vector"), principal_axes(reps), epsilon)
+    # From here on ``rid`` tells vectors apart: different vectors may have one id.
+    blocks = order_blocks(reps.select(F.col("rid").alias("id"), "label", "dim", "times", "vector"), principal_axes(reps), epsilon)
     width = (blocks.agg(F.max("number")).head()[0] or 0) + 1
     blocks = blocks.withColumn("place", F.col("task") * width + F.col("number"))
     found = join_blocks(near_blocks(blocks, epsilon), blocks, cosine)
-    reached = components(found.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    linked = found.groupBy("id").agg(F.sum("n").alias("n"))
+    edges = found.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    reached = components(edges).select(F.col("id").alias("rid"), F.col("component").alias("of_rid"))
+    linked = found.groupBy(F.col("id").alias("rid")).agg(F.sum("n").alias("n"))
+    named = keep(reps.select("rid", "id").join(reached, "rid").groupBy("of_rid").agg(F.min("id").alias("component")), "named")
     classes = (
-        reps.select("label", "h1", "h2", "id", "times")
-        .join(linked, "id", "left").join(reached, "id", "left")
+        reps.select("label", "h1", "h2", "id", "rid", "times")
+        .join(linked, "rid", "left").join(reached, "rid", "left").join(named, "of_rid", "left")
         .select(
             F.col("label").alias("of"), F.col("h1").alias("g1"), F.col("h2").alias("g2"),
             (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "id").alias("component"),

@@ -77,3 +77,9 @@ def test_intervals_agree_with_multiplying_out():
     data = np.vstack([rng.normal(size=(1, 8)) + rng.normal(size=(40, 8)) * s for s in (0.001, 0.05, 0.3)])
     side = J._Side(data.tobytes(), 8)
     assert np.array_equal(J.link_matrix(side, side, 0.98), side.rows @ side.rows.T >= 0.98)
+
+
+def test_different_vectors_of_one_id(spark):
+    e = [[1.0 if i == j else 0.0 for j in range(4)] for i in range(4)]
+    near = [[x + 0.05 * (i == 3) for i, x in enumerate(e[k])] for k in (0, 1)]
+    check(spark, [(5, e[0], 1), (5, e[1], 1), (6, near[0], 1), (7, near[1], 1), (5, e[2], 1), (5, e[2], 1), (8, e[0], 1), (2, near[1], 2)])
