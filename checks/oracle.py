@@ -738,3 +738,7 @@ ORACLE["save_and_snapshot"] = sql(
     """SELECT r.ReviewID, r.ReviewSentimentID AS Before, CASE WHEN r.ReviewSentimentID = 1 THEN 2 ELSE r.ReviewSentimentID END AS After
     FROM Review r"""
 )
+
+# Reviews that arrive bit by bit, or whose replies come from a journal, end up like those scored at once.
+ORACLE["score_reviews_journaled"] = ORACLE["score_reviews_waves"] = ORACLE["score_stream"] = ORACLE["score_reviews"]
+ORACLE["writeback_stream"] = ORACLE["writeback_overall"]

@@ -16,7 +16,9 @@ from reviewloom.operators import batches as B
 from reviewloom.operators import duplicates, relational, upserts
 from reviewloom.plans import candidates, dashboard, scoring, summaries, writeback
 from reviewloom.sources import tables
+from reviewloom.sources.journal import reply_journal
 from reviewloom.sources.star import ReviewStar, star_from_orders
+from reviewloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -541,6 +543,52 @@ def writeback_overall(star):
     return writeback.writeback_overall(star, _overall_scores(star)).select("ReviewID", "ReviewSentimentID")
 
 
+def _unasked(batch: str) -> str:
+    raise RuntimeError("this batch has a reply")
+
+
+@on_star
+def score_reviews_journaled(star):
+    """A second run, whose scorer must not be asked, has all replies from the first one's journal."""
+    found = candidates.candidates_overall(star, P.MIN_DATE)
+    journal = reply_journal(star.review.sparkSession, "lexicon")
+    scoring.run_scorer(found, scoring.lexicon_scorer(), journal=journal)
+    return scoring.run_scorer(found, _unasked, journal=journal).scores
+
+
+@on_star
+def score_reviews_waves(star):
+    """Few calls a task, so that batches go out in several waves."""
+    found = candidates.candidates_overall(star, P.MIN_DATE)
+    return scoring.run_scorer(found, scoring.lexicon_scorer(), size=5, calls=4, task_calls=3).scores
+
+
+def _arriving(star, slices: int, at_a_time: int) -> DataFrame:
+    """The reviews as files that a stream reads, a few at a time, older ones first."""
+    inbox = f"{session.checkpoint_dir(star.review.sparkSession)}/inbox-{uuid.uuid4().hex}"
+    star.review.repartitionByRange(slices, "Review_DateID").write.parquet(inbox)
+    return star.review.sparkSession.readStream.schema(star.review.schema).option("maxFilesPerTrigger", at_a_time).parquet(inbox)
+
+
+def _streamed_scores(star, score=scoring.score_reviews) -> DataFrame:
+    spark = star.review.sparkSession
+    store = incremental.ScoreStore(f"{session.checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}", P.MIN_DATE, score)
+    incremental.score_stream(_arriving(star, 6, 2), store, relational.sentiments(star)).awaitTermination()
+    return store.scores(spark)
+
+
+@on_star
+def score_stream(star):
+    """Scores of reviews that arrive in three batches."""
+    return _streamed_scores(star)
+
+
+@on_star
+def writeback_stream(star):
+    """The review table after scores of three batches were stored."""
+    return writeback.writeback_overall(star, _streamed_scores(star)).select("ReviewID", "ReviewSentimentID")
+
+
 def _few_flags(star) -> ReviewStar:
     """The star before most flags were made: only the "not discussed" ones exist."""
     return star.replace(phrase_flag=star.phrase_flag.where(F.col("PhraseFlag") == 0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from reviewloom.functions.text import clean_text, lexicon_score, phrase_flag, te
 from reviewloom.operators import batches as B
 from reviewloom.operators.duplicates import collapse_duplicates, fan_out
 from reviewloom.session import cut_lineage
+from reviewloom.sources.journal import ReplyJournal
 
 # A scorer takes the JSON of one batch and returns its reply.
 Scorer = Callable[[str], str]
@@ -88,42 +90,74 @@ def reply_item(phrases: list[str] | None) -> T.StructType:
     return schema.PHRASE_ITEM if phrases else schema.OVERALL_ITEM
 
 
-def ask_scorer(batches: DataFrame, scorer: Scorer, calls: int | None = None) -> DataFrame:
+# Calls that one task makes at most; what it loses with its executor is bounded by that.
+TASK_CALLS = 64
+
+_ITEMS = T.ArrayType(T.StructType([T.StructField("ReviewID", T.LongType()), T.StructField("ReviewText", T.StringType())]))
+
+
+def ask_scorer(
+    batches: DataFrame, scorer: Scorer, calls: int | None = None, journal: ReplyJournal | None = None,
+    task_calls: int = TASK_CALLS,
+) -> DataFrame:
     """Call the scorer once for each batch row; only JSON crosses to Python and back.
 
-    ``calls`` is how many tasks call it at a time at most, all cores if it isn't given:
-    batches are dealt to so many tasks, whatever their bytes.  A call that raises leaves the
-    batch without a reply but with its Error, and it is set aside later: one bad batch
-    does not end the run.
-    """
+    ``calls`` is how many tasks call it at a time at most, all cores if it isn't given.  A task makes
+    ``task_calls`` calls at most: batches go out in as many waves, each a job of ``calls`` tasks whose replies are
+    written before the next starts.  A call that raises leaves the batch without a reply
+    but with its Error, and it is set aside later: one bad batch does not end the run.
 
-    def attempt(batch: str) -> tuple[str | None, str | None]:
+    With a ``journal``, batches that it has a reply for are not asked, and every reply goes there at once:
+    a repeated task, or a run after one that was stopped, asks only for what has no reply.
+    """
+    spark = batches.sparkSession
+    calls = calls or spark.sparkContext.defaultParallelism
+    narrow = batches.select("Queue", "Batch", "ItemsJson")
+    if journal is None:
+        return _with_items(_in_waves(narrow, scorer, calls, task_calls, None), [])
+    names = ["Digest", "Attempt"]
+    named = cut_lineage(journal.named(narrow, "ItemsJson"))
+    known = cut_lineage(journal.known(spark).join(named.select("Name"), "Name", "left_semi"))
+    found = named.join(known, "Name").withColumn("Error", F.lit(None).cast("string"))
+    asked = _in_waves(named.join(known, "Name", "left_anti").select(*named.columns), scorer, calls, task_calls, journal)
+    return _with_items(asked.unionByName(found), names)
+
+
+def _with_items(answered: DataFrame, names: list[str]) -> DataFrame:
+    return answered.select("Queue", "Batch", *names, F.from_json("ItemsJson", _ITEMS).alias("Items"), "Reply", "Error")
+
+
+def _in_waves(narrow: DataFrame, scorer: Scorer, calls: int, task_calls: int, journal: ReplyJournal | None) -> DataFrame:
+    """``narrow`` with Reply and Error, from jobs of ``calls`` tasks with ``task_calls`` calls each at most."""
+    waiting = cut_lineage(narrow)
+    waves = -(-waiting.count() // (calls * task_calls))
+    if waves <= 1:
+        return _asked(waiting, scorer, calls, journal)
+    wave = F.pmod(F.xxhash64(F.lit("wave"), "Queue", "Batch"), F.lit(waves))
+    dealt = cut_lineage(waiting.withColumn("_wave", wave).repartitionByRange(waves, "_wave"))
+    parts = [cut_lineage(_asked(dealt.where(F.col("_wave") == k).drop("_wave"), scorer, calls, journal)) for k in range(waves)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _asked(waiting: DataFrame, scorer: Scorer, calls: int, journal: ReplyJournal | None) -> DataFrame:
+    ask = journal.answering(scorer) if journal else lambda _, question: scorer(question)
+
+    def attempt(name: str | None, batch: str) -> tuple[str | None, str | None]:
         try:
-            return scorer(batch), None
+            return ask(name, batch), None
         except Exception as error:
             return None, f"{type(error).__name__}: {error}"[:500]
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [attempt(batch) for batch in frame["ItemsJson"]]
+            answers = [attempt(name, batch) for name, batch in zip(frame.get("Name", [None] * len(frame)), frame["ItemsJson"])]
             yield frame.assign(
                 Reply=pd.Series([reply for reply, _ in answers], dtype=object, index=frame.index),
                 Error=pd.Series([error for _, error in answers], dtype=object, index=frame.index),
             )
 
-    calls = calls or batches.sparkSession.sparkContext.defaultParallelism
-    narrow = batches.select("Queue", "Batch", "ItemsJson").repartition(calls, "Queue", "Batch")
-    output = T.StructType(
-        [*narrow.schema.fields, T.StructField("Reply", T.StringType()), T.StructField("Error", T.StringType())]
-    )
-    items = T.ArrayType(
-        T.StructType(
-            [T.StructField("ReviewID", T.LongType()), T.StructField("ReviewText", T.StringType())]
-        )
-    )
-    return narrow.mapInPandas(answer, output).select(
-        "Queue", "Batch", F.from_json("ItemsJson", items).alias("Items"), "Reply", "Error"
-    )
+    more = [T.StructField("Reply", T.StringType()), T.StructField("Error", T.StringType())]
+    return waiting.repartition(calls, "Queue", "Batch").mapInPandas(answer, T.StructType([*waiting.schema.fields, *more]))
 
 
 def unique_texts(cleaned: DataFrame) -> DataFrame:
@@ -135,14 +169,15 @@ def unique_texts(cleaned: DataFrame) -> DataFrame:
 
 def judged_batches(
     unique: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
-    size: int = schema.BATCH_ROWS, calls: int | None = None,
+    size: int = schema.BATCH_ROWS, calls: int | None = None, journal: ReplyJournal | None = None,
+    task_calls: int = TASK_CALLS,
 ) -> DataFrame:
     """Batches of ``unique`` texts, scored, with the verdict on each reply.
 
     ``unique`` is kept: it is counted first, so that there are as many queues as fill.
     """
     batched = B.assign_batches(unique, size=size, queues=B.queue_count(unique))
-    asked = ask_scorer(B.batch_json(batched, ["ReviewID", "ReviewText"]), scorer, calls)
+    asked = ask_scorer(B.batch_json(batched, ["ReviewID", "ReviewText"]), scorer, calls, journal, task_calls)
     return B.check_batches(asked, reply_item(phrases))
 
 
@@ -177,26 +212,29 @@ def run_metrics(judged: DataFrame, queued: DataFrame) -> DataFrame:
 def run_scorer(
     candidates: DataFrame, scorer: Scorer, phrases: list[str] | None = None,
     stops: list[str] | None = None, size: int = schema.BATCH_ROWS, calls: int | None = None,
-    passes: int = 3,
+    passes: int = 3, journal: ReplyJournal | None = None, task_calls: int = TASK_CALLS,
 ) -> ScoreRun:
     """Score with any scorer: distinct texts in batches, then every copy.
 
     Texts of refused batches are asked for again, in smaller batches, ``passes`` times in
     all and alone in the end, so a bad text keeps no others out.  A run in which every
     call raised stops with the error.  The cleaned and the distinct texts and the replies of each pass
-    are written to the checkpoint folder: the scorer must be called once for a
-    batch, however many of the results are used and whatever happens to an executor after.
+    are written to the checkpoint folder, so that the scorer is called once for a
+    batch, however many of the results are used.  With a ``journal`` that also holds for tasks that
+    are repeated, and for later runs with the same batches; refused replies are asked for again.
     """
     cleaned = cut_lineage(clean_reviews(candidates, stops))
     unique = cut_lineage(unique_texts(cleaned))
     waiting, accepted = unique, None
     for number, own_size in enumerate(pass_sizes(size, passes)):
-        judged = cut_lineage(judged_batches(waiting, scorer, phrases, own_size, calls))
+        judged = cut_lineage(judged_batches(waiting, scorer, phrases, own_size, calls, journal, task_calls))
         calls_made, raised, refused, error = judged.agg(
             F.count("*"), F.count("Error"), F.count("Reason"), F.min("Error")
         ).first()
         if calls_made and raised == calls_made and not number:
             raise RuntimeError(f"the scorer raised on every batch: {error}")
+        if journal is not None and refused:
+            journal.discard(judged)
         passed = judged.where(F.col("Reason").isNull())
         accepted = passed if accepted is None else accepted.unionByName(passed)
         if not refused or number == passes - 1:
