@@ -25,6 +25,7 @@ from reviewloom.functions.text import (
     word_list,
 )
 from reviewloom.operators.relational import key_of, venue_operator, venue_region, without
+from reviewloom.operators.strongest import strongest_distinct
 from reviewloom.operators.upserts import (
     RANGE_KEYS,
     absent_rows,
@@ -175,23 +176,20 @@ def summary_text(texts: DataFrame, keys: list[str], text: str, limit: int = sche
     """The strongest sentences of each group, up to ``limit`` words in all.
 
     A longer sentence is cut into runs of ``limit`` words, which are sentences then.  A
-    sentence has a word at least, so the first ``limit`` of a group are enough to
-    fill its summary; that limit is applied on the map side already.
+    sentence has a word at least, so the first ``limit`` distinct ones of a group are enough to
+    fill its summary, and each task keeps only those of its own rows before anything is shuffled.
     """
     strength = F.when(F.col("Score") < 0, 0).otherwise(F.abs(F.col("Score") - 5))
     candidates = (
         texts.select(*keys, F.explode(sentences(F.col(text), limit)).alias("Sentence"))
-        .distinct()
-        .withColumn("Length", word_count(F.col("Sentence")))
         .withColumn("Words", word_list(clean_text(F.col("Sentence"))))
         .withColumn("Score", lexicon_score(F.col("Words")))
-        .select(*keys, "Sentence", "Length", strength.alias("Strength"))
+        .select(*keys, "Sentence", strength.alias("Strength"))
     )
-    strongest = Window.partitionBy(*keys).orderBy(F.desc("Strength"), "Sentence")
+    so_far = Window.partitionBy(*keys).orderBy("Place").rowsBetween(Window.unboundedPreceding, 0)
     chosen = (
-        candidates.withColumn("Place", F.row_number().over(strongest))
-        .where(F.col("Place") <= limit)
-        .withColumn("Total", F.sum("Length").over(strongest.rowsBetween(Window.unboundedPreceding, 0)))
+        strongest_distinct(candidates, keys, "Sentence", "Strength", limit)
+        .withColumn("Total", F.sum(word_count(F.col("Sentence"))).over(so_far))
         .where(F.col("Total") <= limit)
     )
     ordered = F.sort_array(F.collect_list(F.struct("Place", "Sentence")))
