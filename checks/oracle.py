@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from checks import params as P
 from reviewloom.functions import words as W
 from reviewloom.operators.batches import QUEUE_ROWS
@@ -742,3 +744,35 @@ ORACLE["save_and_snapshot"] = sql(
 # Reviews that arrive bit by bit, or whose replies come from a journal, end up like those scored at once.
 ORACLE["score_reviews_journaled"] = ORACLE["score_reviews_waves"] = ORACLE["score_stream"] = ORACLE["score_reviews"]
 ORACLE["writeback_stream"] = ORACLE["writeback_overall"]
+
+
+def with_suffix(suffix: str, *ctes: str) -> str:
+    """The same CTEs under other names, for a statement that has them twice."""
+    text = ",\n".join(ctes)
+    names = set(re.findall(r"(?:^|,)\s*(\w+) AS \(", text))
+    return re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", rf"\g<1>{suffix}", text)
+
+
+# After scores and then phrase flags were stored: the same questions, asked of the new tables.
+STORED = [
+    *RUN_OVERALL,
+    f"""NewStates AS (SELECT ReviewID, d.SentimentID AS NewID FROM (SELECT ReviewID, {RAW} AS Raw FROM Overall) x {DIM_JOIN}),
+NewReview AS (SELECT Review.* REPLACE (coalesce(NewID, ReviewSentimentID) AS ReviewSentimentID) FROM Review LEFT JOIN NewStates USING (ReviewID)),
+NewWritten AS (SELECT * FROM NewReview WHERE ReviewText IS NOT NULL)""",
+    with_suffix("2", *PHRASE_ROWS, NEW_FLAGS.replace("FROM Flags WHERE PhraseFlag = 0", "FROM Flags"), f"NewBridge AS ({bridged('AllFlags')})"),
+]
+
+
+def stored(name: str, *ctes: str) -> None:
+    text = ORACLE[name]
+    select = text[text.rindex(ctes[-1]) + len(ctes[-1]) :]
+    later = [re.sub(r"\b(FROM|JOIN) (Written|Review)\b", r"\g<1> New\g<2>", cte) for cte in ctes]
+    later = [re.sub(r"\b(FROM|JOIN) Bridge\b", r"\g<1> NewBridge2", re.sub(r"\b(FROM|JOIN) Flags\b", r"\g<1> AllFlags2", cte)) for cte in later]
+    ORACLE[f"rollup_{name}"] = sql(select, *STORED, *later)
+
+
+stored("operator_stats", STATS)
+stored("rating_vs_sentiment", SCORED)
+stored("sentiment_distribution", SCORED)
+stored("rating_mix_by_year", MIX)
+stored("rating_by_sentiment", SCORED)

@@ -14,7 +14,7 @@ from reviewloom import schema, session
 from reviewloom.functions import dates, formats, scores, text
 from reviewloom.operators import batches as B
 from reviewloom.operators import duplicates, relational, upserts
-from reviewloom.plans import candidates, dashboard, scoring, summaries, writeback
+from reviewloom.plans import candidates, dashboard, rollup, scoring, summaries, writeback
 from reviewloom.sources import tables
 from reviewloom.sources.journal import reply_journal
 from reviewloom.sources.star import ReviewStar, star_from_orders
@@ -625,6 +625,45 @@ def writeback_phrase(star):
     )
 
 
+def _counted(star) -> ReviewStar:
+    """The star after scores and then phrase flags were stored, with counts that were built before and
+    took in both changes."""
+    spark = star.review.sparkSession
+    counts = rollup.Rollup(f"{session.checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}").build(star)
+    changes = session.cut_lineage(writeback.scored_ids(star, _overall_scores(star)))
+    counts.change_sentiments(1, star.review, changes)
+    stored = star.replace(review=upserts.update_column(star.review, changes, "ReviewID", "ReviewSentimentID"))
+    made = writeback.writeback_phrase(stored, _phrase_scores(stored), P.PHRASES, from_star=True)
+    fresh = made.reviews.join(star.phrase_review, ["ReviewID", "PhraseSentimentFlagID"], "left_anti")
+    counts.change_flags(2, star.review, fresh)
+    return counts.over(stored.replace(phrase_flag=made.flags, phrase_review=made.reviews))
+
+
+@on_star
+def rollup_operator_stats(star):
+    return dashboard.operator_stats(_counted(star))
+
+
+@on_star
+def rollup_rating_vs_sentiment(star):
+    return dashboard.rating_vs_sentiment(_counted(star))
+
+
+@on_star
+def rollup_sentiment_distribution(star):
+    return dashboard.sentiment_distribution(_counted(star))
+
+
+@on_star
+def rollup_rating_mix_by_year(star):
+    return dashboard.rating_mix_by_year(_counted(star))
+
+
+@on_star
+def rollup_rating_by_sentiment(star):
+    return dashboard.rating_by_sentiment(_counted(star))
+
+
 @on_star
 def insert_if_absent(star):
     fresh = star.venue.selectExpr(

@@ -21,27 +21,28 @@ def with_surrogate_keys(
 
     Numbering all rows in one go would take one task, which suits a handful only
     (``few``).  Otherwise rows are dealt to sorted ranges of ``order``, of any type, nulls
-    first, and written once with the number of their range, as the bounds of ranges are
-    sampled.  Only the ranges' sizes, one number each, meet in one place.
+    first, and written once with the number of their range and their place in it, as the bounds of
+    ranges are sampled.  Only the ranges' sizes, one number each, meet in one place.
     """
     last = F.coalesce(existing.agg(F.max(id_column)).scalar(), F.lit(0))
     kind = existing.schema[id_column].dataType
     if few:
         place = F.row_number().over(Window.orderBy(*order))
         return fresh.withColumn(id_column, (last + place).cast(kind))
-    ranged = keep(fresh.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # Range and place in one number: the upper 31 bits count tasks, the lower 33 the rows of a task.
+    ranged = keep(fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy("_range")
+        ranged.groupBy(F.shiftright("_at", 33).alias("_range"))
         .agg(F.count("*").alias("_size"))
         .select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
     return (
-        ranged.withColumn("_place", place)
-        .join(starts, "_range")
-        .withColumn(id_column, (last + F.col("_start") + F.col("_place")).cast(kind))
-        .drop("_range", "_place", "_start")
+        ranged.withColumn("_range", F.shiftright("_at", 33))
+        .join(F.broadcast(starts), "_range")
+        .withColumn(id_column, (last + F.col("_start") + place).cast(kind))
+        .drop("_range", "_at", "_start")
     )
 
 

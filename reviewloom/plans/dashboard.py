@@ -2,7 +2,7 @@
 
 Each one first counts reviews for every venue, which happens on the map side, and
 joins the dimensions to those counts: neither the fact rows nor a busy venue ever
-travel through a join.
+travel through a join.  A star with a rollup has the counts already (``plans/rollup``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from reviewloom.functions.formats import format_stats
 from reviewloom.functions.scores import exact_ratio
 from reviewloom.functions.text import phrase_key, phrase_label_key
 from reviewloom.operators.relational import sentiments, venue_operator
+from reviewloom.plans.rollup import phrase_cells, review_cells
 from reviewloom.session import checked_broadcast
 from reviewloom.sources.star import ReviewStar
 
@@ -46,18 +47,43 @@ def _picked_reviews(
     return reviews
 
 
+def _cells(
+    star: ReviewStar,
+    phrases: list[str] | None = None,
+    date_range: tuple[int, int] | None = None,
+    operator_ids: list[int] | None = None,
+) -> DataFrame:
+    """``VenueID, Review_DateID, ReviewSentimentID, ReviewRating, Written, N`` of the picked reviews.
+
+    They come from the star's counts, if it has any, or else one cell is one review.  Cells that
+    were taken back count less than 0; what is grouped and adds up to 0 is no group.  Counts
+    don't tell which reviews discuss a phrase, so those are read themselves.
+    """
+    counts = star.review_counts
+    if counts is None or phrases is not None:
+        return review_cells(_picked_reviews(star, phrases, date_range, operator_ids))
+    return _picked_cells(star, counts, date_range, operator_ids)
+
+
+def _picked_cells(star: ReviewStar, counts: DataFrame, date_range, operator_ids) -> DataFrame:
+    if operator_ids is not None:
+        counts = counts.join(venue_operator(star, operator_ids).select("VenueID"), "VenueID", "left_semi")
+    return counts if date_range is None else counts.where(F.col("Review_DateID").between(*date_range))
+
+
 def _scored_counts(star, operator_ids, phrases, date_range, keys: list[str]) -> DataFrame:
     """Counts and rating totals of scored reviews by operator and ``keys``."""
-    by_venue = _picked_reviews(star, phrases, date_range, operator_ids).groupBy("VenueID", "ReviewSentimentID").agg(
-        F.count("*").alias("Reviews"),
-        F.sum("ReviewRating").alias("RatingTotal"),
-        F.count("ReviewRating").alias("Ratings"),
+    rated = F.col("ReviewRating").isNotNull()
+    by_venue = _cells(star, phrases, date_range, operator_ids).groupBy("VenueID", "ReviewSentimentID").agg(
+        F.sum("N").alias("Reviews"),
+        F.sum(F.col("ReviewRating") * F.col("N")).alias("RatingTotal"),
+        F.sum(F.when(rated, F.col("N")).otherwise(0)).alias("Ratings"),
     )
     scores = sentiments(star).where(F.col("SentimentScore").isNotNull()).select(
         F.col("SentimentID").alias("ReviewSentimentID"), "SentimentScore"
     )
     return (
-        by_venue.join(scores, "ReviewSentimentID")
+        by_venue.where("Reviews <> 0").join(scores, "ReviewSentimentID")
         .join(venue_operator(star, operator_ids), "VenueID")
         .groupBy(*keys)
         .agg(
@@ -71,7 +97,7 @@ def _scored_counts(star, operator_ids, phrases, date_range, keys: list[str]) ->
 
 def list_operators(star: ReviewStar) -> DataFrame:
     """Operators with at least one review, by name."""
-    reviewed = star.review.select("VenueID").distinct()
+    reviewed = _cells(star).groupBy("VenueID").agg(F.sum("N").alias("N")).where("N <> 0")
     return (
         venue_operator(star)
         .join(reviewed, "VenueID", "left_semi")
@@ -101,16 +127,15 @@ def phrase_scores(
         )
         .select("PhraseSentimentFlagID", "Phrase", "SentimentScore")
     )
-    written = (
-        _picked_reviews(star, None, date_range, operator_ids)
-        .where(F.col("ReviewText").isNotNull())
-        .select("ReviewID", "VenueID")
-    )
+    if star.phrase_counts is None:
+        cells = phrase_cells(star.phrase_review, _picked_reviews(star, None, date_range, operator_ids))
+    else:
+        cells = _picked_cells(star, star.phrase_counts, date_range, operator_ids)
     by_venue = (
-        star.phrase_review.join(flags, "PhraseSentimentFlagID")
-        .join(written, "ReviewID")
+        cells.join(flags, "PhraseSentimentFlagID")
         .groupBy("VenueID", "Phrase")
-        .agg(F.sum("SentimentScore").alias("Total"), F.count("*").alias("Flags"))
+        .agg(F.sum(F.col("SentimentScore") * F.col("N")).alias("Total"), F.sum("N").alias("Flags"))
+        .where("Flags <> 0")
     )
     return (
         by_venue.join(venue_operator(star, operator_ids), "VenueID")
@@ -148,10 +173,11 @@ def operator_stats(
     the reviews to those that discuss one of them, and the ranks to these.
     """
     by_venue = (
-        _picked_reviews(star, phrases, date_range, operator_ids)
-        .where(F.col("ReviewText").isNotNull())
+        _cells(star, phrases, date_range, operator_ids)
+        .where("Written")
         .groupBy("VenueID", "ReviewSentimentID")
-        .agg(F.count("*").alias("Reviews"))
+        .agg(F.sum("N").alias("Reviews"))
+        .where("Reviews <> 0")
     )
     states = sentiments(star).select(
         F.col("SentimentID").alias("ReviewSentimentID"),
@@ -252,11 +278,12 @@ def rating_mix_by_year(star: ReviewStar, operator_ids=None, phrases=None, date_r
     """
     dates = star.dates.select(F.col("DateID").alias("Review_DateID"), F.year("ActualDate").alias("ReviewYear"))
     counts = (
-        _picked_reviews(star, phrases, date_range, operator_ids)
+        _cells(star, phrases, date_range, operator_ids)
         .where(F.col("ReviewRating").isNotNull())
         .join(checked_broadcast(dates, 110_000), "Review_DateID")
         .groupBy("VenueID", "ReviewYear", "ReviewRating")
-        .agg(F.count("*").alias("Reviews"))
+        .agg(F.sum("N").alias("Reviews"))
+        .where("Reviews <> 0")
         .join(venue_operator(star, operator_ids), "VenueID")
         .groupBy("ReviewYear", "ReviewRating")
         .agg(F.sum("Reviews").alias("Reviews"))
@@ -284,10 +311,10 @@ def rating_mix_pivot(star: ReviewStar, operator_ids=None, ratings=(3, 4, 5)) ->
 
 def preset_range(star: ReviewStar, months: int) -> DataFrame:
     """Date span of each operator's reviews, and the start of its last ``months`` months."""
-    by_venue = (
-        star.review.groupBy("VenueID")
-        .agg(F.min("Review_DateID").alias("first"), F.max("Review_DateID").alias("last"))
-    )
+    cells = _cells(star)
+    if star.review_counts is not None:  # days whose reviews were all taken back don't count
+        cells = cells.groupBy("VenueID", "Review_DateID").agg(F.sum("N").alias("N")).where("N <> 0")
+    by_venue = cells.groupBy("VenueID").agg(F.min("Review_DateID").alias("first"), F.max("Review_DateID").alias("last"))
     spans = (
         by_venue.join(venue_operator(star), "VenueID")
         .groupBy("OperatorID")

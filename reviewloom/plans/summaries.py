@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,18 +352,30 @@ def _renamed(judged: DataFrame, category: str) -> DataFrame:
 GROUP_KEYS = ["VenueID", "OperatorID", "RegionID", "DateRangeID"]
 
 
-def _report(category: str, judged: DataFrame, inputs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Refused summaries of a level, and the level's counts."""
+def _judged(category: str, summaries: DataFrame, inputs: DataFrame, keys: list[str], keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The judged summaries of a level, kept; those refused; and the level's counts.
+
+    The counts are observed while the summaries are written, so nothing is read again for them; groups left
+    are counted on the kept inputs if someone asks.
+    """
+    seen = Observation()
+    judged = keep(
+        refused_summaries(summaries).observe(
+            seen, F.count_if(F.col("Reason").isNull()).alias("Completed"), F.count("Reason").alias("Failed")
+        )
+    )
     missing = [F.lit(None).cast("long").alias(key) for key in GROUP_KEYS if key not in judged.columns]
     rejects = judged.where(F.col("Reason").isNotNull()).select(
         F.lit(category).alias("Category"), *missing,
         *[F.col(key).cast("long").alias(key) for key in GROUP_KEYS if key in judged.columns], "Summary", "Reason",
     ).select("Category", *GROUP_KEYS, "Summary", "Reason")
-    waiting = inputs.select(*keys).distinct().agg(F.count("*")).scalar()
-    metrics = judged.agg(
-        F.lit(category).alias("Category"), F.count_if(F.col("Reason").isNull()).alias("Completed"), F.count("Reason").alias("Failed")
-    ).withColumn("Remaining", waiting - F.col("Completed"))
-    return rejects, metrics
+    waiting = inputs.select(*keys).distinct().agg(F.count("*").alias("Waiting"))
+    counts = {name: F.lit(value).cast("long") for name, value in seen.get.items()}
+    metrics = waiting.select(
+        F.lit(category).alias("Category"), counts["Completed"].alias("Completed"), counts["Failed"].alias("Failed"),
+        (F.col("Waiting") - counts["Completed"]).alias("Remaining"),
+    )
+    return judged, rejects, metrics
 
 
 @dataclass(frozen=True)
@@ -380,20 +392,19 @@ def venue_level(
 ) -> Level:
     """Venue summaries with those of the window added; the links stay 0 for now.
 
-    Here and below ``keep`` writes the new summaries, and only those, since
-    numbering, the next levels and the publishing all read them.
+    Here and below ``keep`` writes the inputs, which a summary reads more than once, and the new
+    summaries, and only those, since numbering, the next levels and the publishing all read them.
     """
     wanted = range_id(star.date_range, start, end)
-    inputs = venue_inputs(star, start, end)
-    judged = keep(refused_summaries(summarise(inputs, ["VenueID"], "ReviewText", "Venue")))
+    inputs = keep(venue_inputs(star, start, end).select("VenueID", "ReviewText"))
+    made = summarise(inputs, ["VenueID"], "ReviewText", "Venue").withColumn("DateRangeID", wanted)
+    judged, rejects, metrics = _judged("Venue", made, inputs, ["VenueID"], keep)
     rows = _renamed(judged, "Venue").select(
         "*",
-        wanted.alias("DateRangeID"),
         F.lit(0).alias("RegionSummaryID"),
         F.lit(0).alias("OperatorSummaryID"),
     )
-    table = _staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID", keep)
-    return Level(table, *_report("Venue", judged.withColumn("DateRangeID", wanted), inputs, ["VenueID"]))
+    return Level(_staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID", keep), rejects, metrics)
 
 
 def stage_venues(
@@ -409,10 +420,9 @@ def _staged(table: DataFrame, rows: DataFrame, keys: list[str], id_column: str,
 
 def operator_level(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> Level:
     keys = ["OperatorID", "DateRangeID"]
-    inputs = operator_inputs(star)
-    judged = keep(refused_summaries(summarise(inputs, keys, "VenueSummary", "Operator")))
-    table = _staged(star.summary_operator, _renamed(judged, "Operator"), keys, "OperatorSummaryID", keep)
-    return Level(table, *_report("Operator", judged, inputs, keys))
+    inputs = keep(operator_inputs(star))
+    judged, rejects, metrics = _judged("Operator", summarise(inputs, keys, "VenueSummary", "Operator"), inputs, keys, keep)
+    return Level(_staged(star.summary_operator, _renamed(judged, "Operator"), keys, "OperatorSummaryID", keep), rejects, metrics)
 
 
 def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
@@ -422,18 +432,16 @@ def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cu
 def region_level(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> Level:
     """Region summaries; the unknown region gets dashes without being summarised."""
     keys = ["OperatorID", "RegionID", "DateRangeID"]
-    inputs = region_inputs(star)
+    inputs = keep(region_inputs(star))
     unknown = F.coalesce(key_of(star.region, "Region", schema.UNKNOWN_RAW, "RegionID"), F.lit(-1))
     dash = F.lit(schema.UNKNOWN_RAW)
-    known = refused_summaries(
-        summarise(inputs.where(F.col("RegionID") != unknown), keys, "VenueSummary", "Region")
-    )
+    known = summarise(inputs.where(F.col("RegionID") != unknown), keys, "VenueSummary", "Region")
     dashes = inputs.where(F.col("RegionID") == unknown).select(*keys).distinct().select(
-        *keys, dash.alias("Summary"), dash.alias("Pros"), dash.alias("Cons"), F.lit(None).cast("string").alias("Reason")
+        *keys, dash.alias("Summary"), dash.alias("Pros"), dash.alias("Cons")
     )
-    judged = keep(known.unionByName(dashes))
-    table = _staged(star.summary_region, _renamed(judged, "Region"), keys, "RegionSummaryID", keep)
-    return Level(table, *_report("Region", judged, inputs, keys))
+    both = known.unionByName(dashes, allowMissingColumns=True)
+    judged, rejects, metrics = _judged("Region", both, inputs, keys, keep)
+    return Level(_staged(star.summary_region, _renamed(judged, "Region"), keys, "RegionSummaryID", keep), rejects, metrics)
 
 
 def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:

@@ -38,6 +38,9 @@ class ReviewStar:
         if unknown:
             raise ValueError(f"not tables of the star: {sorted(unknown)}")
         self._makers = dict(makers)
+        # Counts that stand for the reviews and their flags, if there are any.
+        self.review_counts: DataFrame | None = None
+        self.phrase_counts: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._makers:
@@ -51,6 +54,12 @@ class ReviewStar:
         made = {name: (lambda table=table: table) for name, table in tables.items()}
         return ReviewStar({**{name: (lambda name=name: getattr(self, name)) for name in self._makers}, **made})
 
+    def counted_by(self, review_counts: DataFrame, phrase_counts: DataFrame) -> ReviewStar:
+        """The same star with counts, which dashboard queries read in place of the reviews."""
+        star = self.replace()
+        star.review_counts, star.phrase_counts = review_counts, phrase_counts
+        return star
+
 
 def read_star(read: Reader) -> ReviewStar:
     """A star whose tables are kept under their own names."""
