@@ -69,10 +69,9 @@ def _collapse(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -
             place = {key: first + j for key, j in best.items()}
             is_entry = pa.array([best[key] == i for i, key in enumerate(body)], pa.bool_())
             row = batch.column("row")
-            parts = [
-                pc.if_else(is_entry, part, pa.scalar(None, part.type)) if field.name == text else part
-                for field, part in zip(row.type, row.flatten(), strict=True)
-            ]
+            # Only the texts of entries are copied.
+            chosen = pa.array([i if best[key] == i else None for i, key in enumerate(body)], pa.int64())
+            parts = [part.take(chosen) if field.name == text else part for field, part in zip(row.type, row.flatten(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),

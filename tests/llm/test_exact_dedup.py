@@ -76,3 +76,20 @@ def test_text_ids(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "y")], "doc_id string, text string")
     classes, _ = E.exact_dedup(df)
     assert sorted((row.doc_id or "", row.keep_id, row.kept) for row in classes.collect()) == [("", None, True), ("a", "b", False), ("b", "b", True)]
+
+
+def test_batches_are_worked_on_in_parts(monkeypatch):
+    """Texts of entries stay whole and copies meet, however a batch is cut."""
+    texts = [None if i % 11 == 0 else f"text {i % 17} " * (i % 5) for i in range(200)]
+    rows = pa.StructArray.from_arrays([pa.array(range(200)), pa.array(texts, pa.string()), pa.array([f"s{i}" for i in range(200)])], names=["doc_id", "text", "source"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([0] * 200), pa.array(["x"] * 200), pa.array([3] * 200), rows], names=["id", "address", "sha", "task", "row"])
+    names = pa.schema([(name, pa.null()) for name in ("id", "address", "sha", "entry", "is_entry", "n", "n_bytes", "row")])
+    for size in (1, 50, 1000, 1 << 20):
+        monkeypatch.setattr(E, "SLICE_BYTES", size)
+        out = [row for part in E._collapse(iter([batch, batch.slice(0, 0)]), "text", names) for row in part.to_pylist()]
+        assert [row["id"] for row in out] == list(range(200)) and len({row["entry"] for row in out if row["is_entry"]}) == sum(row["is_entry"] for row in out)
+        owner = {row["entry"]: row["row"]["text"] or "" for row in out if row["is_entry"]}
+        assert [owner[row["entry"]] for row in out] == [text or "" for text in texts]
+        assert all(row["row"]["source"] == f"s{row['id']}" and (row["is_entry"] or row["row"]["text"] is None) for row in out)
+        assert sum(row["n"] for row in out if row["is_entry"]) == 200
+        assert size < 1 << 20 or sum(row["is_entry"] for row in out) == len({text or "" for text in texts})
