@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewloom.llm.common import keep, tasks
+from reviewloom.llm.common import keep, small, tasks
 
 # Rows of a block: scores of a block stay in a core's cache.
 BLOCK = 4096
@@ -224,6 +224,13 @@ def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     yield from out()
 
 
+def _dealt(blocks: DataFrame, n: int) -> DataFrame:
+    """``blocks`` with ``deal``, 0 to n - 1 in turn.  Only a number for each block meets in one place."""
+    numbered = blocks.withColumn("digest", F.xxhash64("block"))
+    deal = (F.row_number().over(Window.orderBy("digest")) % n).cast("int")
+    return numbered.join(small(keep(numbered.select("digest").withColumn("deal", deal), "deals")), "digest")
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query the ``k`` other rows of largest inner product.
 
@@ -242,12 +249,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     groups = max(1, -(-queries.count() // GROUP))
     n_blocks = candidates.count()
     slices = max(1, -(-n_blocks // SLICE), min(n_blocks, -(-tasks(spark) // groups)))
-    number = F.xxhash64(F.substring("block", 1, 4096))
+    # Blocks are dealt in turn, by the order of their digests, so that slices and groups are equally full.
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = queries.select(F.pmod(number, F.lit(groups)).cast("int").alias("group"), copies(slices).alias("slice"), F.lit(0).alias("part"), "block").unionByName(
-        candidates.select(copies(groups).alias("group"), F.pmod(number, F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("part"), "block")
+    both = _dealt(queries, groups).select(F.col("deal").alias("group"), copies(slices).alias("slice"), F.lit(0).alias("part"), "block").unionByName(
+        _dealt(candidates, slices).select(copies(groups).alias("group"), F.col("deal").alias("slice"), F.lit(1).alias("part"), "block")
     )
-    cells = both.repartition(max(1, min(groups * slices, 4 * tasks(spark))), "group", "slice").sortWithinPartitions("group", "slice", "part")
+    tasks_ = max(1, min(groups * slices, 4 * tasks(spark)))
+    cells = both.repartitionByRange(tasks_, "group", "slice").sortWithinPartitions("group", "slice", "part")
     found = cells.mapInArrow(lambda batches: _cells(batches, k), "query_rk long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_rk").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
