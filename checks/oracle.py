@@ -743,7 +743,7 @@ ORACLE["save_and_snapshot"] = sql(
 
 # Reviews that arrive bit by bit, or whose replies come from a journal, end up like those scored at once.
 ORACLE["score_reviews_journaled"] = ORACLE["score_reviews_waves"] = ORACLE["score_stream"] = ORACLE["score_reviews"]
-ORACLE["writeback_stream"] = ORACLE["writeback_overall"]
+ORACLE["writeback_stream"] = ORACLE["writeback_partitions"] = ORACLE["writeback_overall"]
 
 
 def with_suffix(suffix: str, *ctes: str) -> str:

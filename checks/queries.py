@@ -589,6 +589,18 @@ def writeback_stream(star):
     return writeback.writeback_overall(star, _streamed_scores(star)).select("ReviewID", "ReviewSentimentID")
 
 
+@on_star
+def writeback_partitions(star):
+    """Scores stored into a table partitioned by month: only months with changed reviews are written."""
+    spark, name = star.review.sparkSession, f"review_{uuid.uuid4().hex}"
+    by_month = star.review.withColumn("Month", (F.col("Review_DateID") / 100).cast("int"))
+    tables.save_partitioned(by_month, name, "Month", "ReviewID", buckets=8)
+    tables.update_partitions(spark, name, writeback.scored_ids(star, _overall_scores(star)), "ReviewID", "ReviewSentimentID")
+    result = session.cut_lineage(spark.table(name).select("ReviewID", "ReviewSentimentID"))
+    tables.drop_table(spark, name)
+    return result
+
+
 def _few_flags(star) -> ReviewStar:
     """The star before most flags were made: only the "not discussed" ones exist."""
     return star.replace(phrase_flag=star.phrase_flag.where(F.col("PhraseFlag") == 0))
