@@ -6,6 +6,7 @@ import re
 
 from checks import params as P
 from reviewloom.functions import words as W
+from reviewloom.functions.phrasebook import PhraseBook, cleaned_words
 from reviewloom.operators.batches import QUEUE_ROWS
 
 # ---- pieces ---------------------------------------------------------------
@@ -776,3 +777,51 @@ stored("rating_vs_sentiment", SCORED)
 stored("sentiment_distribution", SCORED)
 stored("rating_mix_by_year", MIX)
 stored("rating_by_sentiment", SCORED)
+
+
+def many_phrases(phrases: list[str]) -> list[str]:
+    """``ManyScored``: the phrases of every text that needs them, found as sequences of cleaned words."""
+    book = PhraseBook(phrases)
+    synonyms = {phrase.lower(): terms for phrase, terms in W.PHRASE_SYNONYMS.items()}
+    terms = ", ".join(
+        f"({number}, '{' '.join(cleaned_words(term))}')"
+        for number, label in enumerate(book.labels)
+        for term in synonyms.get(label.lower(), [label])
+    )
+    labels = ", ".join(f"({number}, '{label.replace(chr(39), chr(39) * 2)}')" for number, label in enumerate(book.labels))
+    return [
+        RUNNING,
+        f"""Listed AS (SELECT * FROM (VALUES {labels}) t(No, Label)),
+Terms AS (SELECT * FROM (VALUES {terms}) t(No, Term)),
+FlaggedPairs AS (SELECT DISTINCT ReviewID, No FROM Bridge JOIN Flags USING (PhraseSentimentFlagID) JOIN Listed ON lower(Label) = lower(Phrase)),
+TextFlags AS (SELECT ReviewText, No, count(*) AS flagged FROM FlaggedPairs JOIN Written USING (ReviewID) GROUP BY ALL),
+Copies AS (SELECT ReviewText, count(*) AS copies FROM Written GROUP BY ReviewText),
+Needed AS (SELECT ReviewText, No, Label FROM Copies CROSS JOIN Listed LEFT JOIN TextFlags USING (ReviewText, No) WHERE coalesce(flagged, 0) < copies),
+Found AS (SELECT ReviewID, ReviewText FROM Running WHERE RunningMax >= {P.MIN_DATE})""",
+        FOUND_CLEAN,
+        OVERALL,
+        """TextScores AS (SELECT DISTINCT ReviewText, concat(' ', regexp_replace(CleanText, ' +', ' ', 'g'), ' ') AS Padded, Sentiment
+    FROM Overall JOIN Written USING (ReviewID)),
+Hits AS (SELECT DISTINCT ReviewText, No FROM TextScores JOIN Terms ON contains(Padded, concat(' ', Term, ' '))),
+ManyScored AS (SELECT ReviewID, Label AS Phrase, CAST(Hits.No IS NOT NULL AS INT) AS PhraseFlag,
+    CASE WHEN Hits.No IS NOT NULL THEN Sentiment ELSE -1 END AS Sentiment
+    FROM Found JOIN Needed USING (ReviewText) JOIN TextScores USING (ReviewText) LEFT JOIN Hits USING (ReviewText, No))""",
+    ]
+
+
+ORACLE["score_many_phrases"] = sql(
+    f"SELECT ReviewID, Phrase, PhraseFlag, CAST({RESCALED} AS DOUBLE) AS Sentiment FROM ManyScored", *many_phrases(P.SOME_PHRASES)
+)
+ORACLE["phrase_coverage"] = sql(
+    f"""SELECT Phrase, count(*) AS Reviews, count(*) FILTER (WHERE PhraseFlag = 1) AS Flagged,
+    CAST(sum(CASE WHEN Sentiment >= 0 THEN {RESCALED} END) AS DOUBLE) AS Total FROM ManyScored GROUP BY Phrase""",
+    *many_phrases(P.MANY_PHRASES),
+)
+ORACLE["writeback_many_phrases"] = sql(
+    f"""SELECT ReviewID, Phrase, PhraseFlag, PhraseSentimentID FROM Bridge LEFT JOIN Flags USING (PhraseSentimentFlagID)
+    UNION ALL (SELECT ReviewID, Phrase, PhraseFlag, PhraseSentimentID FROM (
+        SELECT ReviewID, coalesce((SELECT min(Phrase) FROM Flags WHERE lower(Flags.Phrase) = lower(x.Phrase)), x.Phrase) AS Phrase, PhraseFlag, d.SentimentID AS PhraseSentimentID
+        FROM (SELECT ReviewID, Phrase, PhraseFlag, CASE WHEN PhraseFlag = 0 THEN '-' ELSE {RAW} END AS Raw FROM ManyScored) x {DIM_JOIN})
+    EXCEPT SELECT ReviewID, Phrase, PhraseFlag, PhraseSentimentID FROM Bridge JOIN Flags USING (PhraseSentimentFlagID))""",
+    *many_phrases(P.SOME_PHRASES),
+)

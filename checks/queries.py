@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from checks import params as P
 from reviewloom import schema, session
 from reviewloom.functions import dates, formats, scores, text
+from reviewloom.functions.phrasebook import PhraseBook
 from reviewloom.operators import batches as B
 from reviewloom.operators import duplicates, relational, upserts
-from reviewloom.plans import candidates, dashboard, rollup, scoring, summaries, writeback
+from reviewloom.plans import candidates, dashboard, phrases, rollup, scoring, summaries, writeback
 from reviewloom.sources import tables
 from reviewloom.sources.journal import reply_journal
 from reviewloom.sources.star import ReviewStar, star_from_orders
@@ -491,6 +492,32 @@ def score_reviews_phrase(star):
     return scoring.score_reviews(found, P.PHRASES)
 
 
+def _many_scored(star, names: list[str]) -> DataFrame:
+    book = PhraseBook(names)
+    return phrases.score_phrases(phrases.candidates_phrases(star, book, P.MIN_DATE), book)
+
+
+@on_star
+def score_many_phrases(star):
+    """Flags and scores for several phrases from one run; words of a phrase have to follow each other."""
+    return _many_scored(star, P.SOME_PHRASES)
+
+
+@on_star
+def phrase_coverage(star):
+    """Of 198 phrases, how many reviews were looked at, how many discuss it, and what they say."""
+    score = F.when(F.col("Sentiment") >= -1, F.col("Sentiment"))
+    return _many_scored(star, P.MANY_PHRASES).groupBy("Phrase").agg(
+        F.count("*").alias("Reviews"), F.count_if(F.col("PhraseFlag") == 1).alias("Flagged"), F.sum(score).cast("double").alias("Total"),
+    )
+
+
+@on_star
+def writeback_many_phrases(star):
+    made = phrases.writeback_phrases(star, _many_scored(star, P.SOME_PHRASES))
+    return made.reviews.join(made.flags, "PhraseSentimentFlagID", "left").select("ReviewID", "Phrase", "PhraseFlag", "PhraseSentimentID")
+
+
 @on_star
 def score_reviews_batched(star):
     found = candidates.candidates_overall(star, P.MIN_DATE)
