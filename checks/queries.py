@@ -15,7 +15,7 @@ from reviewloom.functions import dates, formats, scores, text
 from reviewloom.functions.phrasebook import PhraseBook
 from reviewloom.operators import batches as B
 from reviewloom.operators import duplicates, relational, upserts
-from reviewloom.plans import candidates, dashboard, phrases, rollup, scoring, summaries, writeback
+from reviewloom.plans import candidates, dashboard, learned, phrases, rollup, scoring, summaries, writeback
 from reviewloom.sources import tables
 from reviewloom.sources.journal import reply_journal
 from reviewloom.sources.star import ReviewStar, star_from_orders
@@ -492,6 +492,15 @@ def score_reviews_phrase(star):
     return scoring.score_reviews(found, P.PHRASES)
 
 
+@on_star
+def score_learned(star):
+    """Scores of all reviews by a model that learned from those with a score; held-out texts are marked."""
+    scorer = learned.fit(star)
+    held = learned.is_held_out(text.text_key(F.col("ReviewText")))
+    marks = star.review.where(F.col("ReviewText").isNotNull()).select("ReviewID", held.alias("HeldOut"), "ReviewText")
+    return scorer.scores(marks, "ReviewText").drop("ReviewText")
+
+
 def _many_scored(star, names: list[str]) -> DataFrame:
     book = PhraseBook(names)
     return phrases.score_phrases(phrases.candidates_phrases(star, book, P.MIN_DATE), book)
