@@ -732,8 +732,12 @@ ORACLE["summarise_long_texts"] = sql(
     "Src AS (SELECT source, regexp_replace(text, '[.!?\\n]+', ' ', 'g') AS text, doc_id AS rid FROM documents)",
     summary_ctes("S", "Src", "source", "text"),
 )
-ORACLE["row_json"] = """SELECT concat('{"n_nationkey":', n_nationkey, ',"n_name":', to_json(n_name), ',"n_regionkey":', n_regionkey, '}') AS json
-    FROM nation"""
+FIELDS = ", ".join(f"""CASE WHEN {name} IS NOT NULL THEN concat('"{name}":', to_json({name})) END""" for name in ("doc_id", "text", "lang", "source", "n_chars"))
+ORACLE["row_json"] = f"SELECT concat('{{', concat_ws(',', {FIELDS}), '}}') AS json FROM documents"
+ORACLE["nth_group_far"] = sql(
+    """SELECT ReviewID, VenueID, ReviewRating FROM (SELECT *, dense_rank() OVER (ORDER BY ReviewRating NULLS FIRST, VenueID NULLS FIRST) AS place FROM Review)
+    WHERE place = 151"""
+)
 ORACLE["stop_words_csv"] = sql(
     f"""SELECT ReviewID, {clean('ReviewText').replace(quoted(W.stop_words()), quoted(W.stop_words(allowed=P.ALLOWED)))} AS CleanText FROM Review"""
 )

@@ -203,6 +203,12 @@ def nth_group(star):
     return relational.nth_group(summaries.region_inputs(star), ["OperatorID", "RegionID"], 2)
 
 
+@on_star
+def nth_group_far(star):
+    """A group far from the first one; some keys have nulls."""
+    return relational.nth_group(star.review, ["ReviewRating", "VenueID"], 150).select("ReviewID", "VenueID", "ReviewRating")
+
+
 # ---- text and duplicates --------------------------------------------------
 
 @on_star
@@ -915,7 +921,7 @@ def summarise_long_texts(table):
 
 @on_tables
 def row_json(table):
-    return tables.row_json(table("nation"))
+    return tables.row_json(table("documents"))
 
 
 @on_star

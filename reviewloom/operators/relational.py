@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import text_key
+from reviewloom.operators.numbering import numbered_rows
 from reviewloom.session import checked_broadcast, cut_lineage
 from reviewloom.sources.star import ReviewStar
 
@@ -137,10 +140,12 @@ def key_of(dimension: DataFrame, column: str, value: str, key: str) -> Column:
 
 
 def nth_group(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """All rows of the n-th distinct key, counted from 0 in key order.
+    """All rows of the n-th distinct key, counted from 0 in key order, nulls first.
 
-    The key is found by a top-k over distinct keys: n + 1 keys meet in one place, so n is
-    for counting groups by hand.  One row comes back, which makes the broadcast safe.
+    The distinct keys are numbered by sorted ranges, whose sizes alone meet in one place, so any
+    ``n`` costs the same.  One key comes back, which makes the broadcast safe.
     """
-    nth = rows.select(*keys).distinct().orderBy(*keys).offset(n).limit(1)
-    return rows.join(F.broadcast(nth), keys, "left_semi")
+    numbered = numbered_rows(rows.select(*keys).distinct(), keys)
+    nth = numbered.where(F.col("_number") == n).select(*[F.col(key).alias(f"_{key}") for key in keys])
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+    return rows.join(F.broadcast(nth), same, "left_semi")

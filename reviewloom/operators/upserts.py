@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import text_key
+from reviewloom.operators.numbering import numbered_rows
 from reviewloom.operators.relational import listed_once
 from reviewloom.session import cut_lineage
 
+
 def with_surrogate_keys(
     fresh: DataFrame, existing: DataFrame, id_column: str, order: list[str], few: bool = False,
     keep: Callable[[DataFrame], DataFrame] = cut_lineage,
@@ -20,30 +22,15 @@ def with_surrogate_keys(
     """Number new rows on from the largest key there is, in the order of ``order``.
 
     Numbering all rows in one go would take one task, which suits a handful only
-    (``few``).  Otherwise rows are dealt to sorted ranges of ``order``, of any type, nulls
-    first, and written once with the number of their range and their place in it, as the bounds of
-    ranges are sampled.  Only the ranges' sizes, one number each, meet in one place.
+    (``few``); otherwise sorted ranges are numbered (:func:`numbered_rows`).
     """
     last = F.coalesce(existing.agg(F.max(id_column)).scalar(), F.lit(0))
     kind = existing.schema[id_column].dataType
     if few:
         place = F.row_number().over(Window.orderBy(*order))
         return fresh.withColumn(id_column, (last + place).cast(kind))
-    # Range and place in one number: the upper 31 bits count tasks, the lower 33 the rows of a task.
-    ranged = keep(fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy(F.shiftright("_at", 33).alias("_range"))
-        .agg(F.count("*").alias("_size"))
-        .select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    )
-    place = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return (
-        ranged.withColumn("_range", F.shiftright("_at", 33))
-        .join(F.broadcast(starts), "_range")
-        .withColumn(id_column, (last + F.col("_start") + place).cast(kind))
-        .drop("_range", "_at", "_start")
-    )
+    numbered = numbered_rows(fresh, order, keep)
+    return numbered.withColumn(id_column, (last + F.col("_number") + 1).cast(kind)).drop("_number")
 
 
 def absent_rows(
