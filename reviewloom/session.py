@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,27 +57,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/reviewloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for owned in _OWNERS[-1:]:
-        owned.append(path)
+    own(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Paths written under each open ``kept_results``, the innermost last.
-_OWNERS: list[list[str]] = []
+# Paths written under the innermost open ``kept_results`` of this thread.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+def own(path: str) -> None:
+    """Have ``path`` deleted with the other results of the open ``kept_results``, if there is one."""
+    paths = _OWNED.get()
+    if paths is not None:
+        paths.append(path)
 
 
 @contextmanager
 def kept_results(spark: SparkSession) -> Iterator[None]:
-    """Own what is written by ``cut_lineage`` inside, and delete it at the end.
+    """Own what this thread writes by ``cut_lineage`` inside, and delete it at the end.
 
     Plans that need their intermediate results more than once write them while they are
-    built; their DataFrames are good until the block ends.
+    built; their DataFrames are good until the block ends.  Other threads own their results themselves.
     """
-    _OWNERS.append([])
+    token = _OWNED.set([])
     try:
         yield
     finally:
-        for name in _OWNERS.pop():
+        paths = _OWNED.get()
+        _OWNED.reset(token)
+        for name in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -267,6 +268,28 @@ def test_kept_results_are_deleted_with_their_owner(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
+def test_threads_own_their_results_apart(spark):
+    """One thread's block ends while another's is open."""
+    paths = {}
+    ends = {"a": threading.Event(), "b": threading.Event()}
+
+    def work(name, first, then):
+        with session.kept_results(spark):
+            paths[name] = session.cut_lineage(spark.range(2)).inputFiles()[0].removeprefix("file:")
+            first.set()
+            then.wait(60)
+
+    done = threading.Event()
+    threads = [threading.Thread(target=work, args=("a", ends["a"], ends["b"])), threading.Thread(target=work, args=("b", ends["b"], done))]
+    for thread in threads:
+        thread.start()
+    threads[0].join(120)
+    assert not os.path.exists(paths["a"]) and os.path.exists(paths["b"])
+    done.set()
+    threads[1].join(120)
+    assert not os.path.exists(paths["b"])
+
+
 def test_broadcasts_of_dimensions_are_checked(spark):
     assert session.checked_broadcast(spark.range(5), 5).count() == 5
     with pytest.raises(Exception, match="too many rows"):
