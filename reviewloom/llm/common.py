@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.session import checkpoint_dir
+from reviewloom.session import checkpoint_dir, own
 
 # Rows of a side that may be broadcast: narrow rows, so under 50 MB.
 BROADCAST_ROWS = 300_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below ``spark.checkpoint.dir`` that nothing uses yet."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below ``spark.checkpoint.dir`` that nothing uses yet; an open ``kept_results`` owns it."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own(path)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
