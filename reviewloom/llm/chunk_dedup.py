@@ -3,14 +3,15 @@
 A gear hash, in which each byte shifts the hash by one bit and adds a random number of its own,
 rolls over the bytes of a text; where its highest bits are zero, a chunk ends.  The hash
 knows the last 32 bytes only, so what is inserted into a passage moves the cuts near it and no
-others.  Of equal chunks, by a digest of 128 bits, the first stays: that of the smallest id, then
-of the smallest place.  Runs of repeated chunks that are shorter than ``min_run`` bytes stay as
-well, so that single short chunks, equal by chance, don't tear holes into texts.  Chunks have 22
+others.  Single short chunks are equal by chance, so from every chunk on as many as make up ``min_run``
+bytes are taken together, and have one digest of 128 bits.  Of equal runs the first stays: that of the smallest id,
+then of the smallest place; the bytes of all others go.  So every byte that goes is part of ``min_run``
+bytes or more that stand together elsewhere.  Chunks have 22
 bytes on average, so that about one is lost at either end of a passage, and what is left of 51 words is
 nearly always a run that goes (the README has the recall).
 
-Defined cases: a null text is empty; chunks have at least ``MIN`` bytes (but for a text's last) and at
-most ``MAX``; texts with equal ids are told apart by row; a null id comes last; an empty
+Defined cases: a null text is empty; what is left of a text after its last whole run belongs to no run of its own; chunks
+have at least ``MIN`` bytes (but for a text's last) and at most ``MAX``; texts with equal ids are told apart by row; a null id comes last; an empty
 table gives an empty result; other columns don't matter.
 """
 
@@ -31,7 +32,8 @@ from reviewloom.llm.shingles import mix
 MIN, MAX = 8, 1024
 # So many highest bits are zero at a cut: one place in 16.
 CUT_BITS = 4
-MIN_RUN = 64
+# Bytes that have to stand together elsewhere: lines and turns of phrase of fewer are left alone.
+MIN_RUN = 96
 PIECE = 1 << 22
 
 
@@ -79,23 +81,33 @@ def chunk_ends(body: bytes) -> list[int]:
     return ends
 
 
-def chunks(texts: DataFrame) -> DataFrame:
-    """``rk, id, lo, hi, d1, d2`` of every chunk."""
+def runs(ends: list[int], min_run: int) -> Iterator[tuple[int, int]]:
+    """From each chunk on, the fewest chunks that have ``min_run`` bytes; none where too few bytes are left."""
+    last = 0
+    for lo in [0, *ends[:-1]]:
+        while last < len(ends) and ends[last] - lo < min_run:
+            last += 1
+        if last == len(ends):
+            return
+        yield lo, ends[last]
+
+
+def chunk_runs(texts: DataFrame, min_run: int) -> DataFrame:
+    """``rk, id, lo, hi, d1, d2`` of the run that each chunk begins."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, lows, highs, first, second = [], [], [], [], []
             for i, value in enumerate(batch.column("body")):
-                body, lo = value.as_py(), 0
-                for hi in chunk_ends(body):
+                body = value.as_py()
+                for lo, hi in runs(chunk_ends(body), min_run):
                     d1, d2 = blake(body[lo:hi])
                     row.append(i)
                     lows.append(lo)
                     highs.append(hi)
                     first.append(d1)
                     second.append(d2)
-                    lo = hi
                 if len(row) > 200_000:
                     yield lines(batch, row, lows, highs, first, second)
                     row, lows, highs, first, second = [], [], [], [], []
@@ -111,9 +123,9 @@ def chunks(texts: DataFrame) -> DataFrame:
     return texts.select("rk", "id", "body").mapInArrow(split, f"rk long, id {kind}, lo int, hi int, d1 long, d2 long")
 
 
-def repeated_chunks(texts: DataFrame) -> DataFrame:
-    """``rk, lo, hi`` of every chunk that is not the first of its digest."""
-    again = keep(occurring_twice(chunks(texts), "d1").drop("n"), "chunks")
+def repeated_runs(texts: DataFrame, min_run: int) -> DataFrame:
+    """``rk, lo, hi`` of every run that is not the first of its digest."""
+    again = keep(occurring_twice(chunk_runs(texts, min_run), "d1").drop("n"), "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "lo")
     first = keep(again.groupBy("d1", "d2").agg(F.min(place).alias("first")).select("d1", "d2", "first.rk", "first.lo"), "first").toDF("d1", "d2", "first_rk", "first_lo")
     same = (F.col("first_rk") == F.col("rk")) & (F.col("first_lo") == F.col("lo"))
@@ -123,7 +135,5 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the bytes that remain (kept)."""
     texts = numbered(docs, id_col, text_col)
-    spans = merged(repeated_chunks(texts))
-    long = F.filter("spans", lambda span: span["hi"] - span["lo"] >= min_run)
-    spans = keep(spans.select("rk", long.alias("spans")).where(F.size("spans") > 0), "spans")
+    spans = merged(repeated_runs(texts, min_run))
     return cut_spans(with_spans(texts, spans)).withColumnRenamed("id", id_col)

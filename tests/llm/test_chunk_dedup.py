@@ -37,27 +37,40 @@ def test_chunks_cover_texts_and_survive_insertions(monkeypatch):
 
 
 def brute(rows, min_run=C.MIN_RUN):
-    """Sizes of what remains, with chunks kept by (id, place) of their first occurrence."""
+    """Sizes of what remains, with runs kept by (id, place) of their first occurrence."""
     first, cut = {}, {}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
     for i in order:
         body = (rows[i][1] or "").encode()
-        lo, spans = 0, []
-        for hi in C.chunk_ends(body):
-            if first.setdefault(body[lo:hi], (i, lo)) != (i, lo):
-                if spans and spans[-1][1] == lo:
-                    spans[-1][1] = hi
-                else:
-                    spans.append([lo, hi])
-            lo = hi
-        spans = [span for span in spans if span[1] - span[0] >= min_run]
-        rest, at = b"", 0
-        for a, b in spans:
-            rest, at = rest + body[at:a], b
-        cut[i] = (len(body), len(body) - len(rest + body[at:]), len(spans), rest + body[at:])
+        gone = bytearray(len(body))
+        ends = C.chunk_ends(body)
+        for lo in [0, *ends[:-1]]:
+            hi = next((end for end in ends if end - lo >= min_run), None)
+            if hi is not None and first.setdefault(body[lo:hi], (i, lo)) != (i, lo):
+                gone[lo:hi] = b"x" * (hi - lo)
+        rest = bytes(byte for byte, out in zip(body, gone, strict=True) if not out)
+        spans = sum(bool(out) and (k == 0 or not gone[k - 1]) for k, out in enumerate(gone))
+        cut[i] = (len(body), len(body) - len(rest), spans, rest)
     return sorted(((rows[i][0], *cut[i]) for i in cut), key=repr)
 
 
+def test_what_goes_stands_together_elsewhere():
+    """Single chunks that repeat in different places are not put together to a run."""
+    pieces = [prose(300 + k, 5)[:30] for k in range(40)]
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample(pieces, 12)) for _ in range(60)]
+    copied = prose(7, 60)
+    texts += [f"{prose(401, 30)} {copied} {prose(402, 30)}", f"{prose(403, 30)} {copied} {prose(404, 30)}"]
+    bodies = [text.encode() for text in texts]
+    first = {}
+    for i, body in enumerate(bodies):
+        for lo, hi in C.runs(C.chunk_ends(body), C.MIN_RUN):
+            assert hi - lo >= C.MIN_RUN
+            if first.setdefault(body[lo:hi], i) != i:
+                assert body[lo:hi] in bodies[first[body[lo:hi]]] and i == 61
+    assert not list(C.runs([], 10)) and not list(C.runs([9], 10)) and list(C.runs([9, 10], 10)) == [(0, 10)]
+
+
 def test_passages_go_and_clean_texts_stay(documents):
     passage = prose(9, 60)
     rows = [(i, f"{prose(100 + i, 80)} {passage} {prose(200 + i, 50)}" if i % 3 == 0 else prose(100 + i, 120)) for i in range(30)]
