@@ -38,6 +38,8 @@ from reviewloom.llm.common import keep, new_folder, small
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 18
+# Bytes of payloads that a task reads back before it passes them on, unless one alone has more.
+READ_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -230,6 +232,19 @@ INDEX_ARROW = pa.schema([
 ])
 
 
+def _payload(source, path: str, offset: int, length: int) -> bytes | None:
+    """The payload of one record; None for a revisit."""
+    source.seek(offset)
+    record = zlib.decompress(source.read(length), 31)
+    end = record.index(b"\r\n\r\n")
+    head = parse_headers(record[:end])
+    block = record[end + 4 : end + 4 + int(head["content-length"])]
+    payload = block[block.index(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
+    if payload is not None and hashlib.sha256(payload).hexdigest() != head["warc-payload-digest"].removeprefix("sha256:"):
+        raise ValueError(f"{path} at {offset}: the payload differs from its digest")
+    return payload
+
+
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of index lines, each read by itself: its line and its payload.
 
@@ -241,20 +256,23 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         store, _ = fs.FileSystem.from_uri(folder)
         opened, source = None, None
         for batch in batches:
-            payloads = []
+            payloads, size, start = [], 0, 0
+            names = [*batch.schema.names, "payload"]
             for path, offset, length in zip(*(batch.column(name).to_pylist() for name in ("path", "offset", "length")), strict=True):
                 if path != opened:
+                    if source is not None:
+                        source.close()
                     opened, source = path, store.open_input_file(path)
-                source.seek(offset)
-                record = zlib.decompress(source.read(length), 31)
-                end = record.index(b"\r\n\r\n")
-                head = parse_headers(record[:end])
-                block = record[end + 4 : end + 4 + int(head["content-length"])]
-                payload = block[block.index(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
-                if payload is not None and hashlib.sha256(payload).hexdigest() != head["warc-payload-digest"].removeprefix("sha256:"):
-                    raise ValueError(f"{path} at {offset}: the payload differs from its digest")
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "payload"])
+                payloads.append(_payload(source, path, offset, length))
+                size += len(payloads[-1] or b"")
+                if size > READ_BYTES:  # a batch of lines may stand for any number of bytes
+                    lines = batch.slice(start, len(payloads))
+                    yield pa.RecordBatch.from_arrays([*lines.columns, pa.array(payloads, pa.binary())], names=names)
+                    start, payloads, size = start + len(payloads), [], 0
+            lines = batch.slice(start, len(payloads))
+            yield pa.RecordBatch.from_arrays([*lines.columns, pa.array(payloads, pa.binary())], names=names)
+        if source is not None:
+            source.close()
 
     return index.mapInArrow(read, INDEX + ", payload binary")
 

@@ -86,3 +86,13 @@ def test_no_pages_and_nulls_only(spark):
     assert warc.archive_pages(pages(spark, [])).collect() == []
     rows = [(None, None, LONG), (None, None, LONG)]
     assert [r.record_type for r in warc.archive_pages(pages(spark, rows)).collect()] == ["response", "response"]
+
+
+def test_large_pages_are_passed_on_in_parts(spark):
+    bodies = {i: f"{i % 40} " * 300_000 if i < 50 else "small" for i in range(60)}
+    found = warc.archive_pages(pages(spark, [(i, f"http://a/{i}", body) for i, body in bodies.items()]).coalesce(1)).collect()
+    assert len(found) == 60
+    for row in found:
+        page = int(row.page)
+        assert (row.record_type, row.refers_to) == (("revisit", str(page - 40)) if 40 <= page < 50 else ("response", None))
+        assert row.payload is None or bytes(row.payload) == bodies[page].encode()
