@@ -45,7 +45,9 @@ REGISTERS = 480
 SIMILARITY = 0.8
 # Estimate from which on two texts are compared: four standard deviations below 0.8.
 AGREE = 0.72
-CHUNK = 512
+# Rows outside a bucket's largest component that one cell compares with rows of any; rows of a task, about.
+CHUNK, WIDE = 8192, 32_768
+TASK_ROWS = 50_000
 # Comparisons for each two components of a chunk, round by round; last, all.
 TRIES = (4, None)
 PORTION = 400_000
@@ -170,21 +172,21 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _unlinked(batches: Iterator[pa.RecordBatch], tries: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in runs of rows of one bucket and pair of chunks.
+    """Pairs of different components in runs of rows of one cell.
 
-    A pair counts in the first bucket that its texts share.
+    A pair counts in the first bucket that its texts share, and once where both are outside the largest component.
     """
     held = None
 
-    def pairs(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rid, component, chunk = (np.asarray(rows.column(name)) for name in ("rid", "component", "chunk"))
-        first, second, band = (rows.column(name)[0].as_py() for name in ("i", "j", "band"))
+    def pairs(rows: pa.RecordBatch | pa.Table) -> list[tuple[int, int]]:
+        rid, component, left, outside = (np.asarray(rows.column(name)) for name in ("rid", "component", "left", "outside"))
+        band = rows.column("band")[0].as_py()
         found = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         keys = np.ascontiguousarray(found[:, :KEY_BYTES]).view(np.uint32)
-        left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
+        right = np.flatnonzero(~left)
         a, b = [], []
-        for i in left:
-            others = right[(component[right] != component[i]) & ((rid[right] > rid[i]) | (first != second))]
+        for i in np.flatnonzero(left):
+            others = right[(component[right] != component[i]) & (~outside[right] | (rid[right] > rid[i]))]
             others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
             agree = estimates(found[i], found[others])
             near = agree >= AGREE
@@ -217,22 +219,46 @@ def _unlinked(batches: Iterator[pa.RecordBatch], tries: int | None) -> Iterator[
         yield out(pairs(held))
 
 
-def open_pairs(shared: DataFrame, reps: DataFrame, reached: DataFrame, tries: int | None) -> DataFrame:
-    """Pairs of different components that share a bucket and agree well enough."""
-    spark = shared.sparkSession
+def cell_rows(shared: DataFrame, reps: DataFrame, reached: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of all cells, and how many there are: what has to be compared in buckets of several components.
+
+    Rows of a bucket's largest component are compared with those outside it only.  So these, in chunks
+    of ``CHUNK``, meet all rows of the bucket, in chunks of ``WIDE``, each pair of chunks in a cell of its own.
+    """
     labelled = shared.select("key", "band", "n", "rid").join(reached.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
         "component", F.coalesce("component", "rid")
     )
-    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", (-F.col("component")).alias("minus")))
+    several = sizes.groupBy("key").agg(largest.alias("largest"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    parts = lambda n, size: F.ceil(n / size).cast("int")
+    cut = several.select(
+        "key", (-F.col("largest.minus")).alias("main"),
+        parts(F.col("all") - F.col("largest.n"), CHUNK).alias("chunks"), parts(F.col("all"), WIDE).alias("wides"),
+        (F.col("all") - F.col("largest.n")).alias("outsiders"), "all",
+    )
+    cut = keep(cut, "several")
+    total = cut.agg(F.coalesce(F.sum(F.col("all") * F.col("chunks") + F.col("outsiders") * F.col("wides")), F.lit(0))).head()[0]
+    outside = F.col("component") != F.col("main")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    chunk, wide = F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rid"), F.col("wides")).cast("int")
+    as_right = F.transform(every(F.col("chunks")), lambda i: F.struct(i.alias("i"), wide.alias("j"), F.lit(False).alias("left")))
+    as_left = F.transform(every(F.col("wides")), lambda j: F.struct(chunk.alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    places = F.when(outside, F.concat(as_left, as_right)).otherwise(as_right)
     rows = (
-        labelled.join(keep(several, "several"), "key").join(reps.select("rid", "signature"), "rid")
-        .withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rid", "component", "signature")
-        .repartition(tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
+        labelled.join(cut, "key").join(reps.select("rid", "signature"), "rid")
+        .select("key", "band", "rid", "component", outside.alias("outside"), "signature", F.explode(places).alias("at"))
+        .select("key", "band", "at.i", "at.j", "at.left", "rid", "component", "outside", "signature")
     )
-    return rows.mapInArrow(lambda batches: _unlinked(batches, tries), "a long, b long").distinct()
+    return rows, total
+
+
+def open_pairs(shared: DataFrame, reps: DataFrame, reached: DataFrame, tries: int | None) -> DataFrame:
+    """Pairs of different components that share a bucket and agree well enough."""
+    rows, total = cell_rows(shared, reps, reached)
+    n = max(tasks(shared.sparkSession), -(-total // TASK_ROWS))
+    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rid", "left")
+    return dealt.mapInArrow(lambda batches: _unlinked(batches, tries), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom.llm import minhash
 from reviewloom.llm.components import components
@@ -63,6 +64,7 @@ def test_classes(documents):
 def test_a_large_group_in_small_chunks(documents, monkeypatch):
     """Members are compared chunk by chunk; the result doesn't depend on it."""
     monkeypatch.setattr(minhash, "CHUNK", 4)
+    monkeypatch.setattr(minhash, "WIDE", 7)
     rows = list(enumerate(near_copies(2, 1, 90, edits=14)))
     assert classes(documents(rows)) == brute(rows)
 
@@ -144,3 +146,20 @@ def test_registers_do_not_weigh_repeats():
     short = np.array([list(line) for line in next(minhash._sketch(iter([batch]))).column("signature").to_pylist()], np.uint8)
     want = jaccard(*(np.unique(shingles(text)) for text in texts))
     assert want > 0.95 and abs(minhash.estimates(short[0], short[1:])[0] - want) < 0.05
+
+
+@pytest.mark.parametrize("outside", [1, 700, 50_000])
+def test_rows_of_a_hot_bucket(spark, outside):
+    """100,000 texts of two components in one bucket: what is compared stays below a million rows."""
+    ids = spark.range(0, 100_000, numPartitions=4)
+    shared = ids.selectExpr("7L AS key", "0 AS band", "100000L AS n", "id AS rid")
+    reps = ids.selectExpr("id AS rid", "CAST('' AS binary) AS signature")
+    reached = ids.selectExpr("id", f"CASE WHEN id < {outside} THEN 0L ELSE {outside}L END AS component")
+    rows, total = minhash.cell_rows(shared, reps, reached)
+    assert rows.count() == total < 1_000_000
+    # Every row outside the largest component meets every row.
+    cells = rows.groupBy("i", "j").agg(F.count_if("left").alias("x"), F.count_if(~F.col("left")).alias("y")).collect()
+    assert sum(cell.x * cell.y for cell in cells) == outside * 100_000
+    assert max(cell.x for cell in cells) < 2 * minhash.CHUNK and max(cell.y for cell in cells) < 2 * minhash.WIDE
+    one = reached.withColumn("component", F.lit(0).cast("long"))
+    assert minhash.cell_rows(shared, reps, one)[1] == 0
