@@ -20,6 +20,9 @@ TABLES = (
 
 
 def local_spark(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
+    # Python workers import the package, wherever they are started.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(partitions))

@@ -404,7 +404,7 @@ def venue_level(
         F.lit(0).alias("RegionSummaryID"),
         F.lit(0).alias("OperatorSummaryID"),
     )
-    return Level(_staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID", keep), rejects, metrics)
+    return Level(_staged(star.summary_venue, rows, ["VenueID", "DateRangeID"], "VenueSummaryID"), rejects, metrics)
 
 
 def stage_venues(
@@ -413,16 +413,16 @@ def stage_venues(
     return venue_level(star, start, end, summarise, keep).table
 
 
-def _staged(table: DataFrame, rows: DataFrame, keys: list[str], id_column: str, keep: Keep) -> DataFrame:
-    """The table with new rows; the rows are kept with their ids."""
-    return table.unionByName(keep(absent_rows(table, rows, keys, id_column)))
+def _staged(table: DataFrame, rows: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """The table with new rows, which numbering has written."""
+    return table.unionByName(absent_rows(table, rows, keys, id_column))
 
 
 def operator_level(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> Level:
     keys = ["OperatorID", "DateRangeID"]
     inputs = keep(operator_inputs(star))
     judged, rejects, metrics = _judged("Operator", summarise(inputs, keys, "VenueSummary", "Operator"), inputs, keys, keep)
-    return Level(_staged(star.summary_operator, _renamed(judged, "Operator"), keys, "OperatorSummaryID", keep), rejects, metrics)
+    return Level(_staged(star.summary_operator, _renamed(judged, "Operator"), keys, "OperatorSummaryID"), rejects, metrics)
 
 
 def stage_operators(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
@@ -441,7 +441,7 @@ def region_level(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_l
     )
     both = known.unionByName(dashes, allowMissingColumns=True)
     judged, rejects, metrics = _judged("Region", both, inputs, keys, keep)
-    return Level(_staged(star.summary_region, _renamed(judged, "Region"), keys, "RegionSummaryID", keep), rejects, metrics)
+    return Level(_staged(star.summary_region, _renamed(judged, "Region"), keys, "RegionSummaryID"), rejects, metrics)
 
 
 def stage_regions(star: ReviewStar, summarise=summarise_group, keep: Keep = cut_lineage) -> DataFrame:
