@@ -23,6 +23,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +198,10 @@ def features(candidate: str, before: str, after: str, path: str, pairs: np.ndarr
 
 
 def find_candidates(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``id, lo, hi, candidate, before, after, path, features`` of every candidate."""
+    """``id, text_hash, lo, hi, candidate, before, after, path, features`` of every candidate.
+
+    ``text_hash`` tells texts apart that have one id, or none.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((pair_logs(docs, text_col), dictionary(rank_path)))  # bounded by the vocabulary
     kind = docs.schema[id_col].dataType.simpleString()
@@ -215,15 +220,16 @@ def find_candidates(docs: DataFrame, rank_path: str, id_col: str = "doc_id", tex
             columns = list(zip(*lines, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "lo", "hi", "candidate", "before", "after", "path", "features"],
+                [*(batch.column(name).take(pa.array(rows, pa.int64())) for name in ("id", "text_hash")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", "text_hash", "lo", "hi", "candidate", "before", "after", "path", "features"],
             )
 
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{path_col}`").cast("string").alias("path")
+        F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"),
+        F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{path_col}`").cast("string").alias("path"),
     )
     return keep(
-        rows.mapInArrow(scan, f"id {kind}, lo long, hi long, candidate string, before string, after string, path string, features array<double>"),
+        rows.mapInArrow(scan, f"id {kind}, text_hash long, lo long, hi long, candidate string, before string, after string, path string, features array<double>"),
         "candidates",
     )
 
@@ -233,9 +239,16 @@ def find_candidates(docs: DataFrame, rank_path: str, id_col: str = "doc_id", tex
 def judge(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Candidates with ``score`` and ``is_secret``.
 
-    ``labels`` has id, lo and label (1 for a secret, 0 for a false positive).
+    ``labels`` has id, lo and label (1 for a secret, 0 for a false positive), and text_hash, if ids repeat or are null
+    and their labels shall go to one text only.  A null id is one like others.  Labels that contradict each other,
+    and null ones, count for nothing; a label that is given twice counts once.  A table without labels calls all
+    candidates secrets; one with labels of one kind calls all that.
     """
-    known = found.join(labels.select("id", "lo", F.col("label").cast("double").alias("label")).where("label IS NOT NULL").distinct(), ["id", "lo"])
+    keys = ["id", "lo", *(["text_hash"] if "text_hash" in labels.columns else [])]
+    agreed = labels.groupBy(*keys).agg(F.min("label").cast("double").alias("label"), F.max("label").cast("double").alias("most")).where("label = most")
+    given = agreed.select(*(F.col(key).alias(f"_{key}") for key in keys), "label")
+    same = reduce(and_, (F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys))
+    known = found.join(given, same).drop(*(f"_{key}" for key in keys))
     sizes = {line["label"]: line["count"] for line in known.groupBy("label").count().collect()}  # two lines
     if not sizes:
         return found.withColumn("score", F.lit(None).cast("double")).withColumn("is_secret", F.lit(True))
@@ -265,12 +278,14 @@ def rule_labels(found: DataFrame) -> DataFrame:
     secret = (at["secret_word"] > 0) & (at["assigned"] > 0) & (at["address"] == 0) & (at["example_word"] == 0)
     secret &= at["entropy"] >= F.least(F.lit(3.0), 0.75 * F.log2(at["length"]))
     secret &= (at["coverage"] < 0.8) | (at["digits"] > 0)
-    return found.select("id", "lo", F.when(secret, 1).otherwise(0).alias("label"))
+    return found.select("id", "text_hash", "lo", F.when(secret, 1).otherwise(0).alias("label"))
 
 
 def redact(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of its text replaced; rows of equal id are taken to share their text."""
-    spans = judged.where("is_secret").groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_spans"))
+    """``docs`` with every secret of its text replaced; a null id is one like others, and texts of one id are told apart."""
+    spans = judged.where("is_secret").groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_spans")
+    )
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -281,6 +296,7 @@ def redact(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col:
             out.append(text)
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("_id"), "left")
+    text_hash = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    joined = docs.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left")
     columns = [cut(F.col(f"`{text_col}`"), F.col("_spans")).alias(name) if name == text_col else F.col(f"`{name}`") for name in docs.columns]
     return joined.select(*columns)

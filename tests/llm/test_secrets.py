@@ -90,3 +90,34 @@ def test_rule_leaves_words_and_the_forest_keeps_short_secrets(spark, documents):
     signs = "abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789!#$%~"
     data = [(i, f'password: "{"".join(rng.choice(signs) for _ in range(10))}"' if i % 2 else f"the key: {rng.choice(['understanding', 'important', 'something', 'education'])} of it") for i in range(200)]
     assert {(row.id % 2, row.is_secret) for row in judged(documents(data)).collect()} == {(0, False), (1, True)}
+
+
+def test_ids_that_are_null_or_repeat(spark, documents):
+    """Secrets of rows without an id go, and texts of one id keep to their own findings and labels."""
+    value = "0123456789abcdef0123"
+    data = [(None, f'a token = "{value}" b'), (None, f"see {value} of nothing"), (7, f'the key: "{value}"!'), (7, "no secret here at all"), (7, f'zz {value}')]
+    df = documents(data)
+    found = secrets.find_candidates(df, RANKS).cache()
+    out = sorted(row.text for row in secrets.redact(df, found.selectExpr("*", "true AS is_secret")).collect())
+    assert out == sorted(text.replace(value, "[SECRET]") for _, text in data)
+
+    labels = secrets.rule_labels(found)
+    assert labels.count() == found.count() == 4
+    twice = labels.unionByName(labels)
+    result = {(row.id, row.before): (row.score is not None, row.is_secret) for row in secrets.judge(found, twice).collect()}
+    assert len(result) == 4
+    # Labels by id and place only: those of one place that contradict each other are left out.
+    torn = spark.createDataFrame([(7, 10, 1), (7, 10, 0), (None, None, 1)], "id long, lo long, label int")
+    assert {(row.score, row.is_secret) for row in secrets.judge(found, torn).collect()} == {(None, True)}
+
+
+def test_scores_agree_with_labels_by_hand(spark, documents):
+    """Precision and recall on rows that the forest has no labels of."""
+    data = rows(300)
+    df = documents(data)
+    found = secrets.find_candidates(df, RANKS).cache()
+    truth = {i: kind == "secret" for i, _, kind, _ in data}
+    hand = spark.createDataFrame([(row.id, row.lo, int(truth[row.id])) for row in found.collect() if row.id < 150], "id long, lo long, label int")
+    judged_rows = [(truth[row.id], row.is_secret) for row in secrets.judge(found, hand).collect() if row.id >= 150]
+    right = sum(a and b for a, b in judged_rows)
+    assert right / max(1, sum(b for _, b in judged_rows)) >= 0.95 and right / max(1, sum(a for a, _ in judged_rows)) >= 0.95
