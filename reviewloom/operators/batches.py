@@ -72,42 +72,48 @@ def group_json(
     )
 
 
-def parse_reply(reply: Column, item: T.StructType) -> Column:
-    """Records under the first root key of a reply; null if there are none."""
-    parsed = F.from_json(reply, schema.reply_type(item), {"mode": "PERMISSIVE"})
-    return F.get(F.map_values(parsed), F.lit(0))
+def reply_records(reply: Column) -> Column:
+    """The records under the first root key of a reply, as array<variant>; null if there are none.
+
+    This is the only time that a reply is parsed: types and keys are read off the variants.  JSON that
+    names a key of an object twice is no reply.
+    """
+    roots = F.from_json(reply, T.MapType(T.StringType(), T.VariantType()))
+    return F.try_variant_get(F.get(F.map_values(roots), F.lit(0)), "$", "array<variant>")
+
+
+# What a value has to be in the JSON to be read as this type: a number in quotes is no score, but may be an id.
+_JSON_KINDS = {T.DoubleType: "BIGINT|DOUBLE|FLOAT|DECIMAL", T.DecimalType: "BIGINT|DOUBLE|FLOAT|DECIMAL|STRING", T.StringType: "."}
+
+
+def typed_records(records: Column, item: T.StructType) -> Column:
+    """The records with the fields of ``item``; null where a field is missing or of another kind."""
+
+    def value(record: Column, field: T.StructField) -> Column:
+        found = F.try_variant_get(record, f"$.{field.name}", "variant")
+        fits = F.schema_of_variant(found).rlike(f"^({_JSON_KINDS[type(field.dataType)]})")
+        return F.when(fits, F.try_variant_get(found, "$", field.dataType.simpleString())).alias(field.name)
+
+    return F.transform(records, lambda record: F.struct(*[value(record, field) for field in item]))
 
 
 def parse_scores(replies: DataFrame, reply: str, item: T.StructType) -> DataFrame:
     """One row for every record of every reply, with the other columns kept."""
     others = [name for name in replies.columns if name != reply]
-    return replies.withColumn("_items", parse_reply(F.col(reply), item)).select(
+    return replies.withColumn("_items", typed_records(reply_records(F.col(reply)), item)).select(
         *others, F.inline("_items")
     )
 
 
-def _keys_are(item_json: Column, names: list[str]) -> Column:
-    """The object has these keys and no others."""
-    keys = F.json_object_keys(item_json)
-    return F.coalesce(
-        (F.size(keys) == len(names)) & (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0),
-        F.lit(False),
-    )
-
+def strict_keys(records: Column, item: T.StructType) -> Column:
+    """No record misses a key or brings one of its own."""
+    names = F.array(*map(F.lit, item.fieldNames()))
 
-def strict_keys(reply: Column, item: T.StructType) -> Column:
-    """No record of the reply misses a key or brings one of its own.
+    def exact(record: Column) -> Column:
+        keys = F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))
+        return F.coalesce((F.size(keys) == F.size(names)) & (F.size(F.array_except(keys, names)) == 0), F.lit(False))
 
-    Reading with a schema skips keys it does not know, so they are looked at in
-    the records' own JSON.
-    """
-    raw = F.get(
-        F.map_values(F.from_json(reply, T.MapType(T.StringType(), T.ArrayType(T.StringType())))),
-        F.lit(0),
-    )
-    return F.coalesce(
-        F.forall(raw, lambda record: _keys_are(record, item.fieldNames())), F.lit(False)
-    )
+    return F.coalesce(F.forall(records, exact), F.lit(False))
 
 
 def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
@@ -126,7 +132,8 @@ def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
     if "Error" not in answered.columns:
         answered = answered.withColumn("Error", F.lit(None).cast("string"))
     return (
-        answered.withColumn("Received", parse_reply(F.col("Reply"), item))
+        answered.withColumn("_records", reply_records(F.col("Reply")))
+        .withColumn("Received", typed_records(F.col("_records"), item))
         .withColumn("SameIds", F.coalesce(sent_ids == received_ids, F.lit(False)))
         .withColumn(
             "InvalidScores",
@@ -141,11 +148,12 @@ def check_batches(answered: DataFrame, item: T.StructType) -> DataFrame:
             "Reason",
             F.when(F.col("Error").isNotNull(), "scorer failed")
             .when(received.isNull() | (F.size(received) == 0), "empty reply")
-            .when(~strict_keys(F.col("Reply"), item), "unexpected keys")
+            .when(~strict_keys(F.col("_records"), item), "unexpected keys")
             .when(~F.col("SameIds"), "ids differ")
             .when(F.size("InvalidScores") > 0, "invalid scores")
             .when(~F.forall(received, flag_ok), "invalid flags"),
         )
+        .drop("_records")
     )
 
 

@@ -48,8 +48,3 @@ SUMMARY_ITEM = T.StructType(
         T.StructField("Cons", T.StringType()),
     ]
 )
-
-
-def reply_type(item: T.StructType) -> T.MapType:
-    """A reply is one root key, whatever its name, holding an array of records."""
-    return T.MapType(T.StringType(), T.ArrayType(item))

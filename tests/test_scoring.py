@@ -45,6 +45,17 @@ def item(i, score, **more):
         (reply(item(1, None), item(2, 5)), "invalid scores"),
         (reply(item(1, 5, Extra=1), item(2, 5)), "unexpected keys"),
         (reply({"ReviewID": 1}, item(2, 5)), "unexpected keys"),
+        (reply(item(1, "5"), item(2, 5)), "invalid scores"),
+        (reply(item(1, True), item(2, 5)), "invalid scores"),
+        (reply(item("1", 5), item(2, 5)), None),
+        (reply(item(True, 5), item(2, 5)), "ids differ"),
+        (reply(item(1, 5), "text"), "unexpected keys"),
+        ('{"a": {"ReviewID": 1, "Sentiment": 5}}', "empty reply"),
+        ('{"a": null, "b": [{"ReviewID": 1, "Sentiment": 5}]}', "empty reply"),
+        ('{"b": [{"ReviewID": 1, "Sentiment": 5}, {"ReviewID": 2, "Sentiment": 6}], "a": []}', None),
+        ('{"a": [{"ReviewID": 1, "Sentiment": 5, "Sentiment": 6}, {"ReviewID": 2, "Sentiment": 6}]}', "empty reply"),
+        ('[{"ReviewID": 1, "Sentiment": 5}]', "empty reply"),
+        ("{}", "empty reply"),
     ],
 )
 def test_verdicts(spark, text, reason):
@@ -53,6 +64,11 @@ def test_verdicts(spark, text, reason):
     assert checked.count() == B.accepted_scores(checked, schema.OVERALL_ITEM).count() // 2 + B.quarantine(checked).count()
 
 
+def test_a_reply_is_parsed_once(spark):
+    plan = judged(spark, "{}")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1 and "variant" in plan
+
+
 def test_large_ids_are_told_apart(spark):
     ids = (2**60 + 1, 2**60 + 2)
     assert judged(spark, reply(item(ids[0], 5), item(ids[1], 5)), ids).first().Reason is None
