@@ -5,7 +5,6 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from reviewloom.llm import prefix_trie as P
 
