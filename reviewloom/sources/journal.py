@@ -88,7 +88,7 @@ class ReplyJournal:
     def discard(self, judged: DataFrame) -> None:
         """Mark the refused replies among ``judged`` (Digest, Attempt, Reply, Reason), so that they are asked for again."""
         refused = judged.where(F.col("Reason").isNotNull() & F.col("Reply").isNotNull())
-        refused.select("Digest", "Attempt").coalesce(1).write.mode("append").parquet(f"{self.folder}/discarded")
+        refused.select("Digest", "Attempt").write.mode("append").parquet(f"{self.folder}/discarded")
 
     def compact(self, spark: SparkSession) -> None:
         """Move the single files into the table.  If it ends half-way, some replies stand twice, which does no harm."""
