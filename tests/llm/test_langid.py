@@ -69,3 +69,40 @@ def test_elastic_net_keeps_weights_sparse():
     z, n = np.array([[0.01], [-5.0], [5.0]]), np.array([[4.0], [4.0], [4.0]])
     found = langid._leader(z, n).ravel()
     assert found[0] == 0 and found[1] == pytest.approx(-found[2]) and found[1] > 0
+
+
+def test_scores_are_chances(spark, documents):
+    """Texts that mix two languages: a text's score is about as often right as it says."""
+    rng = random.Random(9)
+    data = []
+    for i in range(2500):
+        lang, other = rng.sample(["en", "de"], 2)
+        data.append((i, " ".join(rng.choice(WORDS[lang if rng.random() < 0.6 else other]) for _ in range(7)), lang, "s"))
+    df = documents(data)
+    model = langid.train(df)
+    found = [row for row in predicted(spark, df, model) if row.held_out]
+    right = [row.lang == row.lang_pred for row in found]
+    accuracy, mean = sum(right) / len(right), sum(row.score for row in found) / len(found)
+    assert 0.6 < accuracy < 0.9 and abs(mean - accuracy) < 0.08
+
+    def loss(temperature):
+        total = 0.0
+        for row in found:
+            scaled = model.logits(row.text) / temperature
+            scaled -= scaled.max()
+            total += np.log(np.exp(scaled).sum()) - scaled[model.languages.index(row.lang)]
+        return total / len(found)
+
+    # On rows that took no part the chosen temperature does about as well as the best one.
+    assert loss(model.temperature) < min(map(loss, langid.TEMPERATURES)) + 0.03
+
+
+def test_ties_and_repeated_rows(spark, documents):
+    """Equal texts get equal answers, whatever their labels; a word that says nothing gets either language."""
+    data = [*rows(90), *rows(90), *((2000 + i, "zzz", lang, "s") for i, lang in enumerate(["en", "de"] * 20))]
+    found = predicted(spark, documents(data))
+    answers = {}
+    for row in found:
+        answers.setdefault(row.text, set()).add((row.lang_pred, row.score))
+    assert len(found) == len(data) and all(len(held) == 1 for held in answers.values())
+    assert {lang for lang, _ in answers["zzz"]} <= {"en", "de", "fr"}
