@@ -60,7 +60,7 @@ def run(stream, store, dimension):
     return sorted(tuple(row) for row in store.scores(stream.sparkSession).collect())
 
 
-@pytest.mark.parametrize("seed, batches, min_date", [(1, 4, MIN_DATE), (2, 7, MIN_DATE), (3, 3, None)])
+@pytest.mark.parametrize("seed, batches, min_date", [(1, 5, MIN_DATE), (3, 3, None)])
 def test_batches_equal_all_at_once(spark, inbox, dimension, tmp_path, seed, batches, min_date):
     rows = reviews(seed)
     store = ScoreStore(f"file://{tmp_path}/store", min_date)
