@@ -683,13 +683,15 @@ def _counted(star) -> ReviewStar:
     """The star after scores and then phrase flags were stored, with counts that were built before and
     took in both changes."""
     spark = star.review.sparkSession
+    # Several steps read the flags, which all lines are grouped for, and the changed reviews, which are joined for it.
+    star = star.replace(phrase_review=session.cut_lineage(star.phrase_review))
     counts = rollup.Rollup(f"{session.checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}").build(star)
     changes = session.cut_lineage(writeback.scored_ids(star, _overall_scores(star)))
     counts.change_sentiments(1, star.review, changes)
-    stored = star.replace(review=upserts.update_column(star.review, changes, "ReviewID", "ReviewSentimentID"))
+    changed = upserts.update_column(star.review, changes, "ReviewID", "ReviewSentimentID")
+    stored = star.replace(review=session.cut_lineage(changed))
     made = writeback.writeback_phrase(stored, _phrase_scores(stored), P.PHRASES, from_star=True)
-    fresh = made.reviews.join(star.phrase_review, ["ReviewID", "PhraseSentimentFlagID"], "left_anti")
-    counts.change_flags(2, star.review, fresh)
+    counts.change_flags(2, star.review, made.added)
     return counts.over(stored.replace(phrase_flag=made.flags, phrase_review=made.reviews))
 
 

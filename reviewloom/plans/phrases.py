@@ -11,7 +11,7 @@ from reviewloom.functions.phrasebook import PhraseBook
 from reviewloom.functions.scores import raw_phrase_score, rescale_score
 from reviewloom.functions.text import clean_text, lexicon_score, phrase_key, text_key, word_list
 from reviewloom.operators.relational import named_venues
-from reviewloom.plans.writeback import PhraseTables, upsert_phrase_flags, upsert_phrase_reviews, with_sentiment_id
+from reviewloom.plans.writeback import PhraseTables, phrase_tables, with_sentiment_id
 from reviewloom.session import cut_lineage, keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
 
@@ -104,5 +104,4 @@ def writeback_phrases(star: ReviewStar, scores: DataFrame) -> PhraseTables:
     rows = cut_lineage(
         with_sentiment_id(raw, star, "Raw").select("ReviewID", "Phrase", "PhraseFlag", F.col("SentimentID").alias("PhraseSentimentID"))
     )
-    flags = upsert_phrase_flags(star.phrase_flag, rows)
-    return PhraseTables(flags, upsert_phrase_reviews(star.phrase_review, flags, rows))
+    return phrase_tables(star, rows)

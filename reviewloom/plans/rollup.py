@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.session import keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
 
 REVIEW_CELL = ["VenueID", "Review_DateID", "ReviewSentimentID", "ReviewRating", "Written"]
@@ -96,10 +97,19 @@ class Rollup:
         self._write(rows.select(*cells, F.col("_side.n").cast("long").alias("N")), "reviews", part)
 
     def change_flags(self, part: int, reviews: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> None:
-        """Count bridge rows that came, and take back those that went."""
-        cells = phrase_cells(added, reviews)
+        """Count bridge rows that came, and take back those that went.
+
+        They are written first, so that a few are broadcast and spare the reviews a shuffle.  More than that
+        are never broadcast, however small their compressed files look.
+        """
+
+        def cells_of(flags: DataFrame, n: int) -> DataFrame:
+            kept, small = keep_for_broadcast(flags.select("ReviewID", "PhraseSentimentFlagID"))
+            return phrase_cells(kept if small else kept.hint("merge"), reviews, n)
+
+        cells = cells_of(added, 1)
         if removed is not None:
-            cells = cells.unionByName(phrase_cells(removed, reviews, -1))
+            cells = cells.unionByName(cells_of(removed, -1))
         self._write(cells, "phrases", part)
 
     def compacted(self, spark: SparkSession, folder: str) -> Rollup:

@@ -12,7 +12,7 @@ from reviewloom import schema
 from reviewloom.functions.scores import raw_phrase_score, raw_score
 from reviewloom.functions.text import phrase_key, phrase_label, phrase_label_key
 from reviewloom.operators.relational import sentiments
-from reviewloom.operators.upserts import insert_if_absent, update_column
+from reviewloom.operators.upserts import absent_rows, insert_if_absent, update_column
 from reviewloom.session import cut_lineage, keep_for_broadcast
 from reviewloom.sources.star import ReviewStar
 
@@ -43,6 +43,7 @@ def writeback_overall(star: ReviewStar, scores: DataFrame) -> DataFrame:
 class PhraseTables:
     flags: DataFrame
     reviews: DataFrame
+    added: DataFrame  # the rows of ``reviews`` that were not stored before
 
 
 def phrase_rows(
@@ -82,8 +83,8 @@ def upsert_phrase_flags(flags: DataFrame, rows: DataFrame) -> DataFrame:
     return insert_if_absent(flags, fresh, FLAG_KEYS, "PhraseSentimentFlagID", few=True)
 
 
-def upsert_phrase_reviews(bridge: DataFrame, flags: DataFrame, rows: DataFrame) -> DataFrame:
-    """The bridge table with the pairs it lacked; of several spellings the first flag counts."""
+def absent_phrase_reviews(bridge: DataFrame, flags: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs that the bridge table lacks; of several spellings the first flag counts."""
     keyed = flags.groupBy(phrase_key(F.col("Phrase")).alias("_key"), *FLAG_KEYS[1:]).agg(
         F.min("PhraseSentimentFlagID").alias("PhraseSentimentFlagID")
     )
@@ -92,14 +93,29 @@ def upsert_phrase_reviews(bridge: DataFrame, flags: DataFrame, rows: DataFrame)
         .join(keyed, ["_key", *FLAG_KEYS[1:]])
         .select("ReviewID", "PhraseSentimentFlagID")
     )
-    return insert_if_absent(bridge, pairs, ["ReviewID", "PhraseSentimentFlagID"])
+    return absent_rows(bridge, pairs, ["ReviewID", "PhraseSentimentFlagID"])
+
+
+def upsert_phrase_reviews(bridge: DataFrame, flags: DataFrame, rows: DataFrame) -> DataFrame:
+    """The bridge table with the pairs it lacked."""
+    return bridge.unionByName(absent_phrase_reviews(bridge, flags, rows))
 
 
 def writeback_phrase(
     star: ReviewStar, scores: DataFrame, phrases: list[str],
     keep: Callable[[DataFrame], DataFrame] = cut_lineage, from_star: bool = False,
 ) -> PhraseTables:
-    """Both new tables.  The scored rows are read by both, so they are kept first."""
+    """Both new tables.
+
+    The scored rows and the flags are read by several steps, so both are kept first.  Flags are few, and as
+    a table of known size they are broadcast: dealt by flag, the scored rows would go to as many tasks as a phrase has flags.
+    """
     rows = keep(phrase_rows(star, scores, phrases, from_star))
-    flags = upsert_phrase_flags(star.phrase_flag, rows)
-    return PhraseTables(flags, upsert_phrase_reviews(star.phrase_review, flags, rows))
+    return phrase_tables(star, rows, keep)
+
+
+def phrase_tables(star: ReviewStar, rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> PhraseTables:
+    """Both new tables from kept rows of any number of phrases."""
+    flags = keep(upsert_phrase_flags(star.phrase_flag, rows))
+    added = absent_phrase_reviews(star.phrase_review, flags, rows)
+    return PhraseTables(flags, star.phrase_review.unionByName(added), added)

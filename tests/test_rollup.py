@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from reviewloom.plans import dashboard
+from checks.queries import _counted
+from reviewloom import session
+from reviewloom.plans import dashboard, scoring, writeback
 from reviewloom.plans.rollup import REVIEW_CELL, Rollup
 from reviewloom.sources.star import ReviewStar
 
@@ -100,3 +102,38 @@ def test_no_reviews(spark, world, rows, tmp_path):
     star = world[3]()
     empty = star.replace(review=star.review.where("false"), phrase_review=star.phrase_review.where("false"))
     same(rows, Rollup(f"file://{tmp_path}/counts").build(empty), empty)
+
+
+def seen(df, passed):
+    """``df``, whose rows are counted in ``passed`` whenever they are made."""
+
+    def count(frames):
+        for frame in frames:
+            passed.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(count, df.schema)
+
+
+def test_stored_changes_read_the_flags_once(spark, world, rows):
+    star, passed = world[3](), spark.sparkContext.accumulator(0)
+    bridge = star.phrase_review
+    counted = _counted(star.replace(phrase_review=seen(bridge, passed)))
+    found = rows(dashboard.operator_stats(counted))
+    assert passed.value == bridge.count()
+    # The counts tell what the changed tables tell.
+    counted.review_counts = counted.phrase_counts = None
+    assert found == rows(dashboard.operator_stats(counted))
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_added_flags(spark, world, rows, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", few)
+    star = world[3]()
+    counts = Rollup(f"file://{tmp_path}/counts").build(star)
+    scores = scoring.score_reviews(star.review, ["Atmosphere"])
+    made = writeback.writeback_phrase(star, scores, ["Atmosphere"])
+    assert rows(made.reviews) == sorted(rows(star.phrase_review) + rows(made.added), key=repr)
+    assert made.added.count() and made.added.join(star.phrase_review, ["ReviewID", "PhraseSentimentFlagID"]).isEmpty()
+    counts.change_flags(1, star.review, made.added)
+    same(rows, counts, star.replace(phrase_flag=made.flags, phrase_review=made.reviews), ANSWERS[:1])
